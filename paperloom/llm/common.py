@@ -45,26 +45,18 @@ def text_or_empty(column: str = "text"):
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
 
 
-def range_bounds(df: DataFrame, key: str, ranges: int, error: float = 0.001) -> list[int]:
-    """Cut points that split df into about equal key ranges: at most `ranges` numbers, whatever the size."""
-    if ranges < 2:
-        return []
-    asked = [i / ranges for i in range(1, ranges)]
-    row = df.select(F.percentile_approx(F.col(key), asked, int(1 / error)).alias("cuts")).first()
-    return sorted(set(row["cuts"] or []))
-
-
-def range_of(key: str, bounds: list[int]):
-    """Index of the key range that a row falls in, as an expression on the built-in width_bucket."""
-    if not bounds:
-        return F.lit(0)
-    cuts = F.array(*[F.lit(int(b)) for b in bounds])
-    return F.size(F.filter(cuts, lambda b: b <= F.col(key)))
-
-
-def order_ranges(spark: SparkSession) -> int:
-    """Key ranges for a global order: several for each shuffle partition, so that a large one evens out."""
-    return max(16, min(4096, 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))))
+def with_ids(df: DataFrame, id_column: str) -> DataFrame:
+    """The rows that have an id. A row without one can't be named in a result keyed by id, so it has none."""
+    return df.filter(F.col(id_column).isNotNull())
+
+
+def ordered_ranges(df: DataFrame, *keys: str) -> DataFrame:
+    """df in key ranges as a scratch table, with `range_id`: ranges ascend, rows of one range share an id.
+
+    The ids come from one range shuffle and are stored, so every later read sees the same ones.
+    """
+    n = max(8, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return materialize(df.repartitionByRange(n, *keys).withColumn("range_id", F.spark_partition_id()), "ranges")
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -> DataFrame:
