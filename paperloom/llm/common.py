@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 SCRATCH_UNSET = "file:///tmp/checkpoints"
+#: Texts handed to a Python worker at a time: 256 of 100 KB are 25 MB.
+BATCH_ROWS = 256
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
@@ -45,6 +47,14 @@ def text_or_empty(column: str = "text"):
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
 
 
+def bound_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
+    """Lower the rows of an Arrow batch for this session: a batch of whole texts must fit a worker's memory."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(key))
+    if now <= 0 or now > rows:
+        spark.conf.set(key, str(rows))
+
+
 def with_ids(df: DataFrame, id_column: str) -> DataFrame:
     """The rows that have an id. A row without one can't be named in a result keyed by id, so it has none."""
     return df.filter(F.col(id_column).isNotNull())

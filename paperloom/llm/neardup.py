@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from paperloom.llm.common import batches_of, components, materialize, with_ids
+from paperloom.llm.common import batches_of, bound_batches, components, materialize, with_ids
 from paperloom.llm.shingles import bags, mix, weighted_jaccard
 
 REGISTERS = 128
@@ -138,6 +138,7 @@ def near_groups(
     docs: DataFrame, threshold: float = 0.8, registers: int = REGISTERS, rows: int = ROWS, id_column: str = "doc_id", text_column: str = "text"
 ) -> DataFrame:
     """doc_id, copy_id (least id with the same text) and group_id (least id of the near-duplicate group)."""
+    bound_batches(docs.sparkSession)
     texts = with_ids(docs, id_column).select(F.col(id_column).cast("long").alias("doc_id"), F.coalesce(F.col(text_column), F.lit("")).alias("text"))
     whole = texts.withColumn("digest", F.unhex(F.sha2(F.col("text").cast("binary"), 256)))
     ids = materialize(whole.select("doc_id", "digest"), "digests")

@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from paperloom.llm.common import with_ids
+from paperloom.llm.common import bound_batches, with_ids
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 PACKED = f"{PIECES}, sequence_id long, offset long"
@@ -116,5 +116,6 @@ def pack(pieces: DataFrame, groups: int, length: int = 1024) -> DataFrame:
 def pack_documents(
     docs: DataFrame, tokenizer: str, length: int = 1024, end_id: int = 0, group_documents: int = 4096, id_column: str = "doc_id", text_column: str = "text"
 ) -> DataFrame:
+    bound_batches(docs.sparkSession)
     groups = max(1, -(-docs.count() // group_documents))
     return pack(tokenize_pieces(docs, tokenizer, length, end_id, id_column, text_column), groups, length)
