@@ -9,10 +9,13 @@ left with an empty register repeat with a larger bound, so the signature never d
 
 Groups are the components of all verified links:
 1. Equal texts collapse to the least id by a strong digest; only these representatives are banded.
-2. In each bucket of a band the member with the least hash is the pivot; pivot pairs are verified on the whole texts.
-3. Buckets whose members then still lie in different components get an exact second pass: pairs across components,
-   less those that the triangle inequality of 1 - J rules out from their distances to the pivot, are verified too.
-A group of copies of any size costs one link per copy and bucket, never a pair per pair of copies.
+2. In each bucket of a band the member whose buckets are fullest is the pivot, so the original of a group of copies
+   is the pivot of most of its buckets. Pivot pairs are verified on the whole texts.
+3. All members of a pivot's buckets are its family, so two documents that share any bucket share a family. Families
+   that still lie in several components get an exact second pass: their members, in size classes of ratio 1 / threshold
+   (linked texts lie in equal or neighbouring classes) and blocks of BLOCK members, meet block by block, where one
+   matrix product gives all overlaps. Only links across components leave a task.
+A group of copies of any size costs one link for each copy and pivot, never a row for each pair of copies.
 
 Defined cases: a null text counts as empty; equal texts share a group, also without a word; other texts without a
 word are linked to nothing; repeated rows keep one output row each; rows without an id have none; other input columns are ignored; an empty table
@@ -36,6 +39,7 @@ from paperloom.llm.shingles import bags, mix, weighted_jaccard
 REGISTERS = 128
 ROWS = 4  # registers of a band: at J = 0.8 all 32 bands miss with probability (1 - 0.8^4)^32 = 5e-8
 CHUNK = 1 << 19
+BLOCK = 256  # members of a family that meet as many others in one task
 _LEVEL = 0xA0761D6478BD642F
 _STEP = 0xE7037ED1A0B428DB
 
@@ -114,7 +118,7 @@ def _band(batches: Iterator[pa.RecordBatch], registers: int, rows: int) -> Itera
 
 def _similar(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for frame in frames:
-        out = np.zeros(len(frame))
+        out, size = np.zeros(len(frame)), np.zeros(len(frame), np.int64)
         one, two = [t.encode() for t in frame["text_a"]], [t.encode() for t in frame["text_b"]]
         rows = batches_of(((a + b" " + b, k) for k, (a, b) in enumerate(zip(one, two, strict=True))), CHUNK)
         for part in rows:
@@ -124,14 +128,15 @@ def _similar(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             cut = np.searchsorted(owner, np.arange(len(texts) + 1))
             bag = [(shingle[i:j], weight[i:j]) for i, j in zip(cut[:-1], cut[1:], strict=True)]
             out[at] = [weighted_jaccard(bag[2 * k], bag[2 * k + 1]) for k in range(len(at))]
-        yield pd.DataFrame({"a": frame["a"], "b": frame["b"], "similarity": out})
+            size[at] = [bag[2 * k + 1][1].sum() for k in range(len(at))]
+        yield pd.DataFrame({"a": frame["a"], "b": frame["b"], "similarity": out, "size_b": size})
 
 
 def verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """Weighted Jaccard of the whole texts of distinct pairs (a, b)."""
+    """Weighted Jaccard of the whole texts of distinct pairs (a, b), and the number of b's shingles."""
     left = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b"))
     right = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a"))
-    return pairs.join(left, "b").join(right, "a").select("a", "b", "text_a", "text_b").mapInPandas(_similar, "a long, b long, similarity double")
+    return pairs.join(left, "b").join(right, "a").select("a", "b", "text_a", "text_b").mapInPandas(_similar, "a long, b long, similarity double, size_b long")
 
 
 def near_groups(
@@ -151,9 +156,12 @@ def near_groups(
     )
     keys = banded.join(firsts, "doc_id", "left_semi")
     entries = keys.select("doc_id", F.explode("bands").alias("bucket")).repartition("bucket")
-    best = F.min(F.struct(F.xxhash64("doc_id", "bucket").alias("rank"), F.col("doc_id").alias("pivot"))).alias("best")
-    shared = entries.groupBy("bucket").agg(best, F.count("*").alias("n")).filter("n > 1").select("bucket", "best.pivot")
-    entries = materialize(entries.join(shared, "bucket"), "buckets")
+    shared = entries.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1")
+    entries = materialize(entries.join(shared, "bucket"), "shared")
+    ranks = entries.groupBy("doc_id").agg(F.sum("n").alias("rank"))
+    ranked = materialize(entries.join(ranks, "doc_id").select("bucket", "doc_id", "rank"), "ranked")
+    pivots = ranked.groupBy("bucket").agg(F.max(F.struct("rank", "doc_id")).alias("best")).select("bucket", F.col("best.doc_id").alias("pivot"))
+    entries = materialize(ranked.select("bucket", "doc_id").join(pivots, "bucket"), "buckets")
 
     stars = materialize(entries.filter("doc_id <> pivot").select(F.col("pivot").alias("a"), F.col("doc_id").alias("b")).dropDuplicates(), "stars")
     wanted = stars.select(F.explode(F.array("a", "b")).alias("doc_id")).dropDuplicates()
@@ -162,33 +170,73 @@ def near_groups(
     links = close.filter(F.col("similarity") >= threshold).select("a", "b")
     groups = components(links)
 
-    rest = _unresolved(entries, close, groups, threshold)
-    more = materialize(verify(rest, read).filter(F.col("similarity") >= threshold).select("a", "b"), "rest")
+    more = materialize(family_links(close, groups, read, threshold), "rest")
     if more.limit(1).count():
         groups = components(links.unionByName(more))
     named = members.join(groups.select(F.col("node").alias("copy_id"), "component"), "copy_id", "left")
     return named.select("doc_id", "copy_id", F.coalesce("component", "copy_id").alias("group_id"))
 
 
-def _unresolved(entries: DataFrame, close: DataFrame, groups: DataFrame, threshold: float) -> DataFrame:
-    """Pairs that share a bucket, lie in different components, and may still be linked.
-
-    With d = 1 - J a metric, |d(p, x) - d(p, y)| > 1 - threshold excludes a link of x and y; the pivot p itself
-    is already compared with all. Buckets within one component, as all groups of copies leave them, drop out first.
-    """
-    placed = entries.join(groups.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left")
-    placed = placed.withColumn("component", F.coalesce("component", "doc_id"))
-    mixed = placed.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high").select("bucket")
-    known = close.select(F.col("a").alias("pivot"), F.col("b").alias("doc_id"), (1 - F.col("similarity")).alias("distance"))
-    left = materialize(
-        placed.join(mixed, "bucket", "left_semi").join(known, ["pivot", "doc_id"]).select("bucket", "doc_id", "component", "distance"), "mixed"
+def _overlaps(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """(matrix of multiset overlaps of all pairs of texts, their sizes)."""
+    owner, shingle, weight = bags(texts)
+    sizes = np.bincount(owner, weight, len(texts))
+    # the j-th occurrence of a shingle is an element of its own, so that overlaps of multisets are those of sets
+    again = np.repeat(np.arange(len(weight)), weight)
+    nth = np.arange(len(again)) - np.repeat(np.cumsum(weight) - weight, weight)
+    element, owner = mix(shingle[again] + nth.astype(np.uint64) * np.uint64(_STEP)), owner[again]
+    _, column, seen = np.unique(element, return_inverse=True, return_counts=True)
+    kept = np.flatnonzero(seen > 1)
+    place = np.full(len(seen), -1)
+    place[kept] = np.arange(len(kept))
+    column = place[column]
+    owner, column = owner[column >= 0], column[column >= 0]
+    order = np.argsort(column, kind="stable")
+    owner, column = owner[order], column[order]
+    out = np.zeros((len(texts), len(texts)), np.float32)
+    for low in range(0, len(kept), 4096):
+        i, j = np.searchsorted(column, (low, low + 4096))
+        dense = np.zeros((len(texts), 4096), np.float32)
+        dense[owner[i:j], column[i:j] - low] = 1
+        out += dense @ dense.T
+    return out, sizes
+
+
+def _linker(threshold: float):
+    def link_block(group: pd.DataFrame) -> pd.DataFrame:
+        ids, place = group["doc_id"].to_numpy(), group["component"].to_numpy()
+        if len(set(place)) < 2:
+            return pd.DataFrame({"a": ids[:0], "b": ids[:0]})
+        overlap, sizes = _overlaps([t.encode() for t in group["text"]])
+        union = sizes[:, None] + sizes[None, :] - overlap
+        i, j = np.nonzero((overlap >= threshold * union - 1e-6 * union) & (union > 0) & (place[:, None] < place[None, :]))
+        return pd.DataFrame({"a": ids[i], "b": ids[j]})
+
+    return link_block
+
+
+def family_links(close: DataFrame, groups: DataFrame, texts: DataFrame, threshold: float, block: int = BLOCK) -> DataFrame:
+    """Links between members of a pivot's family that lie in different components; the pivot itself is compared already."""
+    named = groups.select(F.col("node").alias("b"), "component")
+    home = groups.select(F.col("node").alias("a"), F.col("component").alias("home"))
+    rows = close.filter("size_b > 0").join(named, "b", "left").join(home, "a", "left")
+    rows = rows.select(
+        F.col("a").alias("pivot"), F.col("b").alias("doc_id"), F.coalesce("component", "b").alias("component"), F.coalesce("home", "a").alias("home"),
+        F.floor(F.log("size_b") / -F.log(F.lit(threshold))).cast("int").alias("class"),
+    )
+    # class k meets classes k and k - 1 in unit k
+    units = rows.withColumn("unit", F.explode(F.array("class", F.col("class") + 1)))
+    mixed = units.groupBy("pivot", "unit").agg(
+        F.count("*").alias("n"), F.max(F.col("component") != F.col("home")).alias("open"), F.max("class").alias("top")
+    )
+    mixed = mixed.filter("n > 1 AND open AND top = unit").select("pivot", "unit", F.ceil(F.col("n") / block).cast("int").alias("blocks"))
+    dealt = units.join(mixed, ["pivot", "unit"]).withColumn("own", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    dealt = dealt.withColumn("other", other).select(
+        "pivot", "unit", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "doc_id", "component"
     )
-    right = left.select("bucket", F.col("doc_id").alias("other"), F.col("component").alias("their"), F.col("distance").alias("far"))
-    gap = F.abs(F.col("distance") - F.col("far")) <= 1 - threshold + 1e-9
-    pairs = left.join(right, "bucket").filter((F.col("component") < F.col("their")) & gap)
-    pairs = pairs.select(F.least("doc_id", "other").alias("a"), F.greatest("doc_id", "other").alias("b")).dropDuplicates()
-    seen = close.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    return pairs.join(seen, ["a", "b"], "left_anti")
+    whole = materialize(dealt, "dealt").join(texts, "doc_id")
+    return whole.groupBy("pivot", "unit", "low", "high").applyInPandas(_linker(threshold), "a long, b long").dropDuplicates()
 
 
 def keep_one(docs: DataFrame, threshold: float = 0.8, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
