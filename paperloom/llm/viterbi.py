@@ -17,9 +17,11 @@ from __future__ import annotations
 
 import math
 import re
+from array import array
 from collections.abc import Iterator
 from functools import cache, partial
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -29,7 +31,8 @@ from paperloom.llm.common import bound_batches
 SPACE = "▁"
 OWN_MARK = "\ud800"  # stands for a space mark that the text itself holds; no valid text has a lone surrogate
 UNKNOWN_PENALTY = 10.0
-MEMO = 200_000
+MEMO = 400_000  # stretches remembered by a worker
+LONG = 64  # characters of a stretch that is not worth remembering
 STRETCH = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 SCHEMA = "doc_id long, n_tokens long, score double, ids array<int>, decoded_equal boolean"
 
@@ -42,7 +45,6 @@ class Codec:
         model = sentencepiece.SentencePieceProcessor(model_file=path)
         self.pieces = [model.id_to_piece(k) for k in range(model.vocab_size())]
         self.bytes_of = {int(self.pieces[k][3:5], 16): k for k in range(len(self.pieces)) if model.is_byte(k)}
-        self.byte_ids = {k: b for b, k in self.bytes_of.items()}
         self.plain = [k for k in range(len(self.pieces)) if not (model.is_control(k) or model.is_unknown(k) or model.is_byte(k) or model.is_unused(k))]
         rank = lambda k: max(0.0, -model.get_score(k))
         self.scores = {k: model.get_score(k) if scores == "stored" else -math.log(rank(k) + 2) for k in self.plain}
@@ -53,68 +55,69 @@ class Codec:
         for k in self.plain:
             self.automaton.add_word(self.pieces[k], (len(self.pieces[k]), self.scores[k], k))
         self.automaton.make_automaton()
-        self.memo: dict[str, tuple[float, tuple[int, ...]]] = {}
+        self.surface = [p.replace(SPACE, " ") for p in self.pieces]
+        for b, k in self.bytes_of.items():
+            self.surface[k] = chr(b) if b < 128 else chr(0xDC00 + b)
+        self.ids: dict[str, bytes] = {}
+        self.values: dict[str, float] = {}
 
-    def _viterbi(self, text: str) -> tuple[float, tuple[int, ...]]:
+    def _viterbi(self, text: str) -> tuple[float, list[int]]:
         n = len(text)
         best = [0.0] + [-math.inf] * n
         back: list[tuple[int, int]] = [(0, -1)] * (n + 1)
+        known = self.single.issuperset(text)
         done = 0  # positions up to here have had their unknown characters relaxed
-
-        def unknowns(upto: int) -> None:
-            for k in range(done, upto):
-                if text[k] not in self.single and best[k] + self.unknown > best[k + 1]:
-                    best[k + 1], back[k + 1] = best[k] + self.unknown, (k, -1)
-
         for last, (length, score, piece) in self.automaton.iter(text):
             end = last + 1
             if done < end:
-                unknowns(end)
+                if not known:
+                    self._relax_unknown(text, best, back, done, end)
                 done = end
-            value = best[end - length] + score
-            if value > best[end] or value == best[end] and end - length < back[end][0]:
-                best[end], back[end] = value, (end - length, piece)
-        unknowns(n)
+            start = end - length
+            value = best[start] + score
+            if value > best[end] or value == best[end] and start < back[end][0]:
+                best[end], back[end] = value, (start, piece)
+        if not known:
+            self._relax_unknown(text, best, back, done, n)
         ids: list[int] = []
         k = n
         while k:
             start, piece = back[k]
             ids += [piece] if piece >= 0 else [self.bytes_of[b] for b in reversed((SPACE if text[start] == OWN_MARK else text[start]).encode())]
             k = start
-        return best[n], tuple(reversed(ids))
+        return best[n], ids[::-1]
+
+    def _relax_unknown(self, text: str, best: list[float], back: list[tuple[int, int]], start: int, stop: int) -> None:
+        for k in range(start, stop):
+            if text[k] not in self.single and best[k] + self.unknown > best[k + 1]:
+                best[k + 1], back[k + 1] = best[k] + self.unknown, (k, -1)
 
-    def encode(self, text: str) -> tuple[float, list[int]]:
+    def encode(self, text: str) -> tuple[float, np.ndarray]:
         """(score, ids) of the best segmentation."""
         if not text:
-            return 0.0, []
+            return 0.0, np.empty(0, np.int32)
         marked = SPACE + text.replace(SPACE, OWN_MARK).replace(" ", SPACE)
-        total, ids = 0.0, []
-        memo = self.memo
-        for stretch in STRETCH.findall(marked) if self.cut else [marked]:
-            known = memo.get(stretch)
-            if known is None:
-                known = self._viterbi(stretch)
-                if len(memo) >= MEMO:
-                    memo.clear()
-                if len(stretch) <= 64:
-                    memo[stretch] = known
-            total += known[0]
-            ids += known[1]
-        return total, ids
+        stretches = STRETCH.findall(marked) if self.cut else [marked]
+        if len(self.ids) > MEMO:
+            self.ids.clear()
+            self.values.clear()
+        brief = []
+        for stretch in set(stretches).difference(self.ids):
+            self.values[stretch], ids = self._viterbi(stretch)
+            self.ids[stretch] = array("i", ids).tobytes()
+            if len(stretch) > LONG:
+                brief.append(stretch)
+        # fsum, so that the score does not hang on the order of the stretches
+        total = math.fsum(map(self.values.__getitem__, stretches))
+        out = np.frombuffer(b"".join(map(self.ids.__getitem__, stretches)), np.int32)
+        for stretch in brief:
+            del self.ids[stretch], self.values[stretch]
+        return total, out
 
     def decode(self, ids: list[int]) -> str:
-        out, pending = [], bytearray()
-        for k in ids:
-            if k in self.byte_ids:
-                pending.append(self.byte_ids[k])
-                continue
-            if pending:
-                out.append(pending.decode("utf-8", "replace").replace(SPACE, OWN_MARK))
-                pending.clear()
-            out.append(self.pieces[k])
-        if pending:
-            out.append(pending.decode("utf-8", "replace").replace(SPACE, OWN_MARK))
-        return "".join(out)[1:].replace(SPACE, " ").replace(OWN_MARK, SPACE)
+        """Text of ids. Byte pieces stand in `surface` as surrogate escapes, so one pass turns them into characters."""
+        joined = "".join(map(self.surface.__getitem__, ids))
+        return joined.encode("utf-8", "surrogateescape").decode("utf-8", "replace")[1:]
 
 
 @cache
@@ -127,10 +130,13 @@ def _encode(batches: Iterator[pa.RecordBatch], path: str, scores: str) -> Iterat
     for batch in batches:
         texts = batch.column(1).to_pylist()
         coded = [own.encode(t) for t in texts]
+        sizes = np.array([len(i) for _, i in coded], np.int64)
+        flat = np.concatenate([i for _, i in coded] or [np.empty(0, np.int32)])
+        lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(sizes))).astype(np.int32)), pa.array(flat))
         yield pa.RecordBatch.from_arrays(
             [
-                batch.column(0), pa.array([len(i) for _, i in coded], pa.int64()), pa.array([s for s, _ in coded], pa.float64()),
-                pa.array([i for _, i in coded], pa.list_(pa.int32())), pa.array([own.decode(i) == t for (_, i), t in zip(coded, texts, strict=True)]),
+                batch.column(0), pa.array(sizes), pa.array([s for s, _ in coded], pa.float64()), lists,
+                pa.array([own.decode(i.tolist()) == t for (_, i), t in zip(coded, texts, strict=True)], pa.bool_()),
             ],
             names=["doc_id", "n_tokens", "score", "ids", "decoded_equal"],
         )
