@@ -15,6 +15,7 @@ Groups are the components of all verified links:
    that still lie in several components get an exact second pass: their members, in size classes of ratio 1 / threshold
    (linked texts lie in equal or neighbouring classes) and blocks of BLOCK members, meet block by block, where one
    matrix product gives all overlaps. Only links across components leave a task.
+Joins with texts are merge joins at every size, as the other side grows with the corpus and has no bound.
 A group of copies of any size costs one link for each copy and pivot, never a row for each pair of copies.
 
 Defined cases: a null text counts as empty; equal texts share a group, also without a word; other texts without a
@@ -136,7 +137,7 @@ def verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """Weighted Jaccard of the whole texts of distinct pairs (a, b), and the number of b's shingles."""
     left = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b"))
     right = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a"))
-    return pairs.join(left, "b").join(right, "a").select("a", "b", "text_a", "text_b").mapInPandas(_similar, "a long, b long, similarity double, size_b long")
+    return pairs.join(left.hint("merge"), "b").join(right.hint("merge"), "a").select("a", "b", "text_a", "text_b").mapInPandas(_similar, "a long, b long, similarity double, size_b long")
 
 
 def near_groups(
@@ -165,7 +166,7 @@ def near_groups(
 
     stars = materialize(entries.filter("doc_id <> pivot").select(F.col("pivot").alias("a"), F.col("doc_id").alias("b")).dropDuplicates(), "stars")
     wanted = stars.select(F.explode(F.array("a", "b")).alias("doc_id")).dropDuplicates()
-    read = materialize(texts.join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id"]), "candidates")
+    read = materialize(texts.join(wanted.hint("merge"), "doc_id", "left_semi").dropDuplicates(["doc_id"]), "candidates")
     close = materialize(verify(stars, read), "verified")
     links = close.filter(F.col("similarity") >= threshold).select("a", "b")
     groups = components(links)
@@ -235,7 +236,7 @@ def family_links(close: DataFrame, groups: DataFrame, texts: DataFrame, threshol
     dealt = dealt.withColumn("other", other).select(
         "pivot", "unit", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "doc_id", "component"
     )
-    whole = materialize(dealt, "dealt").join(texts, "doc_id")
+    whole = materialize(dealt, "dealt").join(texts.hint("merge"), "doc_id")
     return whole.groupBy("pivot", "unit", "low", "high").applyInPandas(_linker(threshold), "a long, b long").dropDuplicates()
 
 
