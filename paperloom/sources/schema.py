@@ -30,7 +30,13 @@ _TABLES = {
     "paper_relation": "id long, source_paper_id long, target_paper_id long, relation_type string, evidence_chunk_id long, note string, "
     "created_at timestamp_ntz, is_deleted boolean",
 }
-SCHEMAS: dict[str, StructType] = {name: StructType.fromDDL(ddl) for name, ddl in _TABLES.items()}
+
+
+def schema(table: str) -> StructType:
+    """The declared schema of a table; needs a running session, as Spark parses it."""
+    return StructType.fromDDL(_TABLES[table])
+
+
 
 #: Allowed values by column kind.
 CHOICES = {

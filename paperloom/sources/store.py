@@ -11,7 +11,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paperloom.sources.schema import SCHEMAS
+from paperloom.sources.schema import schema
 
 
 def file_path(kb_id, name):
@@ -28,8 +28,8 @@ class Store:
         """A table with its declared schema; one never written is empty."""
         path = f"{self.root}/{name}"
         if not self._exists(path):
-            return self.spark.createDataFrame([], SCHEMAS[name])
-        return self.spark.read.schema(SCHEMAS[name]).parquet(path)
+            return self.spark.createDataFrame([], schema(name))
+        return self.spark.read.schema(schema(name)).parquet(path)
 
     def append(self, name: str, rows: DataFrame) -> None:
         self._fit(name, rows).write.mode("append").parquet(f"{self.root}/{name}")
@@ -54,7 +54,7 @@ class Store:
 
     def _fit(self, name: str, rows: DataFrame) -> DataFrame:
         have = set(rows.columns)
-        return rows.select(*[(F.col(f.name) if f.name in have else F.lit(None)).cast(f.dataType).alias(f.name) for f in SCHEMAS[name]])
+        return rows.select(*[(F.col(f.name) if f.name in have else F.lit(None)).cast(f.dataType).alias(f.name) for f in schema(name)])
 
     def _fs(self, path: str):
         jvm, conf = self.spark.sparkContext._jvm, self.spark.sparkContext._jsc.hadoopConfiguration()
