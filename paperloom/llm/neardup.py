@@ -15,6 +15,8 @@ Groups are the components of all verified links:
    that still lie in several components get an exact second pass: their members, in size classes of ratio 1 / threshold
    (linked texts lie in equal or neighbouring classes) and blocks of BLOCK members, meet block by block, where one
    matrix product gives all overlaps. Only links across components leave a task.
+Groups are counted with partial aggregates and stored; the joins that bring their result back to the rows are then plain
+equi-joins of two tables, so that AQE may split a bucket, digest or pivot that holds a large part of the rows.
 Joins with texts are merge joins at every size, as the other side grows with the corpus and has no bound.
 A group of copies of any size costs one link for each copy and pivot, never a row for each pair of copies.
 
@@ -148,21 +150,22 @@ def near_groups(
     texts = with_ids(docs, id_column).select(F.col(id_column).cast("long").alias("doc_id"), F.coalesce(F.col(text_column), F.lit("")).alias("text"))
     whole = texts.withColumn("digest", F.unhex(F.sha2(F.col("text").cast("binary"), 256)))
     ids = materialize(whole.select("doc_id", "digest"), "digests")
-    copies = ids.groupBy("digest").agg(F.min("doc_id").alias("copy_id"))
+    copies = materialize(ids.groupBy("digest").agg(F.min("doc_id").alias("copy_id")), "copies")
     members = materialize(ids.join(copies, "digest").select("doc_id", "copy_id"), "members")
     firsts = members.filter("doc_id = copy_id").select("doc_id").dropDuplicates()
 
     banded = texts.select("doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(
         partial(_band, registers=registers, rows=rows), "doc_id long, bands array<long>"
     )
-    keys = banded.join(firsts, "doc_id", "left_semi")
-    entries = keys.select("doc_id", F.explode("bands").alias("bucket")).repartition("bucket")
-    shared = entries.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1")
-    entries = materialize(entries.join(shared, "bucket"), "shared")
+    banded = materialize(banded.join(firsts, "doc_id", "left_semi"), "bands")
+    entries = banded.select("doc_id", F.explode("bands").alias("bucket"))
+    shared = materialize(entries.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1"), "shared")
+    entries = materialize(entries.join(shared, "bucket"), "entries")
     ranks = entries.groupBy("doc_id").agg(F.sum("n").alias("rank"))
     ranked = materialize(entries.join(ranks, "doc_id").select("bucket", "doc_id", "rank"), "ranked")
-    pivots = ranked.groupBy("bucket").agg(F.max(F.struct("rank", "doc_id")).alias("best")).select("bucket", F.col("best.doc_id").alias("pivot"))
-    entries = materialize(ranked.select("bucket", "doc_id").join(pivots, "bucket"), "buckets")
+    pivots = ranked.groupBy("bucket").agg(F.max(F.struct("rank", "doc_id")).alias("best"))
+    pivots = materialize(pivots.select("bucket", F.col("best.doc_id").alias("pivot")), "pivots")
+    entries = ranked.select("bucket", "doc_id").join(pivots, "bucket")
 
     stars = materialize(entries.filter("doc_id <> pivot").select(F.col("pivot").alias("a"), F.col("doc_id").alias("b")).dropDuplicates(), "stars")
     wanted = stars.select(F.explode(F.array("a", "b")).alias("doc_id")).dropDuplicates()
@@ -231,6 +234,7 @@ def family_links(close: DataFrame, groups: DataFrame, texts: DataFrame, threshol
         F.count("*").alias("n"), F.max(F.col("component") != F.col("home")).alias("open"), F.max("class").alias("top")
     )
     mixed = mixed.filter("n > 1 AND open AND top = unit").select("pivot", "unit", F.ceil(F.col("n") / block).cast("int").alias("blocks"))
+    mixed = materialize(mixed, "mixed")
     dealt = units.join(mixed, ["pivot", "unit"]).withColumn("own", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     dealt = dealt.withColumn("other", other).select(
