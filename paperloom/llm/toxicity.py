@@ -1,8 +1,8 @@
 """Severity of toxicity by cumulative-link ordinal regression on sparse word features.
 
 The model is P(grade <= k | x) = sigmoid(threshold_k - w . x): one weight vector shared by ordered thresholds. It is
-fitted on at most `sample_rows` labelled rows, those least by a hash of the id. Features are words and word beginnings
-whose document frequency differs between toxic and other sample rows by the G test (at most `features` of them), valued by their
+fitted on at most `sample_rows` labelled rows, those least by a hash of the id, equal texts once. Features are words and word beginnings
+whose document frequency is higher in toxic than in other sample rows by the G test (at most `features` of them), valued by their
 rate in the text on a log scale. The labels are 0 and 1; grades 1 to 3 of toxic rows come from how much of
 the text is evidence, cut at the terciles of the toxic sample. Expected severity is the sum of P(grade > k).
 
@@ -27,7 +27,7 @@ import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from paperloom.llm.common import bound_batches
+from paperloom.llm.common import bound_batches, materialize
 
 SAMPLE_ROWS = 20_000
 FEATURES = 2_000
@@ -126,9 +126,11 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, feat
     known = labels.filter(F.col(label_column).isin(0, 1) & F.col(id_column).isNotNull()).select(F.col(id_column).alias("_id"), F.col(label_column).cast("int").alias("toxic"))
     sample = known.orderBy(F.xxhash64("_id"), "_id", "toxic").limit(sample_rows)
     texts = docs.select(F.col(id_column).alias("_id"), F.coalesce(F.col(text_column), F.lit("")).alias("text"))
-    rows = texts.join(F.broadcast(sample), "_id").select("text", "toxic")
+    # copies of one text would lend their words the weight of many documents
+    rows = texts.join(F.broadcast(sample), "_id").withColumn("_copy", F.xxhash64("text")).dropDuplicates(["_copy", "toxic"]).select("text", "toxic")
+    rows = materialize(rows, "sample")
     found = rows.mapInArrow(_tally, "feature string, n_toxic long, n_other long").groupBy("feature").agg(F.sum("n_toxic").alias("n_toxic"), F.sum("n_other").alias("n_other"))
-    total = sample.agg(F.sum("toxic").alias("toxic"), F.count("*").alias("n")).first()
+    total = rows.agg(F.sum("toxic").alias("toxic"), F.count("*").alias("n")).first()
     n_toxic = total["toxic"] or 0
     n_other = total["n"] - n_toxic
     if not n_toxic or not n_other:
@@ -138,7 +140,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, feat
     cells = [(F.col("n_toxic"), with_it, n_toxic), (F.col("n_other"), with_it, n_other)]
     cells += [(n_toxic - F.col("n_toxic"), rows_all - with_it, n_toxic), (n_other - F.col("n_other"), rows_all - with_it, n_other)]
     gain = sum((F.when(n > 0, 2 * n * F.log(n * rows_all / (row * column))).otherwise(0.0) for n, row, column in cells), F.lit(0.0))
-    found = found.withColumns({"odds": odds, "gain": gain}).filter(F.col("gain") >= LEAST_G)
+    found = found.withColumns({"odds": odds, "gain": gain}).filter((F.col("gain") >= LEAST_G) & (F.col("odds") > 0))
     chosen = found.orderBy(F.desc("gain"), "feature").limit(features).collect()
     vocabulary = {r["feature"]: k for k, r in enumerate(chosen)}
     strong = np.array([r["odds"] > 2.0 and not r["feature"].startswith("^") for r in chosen])
