@@ -4,8 +4,8 @@ Markup is stripped into lines, one for each block element. A line's weight is it
 lies in boilerplate (navigation, footers, asides, forms, scripts, adverts, notices, reader comments, by element or
 by the words of class, id and role) or is mostly links. Weights are summed over a sliding window of lines. Text
 surges where a window's sum leaves zero and the stretch reaches the surge threshold, and dives where the sum is zero
-again; the weighted lines between surge and dive are kept, short ones too. If the page marks its article, only its lines have
-weight and any surge counts.
+again; the weighted lines between surge and dive are kept, short ones too. If the page marks its article (or else its
+main part), only lines inside have weight and any surge counts.
 
 Defined cases: null or empty html gives an empty text; a page without a surge gives its longest stretch; an unclosed
 element ends with its parent; repeated rows give repeated results; an empty table gives no rows; other input columns
@@ -44,9 +44,11 @@ NOISE_WORDS = frozenset(
     "ad ads adv advert adverts advertisement advertising adsense sponsor sponsored promo promotion banner sidebar menu nav navbar navigation "
     "breadcrumb breadcrumbs cookie cookies consent gdpr notice notification alert popup modal overlay comment comments disqus reply replies "
     "respond discussion share sharing social related recommended newsletter subscribe subscription signup login footer masthead "
-    "copyright pagination pager toolbar widget skip hidden disclaimer contentinfo complementary".split()
+    "copyright pagination pager toolbar widget skip hidden disclaimer contentinfo complementary toc warning".split()
 )
+NOISE_STARTS = re.compile(r"(?:comment(?!ary)|advert|sponsor|cookie|breadcrumb|newsletter|sidebar|footer|subscri)")
 CONTENT_WORDS = frozenset("article content main entry story body post".split())
+UNSURE = frozenset("banner menu notice alert widget toc warning copyright share sharing social skip hidden".split())
 HEADER_WORDS = frozenset("header banner masthead".split())
 KEEPERS = frozenset("html body main article".split())
 #: An element's start closes an open one of these kinds.
@@ -72,16 +74,18 @@ def _is_noise(tag: str, attributes: str, in_article: bool) -> bool:
             return True
         elif name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
             return True
-    noise = words & NOISE_WORDS
+    noise = words & NOISE_WORDS | {w for w in words if NOISE_STARTS.match(w)}
     if words & HEADER_WORDS and not in_article:
         return True
-    return bool(noise) and not (words & CONTENT_WORDS and not noise & {"comment", "comments", "sidebar", "footer", "related", "ad", "ads"})
+    # "post-content-banner" may well be a part of the text, "article-comments" is none
+    return bool(noise) and not (words & CONTENT_WORDS and noise <= UNSURE)
 
 
-def lines_of(page: str) -> list[tuple[str, int, bool, bool]]:
-    """(text, characters inside links, boilerplate, inside a marked article) of each block line in page order."""
-    out: list[tuple[str, int, bool, bool]] = []
-    stack: list[tuple[str, bool, bool]] = []  # tag, boilerplate, inside article
+def lines_of(page: str) -> list[tuple[str, int, bool, int]]:
+    """(text, characters inside links, boilerplate, mark) of each block line in page order; the mark is 2 inside
+    an article element, 1 inside main alone, else 0."""
+    out: list[tuple[str, int, bool, int]] = []
+    stack: list[tuple[str, bool, int]] = []  # tag, boilerplate, mark
     text: list[str] = []
     linked = 0
     raw = ""
@@ -91,7 +95,7 @@ def lines_of(page: str) -> list[tuple[str, int, bool, bool]]:
         nonlocal linked
         line = " ".join(html.unescape("".join(text)).split())
         if line:
-            top = stack[-1] if stack else ("", False, False)
+            top = stack[-1] if stack else ("", False, 0)
             out.append((line, linked, top[1], top[2]))
         text.clear()
         linked = 0
@@ -153,9 +157,9 @@ def lines_of(page: str) -> list[tuple[str, int, bool, bool]]:
                     break
                 if stack[k][0] in SCOPES:
                     break
-        _, noise, inside = stack[-1] if stack else ("", False, False)
-        inside = inside or tag in ("article", "main")
-        stack.append((tag, noise or _is_noise(tag, m[3], inside), inside))
+        _, noise, mark = stack[-1] if stack else ("", False, 0)
+        mark = max(mark, 2 if tag == "article" else tag == "main")
+        stack.append((tag, noise or _is_noise(tag, m[3], mark > 0), mark))
         links += tag == "a"
     if not raw:
         put(page[at:])
@@ -187,11 +191,11 @@ def kept_lines(weights: list[int], window: int, surge: int) -> list[bool]:
 
 def extract(page: str | None, window: int = WINDOW, surge: int = SURGE) -> str:
     lines = lines_of(page or "")
-    marked = any(inside and not noise for _, _, noise, inside in lines)
+    marked = max((mark for _, _, noise, mark in lines if not noise), default=0)
     weights = []
-    for line, linked, noise, inside in lines:
-        menu = linked > LINK_SHARE * len(line) and not (marked and inside)
-        weights.append(0 if noise or menu or marked and not inside else len(line))
+    for line, linked, noise, mark in lines:
+        menu = linked > LINK_SHARE * len(line) and not marked
+        weights.append(0 if noise or menu or mark < marked else len(line))
     keep = kept_lines(weights, window, 1 if marked else surge)
     return "\n".join(line for (line, *_), k in zip(lines, keep, strict=True) if k)
 

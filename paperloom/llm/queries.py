@@ -9,10 +9,7 @@ from pyspark.sql import functions as F
 
 from paperloom.llm import fingerprints, html_text, licenses, neardup, packing, quality, sharding, toxicity, viterbi, warc
 from paperloom.llm.common import scratch_path
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+from paperloom.sources.tables import load as table
 
 
 def tokenizer_path(name: str) -> str:

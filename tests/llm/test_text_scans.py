@@ -127,7 +127,7 @@ PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{{}}</style><script
 <div id="comments"><h2>Comments</h2><div class="comment"><p>First! This is a long reader comment that says nothing of interest at all.</p></div></div></div>
 <form><label>Name</label><input name="q"><button>Send</button></form><footer>&copy; Someone</footer></body></html>"""
 BODY = """<h1>The &amp; Title</h1><p>First   paragraph with <b>bold</b>,<br>and a <a href="#">link</a> in it that goes on for a while.
-<p>Short.</p><div class="ad">Buy now! The best things at the best price for everyone.</div><ul><li>item one</li><li>item two</li></ul>
+<p>Short.</p><ol class="commentlist"><li>me too</li></ol><div class="ad">Buy now! The best things at the best price for everyone.</div><ul><li>item one</li><li>item two</li></ul>
 <p>Last &lt;paragraph&gt; of the text, long enough to be counted as a part of it.</p>"""
 TEXT = (
     "The & Title\nFirst paragraph with bold, and a link in it that goes on for a while.\nShort.\nitem one\nitem two\n"
@@ -135,7 +135,8 @@ TEXT = (
 )
 
 
-@pytest.mark.parametrize("wrap", ["<article>{}</article>", "<main>{}</main>", '<div class="content">{}</div>', "<article><header>{}</header></article>"])
+@pytest.mark.parametrize("wrap", ["<article>{}</article>", "<main>{}</main>", '<div class="content">{}</div>', "<article><header>{}</header></article>",
+                                  "<main><p>A lead that is not a part of the article.</p><article>{}</article></main>"])
 def test_main_text(wrap):
     assert html_text.extract(PAGE.format(body=wrap.format(BODY))) == TEXT
 
