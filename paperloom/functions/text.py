@@ -12,6 +12,9 @@ from pyspark.sql import functions as F
 # --- fixed values that results depend on ---
 #: White space beyond ASCII that strip() removes (no-break spaces stay).
 WIDE_SPACE = r"[\s\x{001c}-\x{001f}\x{3000}\x{2000}-\x{2006}\x{2008}-\x{200a}\x{2028}\x{2029}\x{205f}\x{1680}]"
+SPACES = "".join(
+    map(chr, (*range(0x09, 0x0E), *range(0x1C, 0x21), 0x1680, *range(0x2000, 0x2007), *range(0x2008, 0x200B), 0x2028, 0x2029, 0x205F, 0x3000))
+)  # the same as characters
 CJK = r"\x{4e00}-\x{9fff}"
 SECTION_TYPES: dict[str, tuple[str, ...]] = {
     "ABSTRACT": ("abstract", "summary", "摘要"),
@@ -47,7 +50,7 @@ CITATION = r"\[ref(\d+)\]"
 
 
 def strip(text: Column) -> Column:
-    return F.regexp_replace(text, f"^{WIDE_SPACE}+|{WIDE_SPACE}+$", "")
+    return F.trim(text, F.lit(SPACES))
 
 
 def is_blank(text: Column) -> Column:

@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from paperloom.sources.tables import load as table  # noqa: F401  the query modules take it from here
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 
@@ -27,7 +29,3 @@ class Registry:
 
 REGISTRY = Registry()
 query = REGISTRY.add
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
