@@ -1,0 +1,209 @@
+"""Text of PDF pages, as far as a plain reader gets: no images, no encryption, no column detection.
+
+Any function from a file's bytes to page texts can take the place of pages_of, such as one around a PDF library.
+A page's runs of text are placed by their coordinates; runs in the top 60 and bottom 50 points, where running heads
+stand, are left out; the rest are put in order from top to bottom and left to right.
+"""
+
+from __future__ import annotations
+
+import re
+import zlib
+from collections.abc import Callable, Iterator
+
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+Parser = Callable[[bytes], list[str]]
+TOP, BOTTOM = 60.0, 50.0
+_OBJECT = re.compile(rb"(?<!\d)(\d+)\s+\d+\s+obj\b(.*?)\bendobj\b", re.S)
+_STREAM = re.compile(rb"stream\r?\n(.*?)\r?\n?endstream", re.S)
+_TOKEN = re.compile(rb"\((?:[^()\\]|\\.|\((?:[^()\\]|\\.)*\))*\)|<<|>>|<[0-9A-Fa-f\s]*>|\[|\]|/[^\s()<>\[\]/%]+|[-+]?\d*\.?\d+|[A-Za-z'\"*]+\d?", re.S)
+_ESCAPE = re.compile(rb"\\([0-7]{1,3}|\r\n|.)", re.S)
+_NAMED = {b"n": b"\n", b"r": b"\r", b"t": b"\t", b"b": b"\b", b"f": b"\f", b"\n": b"", b"\r": b"", b"\r\n": b""}
+
+
+class _File:
+    def __init__(self, data: bytes):
+        self.objects = {int(m[1]): m[2] for m in _OBJECT.finditer(data)}
+        for body in list(self.objects.values()):
+            if re.search(rb"/Type\s*/ObjStm", body):
+                self._unpack(body)
+
+    def _unpack(self, body: bytes) -> None:
+        """Objects inside an object stream: a list of numbers and offsets, then the objects."""
+        data, first = self.stream(body), int(re.search(rb"/First\s+(\d+)", body)[1])
+        heads = list(map(int, data[:first].split()))
+        places = heads[1::2] + [len(data) - first]
+        for k, number in enumerate(heads[::2]):
+            self.objects.setdefault(number, data[first + places[k] : first + places[k + 1]])
+
+    def stream(self, body: bytes) -> bytes:
+        m = _STREAM.search(body)
+        if not m:
+            return b""
+        return zlib.decompressobj().decompress(m[1]) if b"FlateDecode" in body[: m.start()] else m[1]
+
+    def value(self, body: bytes, key: bytes) -> bytes:
+        """What follows a key: a referenced object's body, or the rest of the dictionary."""
+        m = re.search(rb"/" + key + rb"(?![A-Za-z])\s*", body)
+        if not m:
+            return b""
+        rest = body[m.end() :]
+        ref = re.match(rb"(\d+)\s+\d+\s+R", rest)
+        return self.objects.get(int(ref[1]), b"") if ref else rest
+
+    def references(self, rest: bytes) -> list[int]:
+        inside = rest[1 : rest.index(b"]")] if rest.startswith(b"[") else rest
+        return [int(n) for n in re.findall(rb"(\d+)\s+\d+\s+R", inside)]
+
+    def pages(self) -> list[bytes]:
+        root = next((b for b in self.objects.values() if re.search(rb"/Type\s*/Catalog", b)), b"")
+        out: list[bytes] = []
+
+        def walk(body: bytes, seen: frozenset[int], above: bytes) -> None:
+            if re.search(rb"/Type\s*/Page(?!s)", body):
+                out.append(body + b" " + above)
+                return
+            shared = b" ".join(re.findall(rb"/(?:MediaBox|Resources)\b.*", body, re.S)[:1]) or above
+            for kid in self.references(self.value(body, b"Kids")):
+                if kid not in seen and kid in self.objects:
+                    walk(self.objects[kid], seen | {kid}, shared)
+
+        walk(self.value(root, b"Pages"), frozenset(), b"")
+        return out or [b for _, b in sorted(self.objects.items()) if re.search(rb"/Type\s*/Page(?!s)", b)]
+
+    def contents(self, page: bytes) -> bytes:
+        m = re.search(rb"/Contents\s*", page)
+        if not m:
+            return b""
+        rest = page[m.end() :]
+        numbers = self.references(rest) if rest.startswith(b"[") else [int(n) for n in re.findall(rb"^(\d+)\s+\d+\s+R", rest)]
+        return b"\n".join(self.stream(self.objects.get(n, b"")) for n in numbers)
+
+    def fonts(self, page: bytes) -> dict[bytes, dict[int, str]]:
+        """Character maps of the fonts that declare one, by the name the page gives them."""
+        listed = self.value(self.value(page, b"Resources") or page, b"Font")
+        listed = listed[: listed.index(b">>")] if b">>" in listed else listed
+        out = {}
+        for name, number in re.findall(rb"/([^\s/<>]+)\s+(\d+)\s+\d+\s+R", listed):
+            cmap = self.value(self.objects.get(int(number), b""), b"ToUnicode")
+            if cmap:
+                out[name] = _character_map(self.stream(cmap))
+        return out
+
+
+def _character_map(cmap: bytes) -> dict[int, str]:
+    text = lambda h: bytes.fromhex(h.decode()).decode("utf-16-be", "replace")
+    out = {}
+    for block in re.findall(rb"beginbfchar(.*?)endbfchar", cmap, re.S):
+        out.update({int(a, 16): text(b) for a, b in re.findall(rb"<([0-9A-Fa-f]+)>\s*<([0-9A-Fa-f]+)>", block)})
+    for block in re.findall(rb"beginbfrange(.*?)endbfrange", cmap, re.S):
+        for a, b, c in re.findall(rb"<([0-9A-Fa-f]+)>\s*<([0-9A-Fa-f]+)>\s*<([0-9A-Fa-f]+)>", block):
+            start = text(c)
+            for k in range(int(a, 16), min(int(b, 16), int(a, 16) + 0xFFFF) + 1):
+                out[k] = start[:-1] + chr(ord(start[-1]) + k - int(a, 16))
+    return out
+
+
+def _string(token: bytes) -> bytes:
+    if token[:1] == b"<":
+        digits = re.sub(rb"\s", b"", token[1:-1])
+        return bytes.fromhex((digits + b"0" * (len(digits) % 2)).decode())
+    return _ESCAPE.sub(lambda m: bytes([int(m[1], 8) & 255]) if m[1][:1] in b"01234567" else _NAMED.get(m[1], m[1]), token[1:-1])
+
+
+def _runs(content: bytes, fonts: dict[bytes, dict[int, str]]) -> Iterator[tuple[float, float, str]]:
+    """(x, y, text) of every shown string; only shifts of the matrices count, and text advances by order."""
+    held: list[bytes] = []
+    shift, saved = (0.0, 0.0), []
+    x = y = lead = 0.0
+    cmap: dict[int, str] = {}
+
+    def shown(parts: list[bytes]) -> str:
+        out = []
+        for p in parts:
+            if p[:1] not in (b"(", b"<"):
+                out.append(" " if float(p) < -200 else "")
+            elif cmap:
+                data = _string(p)
+                wide = max(cmap) > 255 or len(data) % 2 == 0 and all(b == 0 for b in data[::2])
+                codes = [int.from_bytes(data[k : k + 2]) for k in range(0, len(data), 2)] if wide else list(data)
+                out.append("".join(cmap.get(c, "") for c in codes))
+            else:
+                out.append(_string(p).decode("cp1252", "replace"))
+        return "".join(out)
+
+    for m in _TOKEN.finditer(content):
+        token = m[0]
+        if not re.match(rb"[A-Za-z'\"*]", token):
+            held.append(token)
+            continue
+        numbers = [float(t) for t in held if re.fullmatch(rb"[-+]?\d*\.?\d+", t)]
+        if token in (b"Td", b"TD") and len(numbers) >= 2:
+            x, y = x + numbers[-2], y + numbers[-1]
+            lead = -numbers[-1] if token == b"TD" else lead
+        elif token == b"Tm" and len(numbers) >= 6:
+            x, y = numbers[-2:]
+        elif token == b"TL" and numbers:
+            lead = numbers[-1]
+        elif token in (b"T*", b"'", b'"'):
+            y -= lead
+        elif token == b"BT":
+            x = y = 0.0
+        elif token == b"cm" and len(numbers) >= 6:
+            shift = (shift[0] + numbers[-2], shift[1] + numbers[-1])
+        elif token == b"q":
+            saved.append((shift, cmap))
+        elif token == b"Q" and saved:
+            shift, cmap = saved.pop()
+        elif token == b"Tf":
+            cmap = fonts.get(next((t[1:] for t in held if t[:1] == b"/"), b""), {})
+        if token in (b"Tj", b"TJ", b"'", b'"'):
+            text = shown([t for t in held if t[:1] in (b"(", b"<") or token == b"TJ" and t not in (b"[", b"]")])
+            if text:
+                yield x + shift[0], y + shift[1], text
+        held = []
+
+
+def _page_text(file: _File, page: bytes) -> str:
+    box = re.search(rb"/MediaBox\s*\[\s*([-\d.\s]+)\]", page)
+    low, high = ([float(n) for n in box[1].split()] + [0.0] * 4)[1:4:2] if box else (0.0, 792.0)
+    lines: dict[float, list[tuple[float, int, str]]] = {}
+    for k, (x, y, text) in enumerate(_runs(file.contents(page), file.fonts(page))):
+        if low + BOTTOM <= y <= high - TOP:
+            lines.setdefault(round(y), []).append((x, k, text))
+    return "\n".join(" ".join(t for _, _, t in sorted(lines[y])) for y in sorted(lines, reverse=True))
+
+
+def pages_of(data: bytes) -> list[str]:
+    """Texts of a PDF's pages in order; a page that can't be read is empty."""
+    if not data.lstrip()[:5] == b"%PDF-":
+        raise ValueError("not a PDF")
+    file = _File(data)
+    out = []
+    for page in file.pages():
+        try:
+            out.append(_page_text(file, page))
+        except (ValueError, KeyError, IndexError, zlib.error):
+            out.append("")
+    return out
+
+
+def read_pages(files: DataFrame, parser: Parser = pages_of, key: str = "path", content: str = "content") -> tuple[DataFrame, DataFrame]:
+    """(pages: key, page_num, text; failures: key, error_msg) of a table of files. A bad file fails as a row."""
+
+    @F.pandas_udf("struct<pages: array<string>, error_msg: string>")
+    def parse(contents: pd.Series) -> pd.DataFrame:
+        rows = []
+        for data in contents:
+            try:
+                rows.append((parser(data), None))
+            except Exception as error:  # any parser's failure is that file's result
+                rows.append((None, str(error) or type(error).__name__))
+        return pd.DataFrame(rows, columns=["pages", "error_msg"])
+
+    read = files.select(key, parse(content).alias("r"))
+    pages = read.select(key, F.posexplode("r.pages").alias("n", "text")).select(key, (F.col("n") + 1).alias("page_num"), "text")
+    return pages, read.filter("r.error_msg IS NOT NULL").select(key, "r.error_msg")
