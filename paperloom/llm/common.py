@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 from collections.abc import Iterator
 
@@ -16,11 +17,13 @@ BATCH_ROWS = 256
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh folder under spark.checkpoint.dir, which driver and executors share.
 
-    Where the setting is missing (a test on one machine) SCRATCH_UNSET takes its place.
+    Where the setting is missing SCRATCH_UNSET takes its place, but only where all of Spark is one process; on a
+    cluster a folder of one machine would not do.
     """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not base:
-        base = SCRATCH_UNSET
+    if not base and not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    base = base or SCRATCH_UNSET
     return f"{base.rstrip('/')}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex[:12]}"
 
 
