@@ -44,7 +44,7 @@ def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return neardup.near_groups(table(spark, sf_dir, "documents"))
+    return neardup.near_groups(table(spark, sf_dir, "documents")).select("doc_id", "group_id")
 
 
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
