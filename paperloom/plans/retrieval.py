@@ -163,7 +163,6 @@ def normalize_question(spark, sf_dir):
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", T.normalized_question(quoted).alias("question"))
 
 
-_ANSWER_SQL = "text || ' (source: [ref' || (turn + 1) || '][ref1]) and [ref' || (turn % 3 + 1) || '] [ref99999999999]'"
 
 
 def _answers(spark, sf_dir):

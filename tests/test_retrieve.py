@@ -46,10 +46,16 @@ def vectors(spark):
     return spark.createDataFrame(rows, "chunk_id long, kb_id long, embedding array<float>")
 
 
-@pytest.mark.parametrize("broadcast", [True, False])
-def test_first_knowledge_base_wins(spark, broadcast):
+@pytest.mark.parametrize("block", [1, 2000])
+def test_blocks_of_questions_find_the_same(spark, block):
+    q = spark.createDataFrame([(k, [1.0, k / 3.0], [1, 2]) for k in range(4)], "query_id long, embedding array<float>, kb_ids array<bigint>")
+    got = sorted(tuple(r) for r in retrieve.vector_topk(q, vectors(spark), 3, block).collect())
+    assert len(got) == 24 and got == sorted(tuple(r) for r in retrieve.vector_topk(q, vectors(spark), 3).collect())
+
+
+def test_first_knowledge_base_wins(spark):
     q = spark.createDataFrame([(1, [1.0, 0.0], [1, 2])], "query_id long, embedding array<float>, kb_ids array<bigint>")
-    top = retrieve.vector_topk(q, vectors(spark), 3, broadcast)
+    top = retrieve.vector_topk(q, vectors(spark), 3)
     assert top.count() == 6
     got = retrieve.vector_only(q, vectors(spark), 3).orderBy("rank").collect()
     assert [(r["chunk_id"], r["score"]) for r in got] == [(8, 1.0), (6, 0.5), (4, 0.333333)]
