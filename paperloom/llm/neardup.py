@@ -43,6 +43,7 @@ REGISTERS = 128
 ROWS = 4  # registers of a band: at J = 0.8 all 32 bands miss with probability (1 - 0.8^4)^32 = 5e-8
 CHUNK = 1 << 19
 BLOCK = 256  # members of a family that meet as many others in one task
+BLOCK_SHINGLES = 1_000_000  # fewer members meet where their texts are so long that they would exceed this together
 _LEVEL = 0xA0761D6478BD642F
 _STEP = 0xE7037ED1A0B428DB
 
@@ -233,7 +234,8 @@ def family_links(close: DataFrame, groups: DataFrame, texts: DataFrame, threshol
     mixed = units.groupBy("pivot", "unit").agg(
         F.count("*").alias("n"), F.max(F.col("component") != F.col("home")).alias("open"), F.max("class").alias("top")
     )
-    mixed = mixed.filter("n > 1 AND open AND top = unit").select("pivot", "unit", F.ceil(F.col("n") / block).cast("int").alias("blocks"))
+    room = F.greatest(F.lit(1.0), F.least(F.lit(float(block)), F.floor(BLOCK_SHINGLES * F.pow(F.lit(threshold), F.col("unit") + 1))))
+    mixed = mixed.filter("n > 1 AND open AND top = unit").select("pivot", "unit", F.ceil(F.col("n") / room).cast("int").alias("blocks"))
     mixed = materialize(mixed, "mixed")
     dealt = units.join(mixed, ["pivot", "unit"]).withColumn("own", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
