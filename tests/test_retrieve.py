@@ -127,3 +127,46 @@ def test_history_counts_missing_faithfulness_as_zero(spark):
     row = evaluate.history(results, spark.createDataFrame([(1, 4)], "id long, kb_id long")).first()
     assert (row["kb_id"], row["total"], row["hits"], row["faithfulness"], row["mrr"]) == (4, 2, 1, 0.4, 0.5)
     assert evaluate.summary(evaluate.history(results, spark.createDataFrame([(1, 4)], "id long, kb_id long"))).first()["summary"] == "HitRate: 50.0% / MRR: 0.5000"
+
+
+def test_expansion_keeps_the_question_and_three_rewrites(spark):
+    q = spark.createDataFrame([(1, "q", " a \n\nb\nc\nd"), (2, "r", None)], "query_id long, question string, rewrites string")
+    got = sorted(tuple(r) for r in retrieve.expanded(q).collect())
+    assert got == [(1, 0, "q"), (1, 1, "a"), (1, 2, "b"), (1, 3, "c"), (2, 0, "r")]
+
+
+def test_samples_repeat(spark):
+    rows = spark.range(1000).withColumnRenamed("id", "query_id")
+    one, two = (sorted(r[0] for r in answer.sampled(rows).collect()) for _ in range(2))
+    assert one == two and 120 < len(one) < 280
+
+
+def test_answer_cache(spark):
+    seen = spark.createDataFrame([("q", [2, 1], "yes", False), ("w", [1], "none", True)], "question string, kb_ids array<long>, answer string, not_found boolean")
+    cache = embed.answers_to_cache(seen)
+    asked = spark.createDataFrame([("q", [1, 2]), ("q", [1]), ("w", [1])], "question string, kb_ids array<long>")
+    assert [r["answer"] for r in embed.answers_cached(asked, cache).orderBy("question", F.size("kb_ids").desc()).collect()] == ["yes", None, None]
+
+
+def test_cache_entries_age(spark):
+    rows = spark.createDataFrame([(1, "2024-01-01 00:00:00"), (2, "2024-01-01 00:09:30")], "id long, t string").withColumn("created_at", F.col("t").cast("timestamp_ntz"))
+    assert [r["id"] for r in embed.live(rows, F.expr("TIMESTAMP_NTZ '2024-01-01 00:10:01'"), 600).collect()] == [2]
+
+
+def test_failing_models_fall_back(spark):
+    def broken(*_):
+        raise OSError("no service")
+
+    rows = spark.createDataFrame([("a",), ("b",)], "p string")
+    assert {r[0] for r in rows.select(providers.answer(F.col("p"), broken, F.lit("else"))).collect()} == {"else"}
+    assert {r[0] for r in rows.select(providers.relevance(F.col("p"), F.col("p"), broken)).collect()} == {None}
+    scores = rows.select(providers.relevance(F.lit("a b"), F.col("p"), providers.overlap_ranker)).collect()
+    assert [r[0] for r in scores] == [0.5, 0.5]
+
+
+def test_each_route_has_its_plan(spark):
+    chunks = vectors(spark).withColumn("content", F.concat(F.lit("word "), F.col("chunk_id").cast("string")))
+    rows = [(1, "SIMPLE"), (2, "STANDARD"), (3, "COMPLEX")]
+    q = spark.createDataFrame([(k, r, "word", [1.0, 0.0], [0.0, 1.0], [1, 2]) for k, r in rows], "query_id long, route string, question string, embedding array<float>, hyde_embedding array<float>, kb_ids array<bigint>")
+    got = retrieve.by_route(q, chunks, retrieve.postings(chunks)).groupBy("query_id").count().collect()
+    assert {r["query_id"]: r["count"] for r in got} == {1: 5, 2: 8, 3: 5}
