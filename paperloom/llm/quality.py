@@ -17,6 +17,8 @@ SPACES = " \t\n\x0b\x0c\r"
 SPACE_RUN = r"[\x20\x09-\x0D]+"
 SYMBOLS = "#*$%&|<>"
 
+MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_chars", "n_lines", "n_exclamations")
+
 #: Bit of each rule -> SQL predicate over the measurements; true is a failure.
 RULES: dict[str, str] = {
     "too_few_words": "n_words < 10",
@@ -120,10 +122,10 @@ def measure(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text
     for name, rule in RULES.items():
         bit = F.when(F.expr(rule), F.lit(BITS[name])).otherwise(F.lit(0))
         bits = bit if bits is None else bits.bitwiseOR(bit)
-    return df.select(
-        id_column, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_chars", "n_lines", "n_exclamations",
-        bits.cast("long").alias("failures"),
-    )
+    # Columns that are not deterministic keep Catalyst from pushing a reader's filter below the measurements, which
+    # would write each of them out again wherever it is used and take minutes to plan.
+    fence = F.monotonically_increasing_id() >= 0
+    return df.withColumn("failures", bits.cast("long")).select(id_column, *[F.when(fence, F.col(c)).alias(c) for c in (*MEASURES, "failures")])
 
 
 def apply_policy(ledger: DataFrame, policy: str | tuple[str, ...] = "default") -> DataFrame:
@@ -159,6 +161,4 @@ def keep_good(docs: DataFrame, policy: str = "default", id_column: str = "doc_id
     """The rows of docs that the policy keeps, with docs' own columns, in one pass and without a join."""
     whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col(text_column).alias("_source"))
     ledger = apply_policy(measure(whole, "_row", "_source"), policy)
-    # a column that is not deterministic keeps Catalyst from pushing the filter down, which would write every
-    # measurement out again for each rule that reads it
-    return ledger.withColumn("_fence", F.monotonically_increasing_id()).filter("kept AND _fence >= 0").select("_row.*")
+    return ledger.filter("kept").select("_row.*")

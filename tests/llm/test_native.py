@@ -138,3 +138,10 @@ def test_a_changed_payload_is_found(spark, tmp_path):
     spark.read.parquet(str(tmp_path / "a/records")).write.parquet(str(tmp_path / "b/records"))
     with pytest.raises(Exception, match="does not match"):
         warc.describe(warc.read_archive(spark, str(tmp_path / "b"))).collect()
+
+
+def test_filters_on_the_ledger_plan_fast(spark):
+    docs = spark.createDataFrame([(1, "a b"), (2, "plain words that make up one line of more than ten words in all")], "doc_id long, text string")
+    ledger = quality.apply_policy(quality.measure(docs))
+    assert [r["doc_id"] for r in ledger.filter("kept AND n_repeat_words = 0").collect()] == [2]
+    assert ledger.filter("NOT kept AND n_dup_lines = 0").select("doc_id").count() == 1
