@@ -148,6 +148,52 @@ def hyde_fusion(spark, sf_dir):
     return retrieve.fuse(_fused(spark, sf_dir, 20), retrieve.concatenated(guess), top=20)
 
 
+# --- whole hybrid retrieval: vectors and, as a question, the whole text of the asking vector's document ---
+
+_WORDS = r"regexp_extract_all(lower({}), '[\p{{L}}\p{{N}}]+')"
+_WHOLE_TERMS = rf"list_filter(regexp_split_to_array(text, '[\s\p{{P}}]+'), lambda t: length(t) >= 2 AND lower(t) NOT IN ({_STOP}))"
+_WHOLE_LEXEMES = _WORDS.format(f"array_to_string(CASE WHEN len({_WHOLE_TERMS}) > 0 THEN {_WHOLE_TERMS} ELSE [substr(text, 1, 20)] END, ' ')")
+
+_HYBRID = "WITH " + _DIST + f""", k AS (SELECT d.doc_id AS chunk_id, coalesce(e.label, d.doc_id % 10) AS kb_id, d.text FROM documents d LEFT JOIN embeddings e ON e.vec_id = d.doc_id),
+w AS (SELECT chunk_id, kb_id, unnest({_WORDS.format("text")}) AS term FROM k),
+p AS (SELECT chunk_id, kb_id, term, count(*) AS tf FROM w GROUP BY ALL),
+a AS (SELECT DISTINCT q.query_id, unnest({_WHOLE_LEXEMES}) AS term FROM q JOIN documents ON doc_id = query_id),
+n AS (SELECT query_id, count(*) AS n FROM a GROUP BY query_id),
+h AS (SELECT query_id, kb_id, chunk_id, sum(tf) AS tf FROM p JOIN a USING (term) JOIN n USING (query_id) GROUP BY query_id, kb_id, chunk_id, n.n HAVING count(*) = n.n),
+t AS (SELECT *, row_number() OVER (PARTITION BY query_id, kb_id ORDER BY tf DESC, chunk_id) AS kb_rank FROM h QUALIFY kb_rank <= 20),
+r AS (SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY kb_id, kb_rank) AS rank, 0 AS src FROM v
+ UNION ALL SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY kb_id, kb_rank) AS rank, 1 AS src FROM t),
+f AS (SELECT query_id, chunk_id, round(sum(1.0::DOUBLE / (60 + rank)), 6) AS score, min(src * 1000000 + rank) AS first FROM r GROUP BY ALL),
+fused AS (SELECT query_id, chunk_id, score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, first, chunk_id) AS INTEGER) AS rank FROM f QUALIFY rank <= 10)"""
+
+
+def _whole(spark, sf_dir):
+    """Questions with their texts, all vectors, and the term index of all documents; a document without a vector is in the knowledge base of its id mod 10."""
+    docs = table(spark, sf_dir, "documents")
+    texts = docs.select(F.col("doc_id").alias("query_id"), F.col("text").alias("question"))
+    questions = _askers(spark, sf_dir).join(texts, "query_id", "left").withColumn("hyde_embedding", F.reverse("embedding"))
+    labels = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), F.col("label").cast("long").alias("label"))
+    kb = F.coalesce("label", F.col("doc_id") % 10).alias("kb_id")
+    indexed = docs.join(labels, "doc_id", "left").select(F.col("doc_id").alias("chunk_id"), kb, F.col("text").alias("content"))
+    return questions, _chunks(spark, sf_dir), retrieve.postings(indexed)
+
+
+@query(_HYBRID + " SELECT * FROM fused")
+def hybrid_search(spark, sf_dir):
+    return retrieve.hybrid(*_whole(spark, sf_dir), top=10)
+
+
+@query(_HYBRID.replace("rank <= 10", "rank <= 20") + """, hd AS (SELECT q.query_id, c.label AS kb_id, c.vec_id AS chunk_id, round(1.0 - list_cosine_similarity(list_reverse(q.e), c.embedding::DOUBLE[]), 6) AS distance FROM q, embeddings c),
+hv AS (SELECT *, row_number() OVER (PARTITION BY query_id, kb_id ORDER BY distance, chunk_id) AS kb_rank FROM hd QUALIFY kb_rank <= 20),
+b AS (SELECT query_id, chunk_id, rank, 0 AS src FROM fused UNION ALL SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY kb_id, kb_rank) AS rank, 1 AS src FROM hv),
+g AS (SELECT query_id, chunk_id, round(sum(1.0::DOUBLE / (60 + rank)), 6) AS score, min(src * 1000000 + rank) AS first FROM b GROUP BY ALL)
+SELECT query_id, chunk_id, score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, first, chunk_id) AS INTEGER) AS rank FROM g QUALIFY rank <= 20""")
+def hypothesis_search(spark, sf_dir):
+    """The hypothetical answer's vector is the question's reversed."""
+    return retrieve.with_hypothesis(*_whole(spark, sf_dir), top=20)
+
+
+
 # --- routing and answers ---
 
 
