@@ -5,7 +5,8 @@ lies in boilerplate (navigation, footers, asides, forms, scripts, adverts, notic
 by the words of class, id and role) or is mostly links. Weights are summed over a sliding window of lines. Text
 surges where a window's sum leaves zero and the stretch reaches the surge threshold, and dives where the sum is zero
 again; the weighted lines between surge and dive are kept, short ones too. If the page marks its article (or else its
-main part), only lines inside have weight and any surge counts.
+main part) and more text lies inside the mark than outside, a line inside weighs MARK times its length and one outside
+a MARK-th of it, and the two have their own windows; a smaller marked part is text like any other.
 
 Defined cases: null or empty html gives an empty text; a page without a surge gives its longest stretch; an unclosed
 element ends with its parent; repeated rows give repeated results; an empty table gives no rows; other input columns
@@ -26,7 +27,8 @@ from pyspark.sql import functions as F
 from paperloom.llm.common import bound_batches
 
 WINDOW = 3
-SURGE = 80  # characters in a window that make a surge on pages without a marked article
+SURGE = 80  # weight in a window that makes a surge
+MARK = 4
 LINK_SHARE = 0.6
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([A-Za-z][^\s/>]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
@@ -167,36 +169,57 @@ def lines_of(page: str) -> list[tuple[str, int, bool, int]]:
     return out
 
 
-def kept_lines(weights: list[int], window: int, surge: int) -> list[bool]:
-    """Which lines lie between a surge and the following dive; the longest stretch if none surges."""
+def kept_lines(weights: list[int], window: int, surge: int, inside: list[bool] | None = None) -> list[bool]:
+    """Which lines lie between a surge and the following dive; the longest stretch if none surges.
+
+    Lines that differ in `inside` weigh nothing to each other, so no stretch joins them.
+    """
     n = len(weights)
-    sums = [sum(weights[max(0, k - window + 1) : k + 1]) for k in range(n)]
-    stretches, start = [], None
-    for k in range(n + 1):
-        live = k < n and sums[k] > 0
-        if live and start is None:
-            start = k
-        elif not live and start is not None:
-            stretches.append((start, k, max(sums[start:k]), sum(weights[start:k])))
-            start = None
-    chosen = [s for s in stretches if s[2] >= surge]
+    parts = [[w if i == part else 0 for w, i in zip(weights, inside, strict=True)] for part in (True, False)] if inside else [weights]
+    stretches = []
+    for own in parts:
+        sums = [sum(own[max(0, k - window + 1) : k + 1]) for k in range(n)]
+        start = None
+        for k in range(n + 1):
+            live = k < n and sums[k] > 0
+            if live and start is None:
+                start = k
+            elif not live and start is not None:
+                stretches.append((own, start, k, max(sums[start:k]), sum(own[start:k])))
+                start = None
+    chosen = [s for s in stretches if s[3] >= surge]
     if not chosen and stretches:
-        chosen = [max(stretches, key=lambda s: s[3])]
+        chosen = [max(stretches, key=lambda s: s[4])]
     keep = [False] * n
-    for a, b, _, _ in chosen:
+    for own, a, b, _, _ in chosen:
         for k in range(a, b):
-            keep[k] = weights[k] > 0
+            keep[k] = keep[k] or own[k] > 0
     return keep
 
 
+def _is_menu(line: str, linked: int) -> bool:
+    return linked > LINK_SHARE * len(line)
+
+
+def trusted_mark(lines: list[tuple[str, int, bool, int]]) -> int:
+    """The highest mark with more text inside it than outside, without boilerplate and, outside, menus; else 0."""
+    for level in (2, 1):
+        inside = sum(len(line) for line, _, noise, mark in lines if not noise and mark >= level)
+        outside = sum(len(line) for line, linked, noise, mark in lines if not noise and mark < level and not _is_menu(line, linked))
+        if inside > outside:
+            return level
+    return 0
+
+
 def extract(page: str | None, window: int = WINDOW, surge: int = SURGE) -> str:
     lines = lines_of(page or "")
-    marked = max((mark for _, _, noise, mark in lines if not noise), default=0)
+    marked = trusted_mark(lines)
+    inside = [marked > 0 and mark >= marked for *_, mark in lines]
     weights = []
-    for line, linked, noise, mark in lines:
-        menu = linked > LINK_SHARE * len(line) and not marked
-        weights.append(0 if noise or menu or mark < marked else len(line))
-    keep = kept_lines(weights, window, 1 if marked else surge)
+    for (line, linked, noise, _), within in zip(lines, inside, strict=True):
+        size = len(line) * MARK * MARK if within else len(line) if marked else len(line) * MARK
+        weights.append(0 if noise or not within and _is_menu(line, linked) else size)
+    keep = kept_lines(weights, window, surge * MARK, inside if marked else None)
     return "\n".join(line for (line, *_), k in zip(lines, keep, strict=True) if k)
 
 
