@@ -1,7 +1,7 @@
 """Queries on vectors, terms, fusion, routing, answers, evaluation and caches.
 
 Vectors: every vector whose id is divisible by 50 asks, against all vectors; a label is a knowledge base. Terms:
-every benchmark item asks with its first three words, against all documents; doc_id mod 4 is a knowledge base.
+every benchmark item asks with its first three words, or in fulltext_whole_* with all, against all documents; doc_id mod 4 is a knowledge base.
 """
 
 from __future__ import annotations
@@ -95,6 +95,37 @@ def fulltext_any_term(spark, sf_dir):
     return retrieve.term_topk(_asked(spark, sf_dir), _index(spark, sf_dir), any_term=True).select("query_id", "kb_id", "chunk_id", "tf", "kb_rank")
 
 
+
+def _asked_whole(spark, sf_dir):
+    """Questions of the whole text of each item."""
+    return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("question"), F.array(*[F.lit(k).cast("long") for k in range(4)]).alias("kb_ids"))
+
+
+_WORDS = r"regexp_extract_all(lower({}), '[\p{{L}}\p{{N}}]+')"
+_WHOLE_TERMS = rf"list_filter(regexp_split_to_array(text, '[\s\p{{P}}]+'), lambda t: length(t) >= 2 AND lower(t) NOT IN ({_STOP}))"
+_WHOLE_LEXEMES = _WORDS.format(f"array_to_string(CASE WHEN len({_WHOLE_TERMS}) > 0 THEN {_WHOLE_TERMS} ELSE [substr(text, 1, 20)] END, ' ')")
+
+_POST_WHOLE = f"""w AS (SELECT doc_id, unnest({_WORDS.format("text")}) AS term FROM documents),
+p AS (SELECT doc_id AS chunk_id, doc_id % 4 AS kb_id, term, count(*) AS tf FROM w GROUP BY ALL),
+a AS (SELECT DISTINCT item_id AS query_id, unnest({_WHOLE_LEXEMES}) AS term FROM benchmark),
+n AS (SELECT query_id, count(*) AS n FROM a GROUP BY query_id),
+o AS (SELECT query_id, kb_id, chunk_id, sum(tf) AS tf, count(*) AS matched FROM p JOIN a USING (term) GROUP BY ALL)"""
+
+
+@query("WITH " + _POST_WHOLE + """ SELECT query_id, kb_id, chunk_id, CAST(tf AS BIGINT) AS tf, CAST(row_number() OVER (PARTITION BY query_id, kb_id ORDER BY tf DESC, chunk_id) AS INTEGER) AS kb_rank
+FROM o JOIN n USING (query_id) WHERE matched = n QUALIFY kb_rank <= 20""")
+def fulltext_whole_topk(spark, sf_dir):
+    """fulltext_topk with every search term of the item."""
+    return retrieve.term_topk(_asked_whole(spark, sf_dir), _index(spark, sf_dir)).select("query_id", "kb_id", "chunk_id", "tf", "kb_rank")
+
+
+@query("WITH " + _POST_WHOLE + """ SELECT query_id, kb_id, chunk_id, CAST(tf AS BIGINT) AS tf, CAST(row_number() OVER (PARTITION BY query_id, kb_id ORDER BY tf DESC, chunk_id) AS INTEGER) AS kb_rank
+FROM o QUALIFY kb_rank <= 20""")
+def fulltext_whole_any_term(spark, sf_dir):
+    """fulltext_any_term with every search term of the item."""
+    return retrieve.term_topk(_asked_whole(spark, sf_dir), _index(spark, sf_dir), any_term=True).select("query_id", "kb_id", "chunk_id", "tf", "kb_rank")
+
+
 # --- fusion: a second ranked list over the same vectors comes from their first eight dimensions ---
 
 _FUSED = "WITH " + _DIST + """, d2 AS (SELECT q.query_id, c.label AS kb_id, c.vec_id AS chunk_id, round(1.0 - list_cosine_similarity(q.e[1:8], c.embedding[1:8]::DOUBLE[]), 6) AS distance FROM q, embeddings c),
@@ -150,10 +181,6 @@ def hyde_fusion(spark, sf_dir):
 
 # --- whole hybrid retrieval: vectors and, as a question, the whole text of the asking vector's document ---
 
-_WORDS = r"regexp_extract_all(lower({}), '[\p{{L}}\p{{N}}]+')"
-_WHOLE_TERMS = rf"list_filter(regexp_split_to_array(text, '[\s\p{{P}}]+'), lambda t: length(t) >= 2 AND lower(t) NOT IN ({_STOP}))"
-_WHOLE_LEXEMES = _WORDS.format(f"array_to_string(CASE WHEN len({_WHOLE_TERMS}) > 0 THEN {_WHOLE_TERMS} ELSE [substr(text, 1, 20)] END, ' ')")
-
 _HYBRID = "WITH " + _DIST + f""", k AS (SELECT d.doc_id AS chunk_id, coalesce(e.label, d.doc_id % 10) AS kb_id, d.text FROM documents d LEFT JOIN embeddings e ON e.vec_id = d.doc_id),
 w AS (SELECT chunk_id, kb_id, unnest({_WORDS.format("text")}) AS term FROM k),
 p AS (SELECT chunk_id, kb_id, term, count(*) AS tf FROM w GROUP BY ALL),
