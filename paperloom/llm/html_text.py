@@ -8,6 +8,10 @@ again; the weighted lines between surge and dive are kept, short ones too. If th
 main part) and more text lies inside the mark than outside, a line inside weighs MARK times its length and one outside
 a MARK-th of it, and the two have their own windows; a smaller marked part is text like any other.
 
+A word of class, id or role does not silence an element that holds the only marked article or the main part while none
+is free, nor one that holds most of the page's text and has the word in modifiers alone ("has-sidebar", "ad-free").
+Where these words silence all text that elements leave, none of them counts.
+
 Defined cases: null or empty html gives an empty text; a page without a surge gives its longest stretch; an unclosed
 element ends with its parent; repeated rows give repeated results; an empty table gives no rows; other input columns
 are ignored; the whole html is read, however long.
@@ -51,6 +55,8 @@ NOISE_WORDS = frozenset(
 NOISE_STARTS = re.compile(r"(?:comment(?!ary)|advert|sponsor|cookie|breadcrumb|newsletter|sidebar|footer|subscri)")
 CONTENT_WORDS = frozenset("article content main entry story body post".split())
 UNSURE = frozenset("banner menu notice alert widget toc warning copyright share sharing social skip hidden".split())
+#: Class tokens that tell what is beside or inside an element, not what it is.
+MODIFIER = re.compile(r"(?:has|have|with|without|no|non|is|show|hide)[-_].*|.*[-_](?:free|less|on|off|open|closed|enabled|disabled|left|right|none)")
 HEADER_WORDS = frozenset("header banner masthead".split())
 KEEPERS = frozenset("html body main article".split())
 #: An element's start closes an open one of these kinds.
@@ -60,22 +66,30 @@ CLOSED_BY = {
 SCOPES = frozenset("table ul ol dl select body html article main section div nav aside footer header form blockquote figure td th".split())
 
 
-def _is_noise(tag: str, attributes: str, in_article: bool) -> bool:
+def _is_noise(tag: str, attributes: str, in_article: bool) -> tuple[bool, bool, bool]:
+    """Whether an element is boilerplate by itself, whether by a word of its class, id or role, and if so by modifiers alone."""
     if tag in KEEPERS:
-        return False
+        return False, False, False
     if tag in BOILERPLATE or tag == "header" and not in_article:
-        return True
+        return True, False, False
     if not attributes.strip():
-        return False
-    words: set[str] = set()
+        return False, False, False
+    tokens: set[str] = set()
     for m in _ATTRIBUTE.finditer(attributes):
         name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
         if name in ("class", "id", "role"):
-            words.update(_SPLIT.split(re.sub(r"(?<=[a-z])(?=[A-Z])", " ", value).lower()))
+            tokens.update(re.sub(r"(?<=[a-z])(?=[A-Z])", "-", value).lower().split())
         elif name == "hidden" or name == "aria-hidden" and value.lower() == "true":
-            return True
+            return True, False, False
         elif name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
-            return True
+            return True, False, False
+    if not _noise_words(tokens, in_article):
+        return False, False, False
+    return False, True, not _noise_words({t for t in tokens if not MODIFIER.fullmatch(t)}, in_article)
+
+
+def _noise_words(tokens: set[str], in_article: bool) -> bool:
+    words = {w for t in tokens for w in _SPLIT.split(t)}
     noise = words & NOISE_WORDS | {w for w in words if NOISE_STARTS.match(w)}
     if words & HEADER_WORDS and not in_article:
         return True
@@ -86,8 +100,10 @@ def _is_noise(tag: str, attributes: str, in_article: bool) -> bool:
 def lines_of(page: str) -> list[tuple[str, int, bool, int]]:
     """(text, characters inside links, boilerplate, mark) of each block line in page order; the mark is 2 inside
     an article element, 1 inside main alone, else 0."""
-    out: list[tuple[str, int, bool, int]] = []
-    stack: list[tuple[str, bool, int]] = []  # tag, boilerplate, mark
+    out: list[tuple[str, int, bool, int, tuple[int, ...]]] = []
+    stack: list[tuple[str, bool, int, tuple[int, ...]]] = []  # tag, boilerplate, mark, elements around that a word may silence
+    modified: list[bool] = []  # of each such element
+    marks: list[tuple[str, tuple[int, ...]]] = []
     text: list[str] = []
     linked = 0
     raw = ""
@@ -97,8 +113,8 @@ def lines_of(page: str) -> list[tuple[str, int, bool, int]]:
         nonlocal linked
         line = " ".join(html.unescape("".join(text)).split())
         if line:
-            top = stack[-1] if stack else ("", False, 0)
-            out.append((line, linked, top[1], top[2]))
+            top = stack[-1] if stack else ("", False, 0, ())
+            out.append((line, linked, *top[1:]))
         text.clear()
         linked = 0
 
@@ -159,14 +175,41 @@ def lines_of(page: str) -> list[tuple[str, int, bool, int]]:
                     break
                 if stack[k][0] in SCOPES:
                     break
-        _, noise, mark = stack[-1] if stack else ("", False, 0)
+        _, noise, mark, around = stack[-1] if stack else ("", False, 0, ())
         mark = max(mark, 2 if tag == "article" else tag == "main")
-        stack.append((tag, noise or _is_noise(tag, m[3], mark > 0), mark))
+        hard, word, modifier = _is_noise(tag, m[3], mark > 0)
+        if word:
+            around = (*around, len(modified))
+            modified.append(modifier)
+        noise = noise or hard
+        if tag in ("article", "main") and not noise:
+            marks.append((tag, around))
+        stack.append((tag, noise, mark, around))
         links += tag == "a"
     if not raw:
         put(page[at:])
     flush()
-    return out
+    silent = _silent(out, modified, marks)
+    rows = [(line, linked, noise or not silent.isdisjoint(around), mark) for line, linked, noise, mark, around in out]
+    if all(noise for *_, noise, _ in rows):
+        return [(line, linked, noise, mark) for line, linked, noise, mark, _ in out]
+    return rows
+
+
+def _silent(lines: list[tuple[str, int, bool, int, tuple[int, ...]]], modified: list[bool], marks: list[tuple[str, tuple[int, ...]]]) -> set[int]:
+    """Those of the elements with a boilerplate word that it does silence."""
+    if not modified:
+        return set()
+    held, total = [0] * len(modified), 0
+    for line, _, noise, _, around in lines:
+        if not noise:
+            total += len(line)
+            for k in around:
+                held[k] += len(line)
+    free = any(not around for _, around in marks)
+    single = sum(tag == "article" for tag, _ in marks) == 1
+    marked = {k for tag, around in marks if single or tag == "main" for k in around} if not free else set()
+    return {k for k in range(len(modified)) if k not in marked and not (modified[k] and 2 * held[k] > total)}
 
 
 def kept_lines(weights: list[int], window: int, surge: int, inside: list[bool] | None = None) -> list[bool]:

@@ -25,3 +25,26 @@ def test_long_text_beside_a_marked_article_stays():
     text = html_text.extract(f"<body><p>Next: a tease.</p><article>{STORY * 3}</article>{beside}</body>")
     assert text.count("Paragraph") == 18 and "second part" in text
     assert "tease" not in html_text.extract(f"<body><p>Next: a tease.</p><article>{STORY}</article></body>")
+
+
+def test_a_wrapper_class_silences_nothing_that_is_the_text():
+    comments = '<div id="comments"><p>First! This reader comment says nothing of interest to anyone at all, at length.</p></div>'
+    foot = "<div><p>A line of the site.</p></div>"
+    for wrapper in ('class="content has-sidebar"', 'class="container ad-free"', 'id="page" class="with-comments"', 'class="sidebar"'):
+        for inner in ("<article>{}</article>", "<main>{}</main>", "{}"):
+            text = html_text.extract(f"<body><div {wrapper}>{inner.format(STORY)}{comments}</div></body>")
+            assert text.count("Paragraph") == 6, (wrapper, inner)
+            if wrapper != 'class="sidebar"' or inner != "{}":
+                assert "First!" not in text
+                assert html_text.extract(f"<body><div {wrapper}>{inner.format(STORY)}{comments}</div>{foot}</body>").count("Paragraph") == 6
+
+
+def test_long_comments_stay_out():
+    comment = "<p>" + "A reader comment that goes on and on. " * 30 + "</p>"
+    for inner in ("<article>{}</article>", "<div>{}</div>"):
+        for own in ('id="comments"', 'class="comments-area"'):
+            text = html_text.extract(f"<body>{inner.format(STORY)}<div {own}><article>{comment}</article><article>{comment}</article></div></body>")
+            assert text.count("Paragraph") == 6, (inner, own)
+            if "article" in inner:
+                assert "reader" not in text
+    assert html_text.extract("<body><nav>menu</nav><footer>foot</footer></body>") == ""
