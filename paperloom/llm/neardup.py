@@ -247,7 +247,19 @@ def family_links(close: DataFrame, groups: DataFrame, texts: DataFrame, threshol
 
 
 def keep_one(docs: DataFrame, threshold: float = 0.8, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """docs without all but the least id of each group; of rows that repeat that id, one stays."""
-    groups = near_groups(docs, threshold, id_column=id_column, text_column=text_column)
-    kept = groups.filter("doc_id = group_id").select(F.col("doc_id").alias(id_column)).dropDuplicates()
-    return docs.join(kept, id_column, "left_semi").dropDuplicates([id_column])
+    """docs without all but the least id of each group; of rows that repeat an id and its text, one stays.
+
+    A row without an id, and one that repeats an id with another text, is a document of its own, after those with ids:
+    it goes only if its text is near that of a row that stays.
+    """
+    own = F.col(id_column).cast("long")
+    digest = F.md5(F.coalesce(F.col(text_column), F.lit("")))
+    named = docs.filter(own.isNotNull()).select(own.alias("_id"), digest.alias("_digest"))
+    repeats = named.groupBy("_id").agg(F.min("_digest").alias("_first"), F.max("_digest").alias("_last")).filter("_first <> _last")
+    repeats = materialize(repeats.drop("_last"), "repeats")
+    apart = F.xxhash64("_id", digest).bitwiseAND(F.lit((1 << 61) - 1)) + F.lit(1 << 62)
+    alone = F.col("_id").isNull() | (F.col("_first").isNotNull() & (digest != F.col("_first")))
+    keyed = docs.withColumn("_id", own).join(repeats, "_id", "left").withColumn("_key", F.when(alone, apart).otherwise(F.col("_id")))
+    groups = near_groups(keyed, threshold, id_column="_key", text_column=text_column)
+    kept = groups.filter("doc_id = group_id").select(F.col("doc_id").alias("_key")).dropDuplicates()
+    return keyed.join(kept, "_key", "left_semi").dropDuplicates(["_key"]).select(docs.columns)
