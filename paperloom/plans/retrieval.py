@@ -287,13 +287,19 @@ def faithfulness_parse(spark, sf_dir):
 
 @query()
 def ask_batch(spark, sf_dir):
-    """The whole plan from question to cited answer over the vectors and documents of the same ids."""
+    """The whole plan from question to cited answer over the vectors and documents of the same ids.
+
+    Every turn of a conversation asks with its whole text, by the vector of the conversation's id.
+    """
     docs = table(spark, sf_dir, "documents")
     chunks = table(spark, sf_dir, "embeddings").join(docs, F.col("vec_id") == F.col("doc_id")).select(
         F.col("vec_id").alias("chunk_id"), "doc_id", F.col("label").cast("long").alias("kb_id"), "embedding", F.col("text").alias("content"), F.lit(1).alias("page_num"), F.col("lang").alias("section_title")
     )
-    texts = docs.select(F.col("doc_id").alias("query_id"), T.excerpt(F.col("text"), 90).alias("question"))
-    questions = _askers(spark, sf_dir).join(texts, "query_id").withColumn("hyde_embedding", F.reverse("embedding"))
+    turns = table(spark, sf_dir, "conversations").select("conv_id", (F.col("conv_id") * 100 + F.col("turn")).alias("query_id"), F.col("text").alias("question"))
+    vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("conv_id"), "embedding")
+    questions = turns.join(vectors, "conv_id").select(
+        "query_id", "question", "embedding", F.sequence(F.lit(0), F.lit(9)).cast("array<bigint>").alias("kb_ids"), F.reverse("embedding").alias("hyde_embedding")
+    )
     return answer.ask(questions, chunks, docs.select("doc_id", F.col("source").alias("file_name"))).drop("kb_ids")
 
 

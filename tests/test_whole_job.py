@@ -24,3 +24,16 @@ def test_full_text_asks_with_every_word(spark, tmp_path):
     write(spark, tmp_path, benchmark=([(1, passage)], "item_id long, text string"), documents=(docs, "doc_id long, text string"))
     found = {n: {r["chunk_id"]: r["tf"] for r in entry.queries()[n](spark, str(tmp_path)).collect()} for n in ("fulltext_whole_topk", "fulltext_whole_any_term")}
     assert found == {"fulltext_whole_topk": {4: 7}, "fulltext_whole_any_term": {4: 7, 8: 3, 12: 4}}
+
+
+def test_ask_batch_asks_whole_texts_by_every_route(spark, tmp_path):
+    texts = ["red walrus", "which walrus has the crimson lantern", "crimson walrus lantern " * 9]
+    turns = [(k, t, "user", text) for k in range(2) for t, text in enumerate(texts)]
+    write(
+        spark, tmp_path, conversations=(turns, "conv_id long, turn int, role string, text string"),
+        embeddings=([(k, [1.0, k / 9.0], 0) for k in range(4)], "vec_id long, embedding array<float>, label int"),
+        documents=([(k, f"the red walrus {k} has a crimson lantern", "en", "s") for k in range(4)], "doc_id long, text string, lang string, source string"),
+    )
+    rows = {r["query_id"]: r for r in entry.queries()["ask_batch"](spark, str(tmp_path)).collect()}
+    assert {k: r["question"] for k, r in rows.items()} == {100 * k + t: text for k, t, _, text in turns}
+    assert [rows[k]["route"] for k in (0, 1, 2)] == ["SIMPLE", "STANDARD", "COMPLEX"]
