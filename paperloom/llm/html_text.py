@@ -13,8 +13,9 @@ is free, nor one that holds most of the page's text and has the word in modifier
 Where these words silence all text that elements leave, none of them counts.
 
 Defined cases: null or empty html gives an empty text; a page without a surge gives its longest stretch; an unclosed
-element ends with its parent; repeated rows give repeated results; an empty table gives no rows; other input columns
-are ignored; the whole html is read, however long.
+element ends with its parent; stretches of equal weight: the first is the longest; repeated rows, and rows that repeat an id,
+give a result each; a null id or url stays null; an empty table gives no rows; other input columns are ignored; the whole
+html is read, however long or deep, in one pass.
 """
 
 from __future__ import annotations
@@ -23,19 +24,18 @@ import html
 import re
 from collections.abc import Iterator
 from functools import partial
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from paperloom.llm.common import bound_batches
-
 WINDOW = 3
 SURGE = 80  # weight in a window that makes a surge
 MARK = 4
 LINK_SHARE = 0.6
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([A-Za-z][^\s/>]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
 _ATTRIBUTE = re.compile(r"([a-zA-Z_:][-\w:.]*)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 _SPLIT = re.compile(r"[^a-z0-9]+|(?<=[a-z])(?=[A-Z])")
 
@@ -97,24 +97,65 @@ def _noise_words(tokens: set[str], in_article: bool) -> bool:
     return bool(noise) and not (words & CONTENT_WORDS and noise <= UNSURE)
 
 
+class _Open:
+    """The open elements, innermost last, with the places of each tag, so that no end tag walks the whole stack."""
+
+    def __init__(self) -> None:
+        self.rows: list[tuple[str, bool, int, int]] = []  # tag, boilerplate, mark, innermost element around that a word may silence
+        self.places: dict[str, list[int]] = {}
+        self.scopes: list[int] = []
+        self.links = 0
+
+    def top(self) -> tuple[str, bool, int, int]:
+        return self.rows[-1] if self.rows else ("", False, 0, -1)
+
+    def last(self, tag: str) -> int:
+        return self.places[tag][-1] if self.places.get(tag) else -1
+
+    def push(self, tag: str, noise: bool, mark: int, around: int) -> None:
+        self.places.setdefault(tag, []).append(len(self.rows))
+        if tag in SCOPES:
+            self.scopes.append(len(self.rows))
+        self.rows.append((tag, noise, mark, around))
+        self.links += tag == "a"
+
+    def cut(self, place: int) -> None:
+        while len(self.rows) > place:
+            tag = self.rows.pop()[0]
+            self.places[tag].pop()
+            if tag in SCOPES:
+                self.scopes.pop()
+            self.links -= tag == "a"
+
+    def end(self, tag: str) -> None:
+        """An end tag; one of an inline element ends nothing beyond the element that bounds it."""
+        place = self.last(tag)
+        if place >= 0 and (tag in BLOCKS or not self.scopes or self.scopes[-1] <= place):
+            self.cut(place)
+
+    def before(self, tag: str) -> None:
+        """What the start of a block ends by itself."""
+        place = max(map(self.last, ("p", *CLOSED_BY.get(tag, ()))))
+        if place >= 0 and (not self.scopes or self.scopes[-1] <= place):
+            self.cut(place)
+
+
 def lines_of(page: str) -> list[tuple[str, int, bool, int]]:
     """(text, characters inside links, boilerplate, mark) of each block line in page order; the mark is 2 inside
-    an article element, 1 inside main alone, else 0."""
-    out: list[tuple[str, int, bool, int, tuple[int, ...]]] = []
-    stack: list[tuple[str, bool, int, tuple[int, ...]]] = []  # tag, boilerplate, mark, elements around that a word may silence
-    modified: list[bool] = []  # of each such element
-    marks: list[tuple[str, tuple[int, ...]]] = []
+    an article element, 1 inside main alone, else 0. One pass, whatever is left open or closed twice."""
+    out: list[tuple[str, int, bool, int, int]] = []
+    stack = _Open()
+    modified: list[tuple[bool, int]] = []  # of each element with a boilerplate word: in modifiers alone, the next one around it
+    marks: list[tuple[str, int]] = []
     text: list[str] = []
     linked = 0
-    raw = ""
     at = 0
 
     def flush() -> None:
         nonlocal linked
         line = " ".join(html.unescape("".join(text)).split())
         if line:
-            top = stack[-1] if stack else ("", False, 0, ())
-            out.append((line, linked, *top[1:]))
+            out.append((line, linked, *stack.top()[1:]))
         text.clear()
         linked = 0
 
@@ -122,16 +163,10 @@ def lines_of(page: str) -> list[tuple[str, int, bool, int]]:
         nonlocal linked
         if piece:
             text.append(piece)
-            if links:
+            if stack.links:
                 linked += len(" ".join(piece.split()))
 
-    links = 0
     for m in _TOKEN.finditer(page):
-        if raw:
-            if not (m[1] and m[2].lower() == raw):
-                continue
-            raw, at = "", m.end()
-            continue
         if m.start() < at:
             continue
         put(page[at : m.start()])
@@ -143,11 +178,7 @@ def lines_of(page: str) -> list[tuple[str, int, bool, int]]:
         if tag in RAW:
             if not closing and not m[3].rstrip().endswith("/"):
                 end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
-                if end:
-                    at = end.end()
-                else:
-                    raw = tag
-                    at = len(page)
+                at = end.end() if end else len(page)
             text.append(" ")
             continue
         if tag == "br":
@@ -158,58 +189,52 @@ def lines_of(page: str) -> list[tuple[str, int, bool, int]]:
         if tag in VOID or not closing and m[3].endswith("/") and tag not in BLOCKS:
             continue
         if closing:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == tag:
-                    if tag not in BLOCKS and any(s[0] in SCOPES for s in stack[k + 1 :]):
-                        break
-                    links -= sum(s[0] == "a" for s in stack[k:])
-                    del stack[k:]
-                    break
+            stack.end(tag)
             continue
-        ends = CLOSED_BY.get(tag, ())
         if tag in BLOCKS:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] in ends or stack[k][0] == "p":
-                    links -= sum(s[0] == "a" for s in stack[k:])
-                    del stack[k:]
-                    break
-                if stack[k][0] in SCOPES:
-                    break
-        _, noise, mark, around = stack[-1] if stack else ("", False, 0, ())
+            stack.before(tag)
+        _, noise, mark, around = stack.top()
         mark = max(mark, 2 if tag == "article" else tag == "main")
         hard, word, modifier = _is_noise(tag, m[3], mark > 0)
         if word:
-            around = (*around, len(modified))
-            modified.append(modifier)
+            modified.append((modifier, around))
+            around = len(modified) - 1
         noise = noise or hard
         if tag in ("article", "main") and not noise:
             marks.append((tag, around))
-        stack.append((tag, noise, mark, around))
-        links += tag == "a"
-    if not raw:
-        put(page[at:])
+        stack.push(tag, noise, mark, around)
+    put(page[at:])
     flush()
-    silent = _silent(out, modified, marks)
-    rows = [(line, linked, noise or not silent.isdisjoint(around), mark) for line, linked, noise, mark, around in out]
+    mute = _silent(out, modified, marks)
+    rows = [(line, linked, noise or around >= 0 and mute[around], mark) for line, linked, noise, mark, around in out]
     if all(noise for *_, noise, _ in rows):
         return [(line, linked, noise, mark) for line, linked, noise, mark, _ in out]
     return rows
 
 
-def _silent(lines: list[tuple[str, int, bool, int, tuple[int, ...]]], modified: list[bool], marks: list[tuple[str, tuple[int, ...]]]) -> set[int]:
-    """Those of the elements with a boilerplate word that it does silence."""
-    if not modified:
-        return set()
+def _silent(lines: list[tuple[str, int, bool, int, int]], modified: list[tuple[bool, int]], marks: list[tuple[str, int]]) -> list[bool]:
+    """Whether each of the elements with a boilerplate word is silenced, by its own or by one around it."""
     held, total = [0] * len(modified), 0
     for line, _, noise, _, around in lines:
         if not noise:
             total += len(line)
-            for k in around:
-                held[k] += len(line)
-    free = any(not around for _, around in marks)
-    single = sum(tag == "article" for tag, _ in marks) == 1
-    marked = {k for tag, around in marks if single or tag == "main" for k in around} if not free else set()
-    return {k for k in range(len(modified)) if k not in marked and not (modified[k] and 2 * held[k] > total)}
+            if around >= 0:
+                held[around] += len(line)
+    for k in range(len(modified) - 1, -1, -1):
+        if modified[k][1] >= 0:
+            held[modified[k][1]] += held[k]
+    spared: set[int] = set()
+    if all(around >= 0 for _, around in marks):
+        single = sum(tag == "article" for tag, _ in marks) == 1
+        for tag, k in marks:
+            while k >= 0 and k not in spared and (single or tag == "main"):
+                spared.add(k)
+                k = modified[k][1]
+    mute: list[bool] = []
+    for k, (modifier, around) in enumerate(modified):
+        own = k not in spared and not (modifier and 2 * held[k] > total)
+        mute.append(own or around >= 0 and mute[around])
+    return mute
 
 
 def kept_lines(weights: list[int], window: int, surge: int, inside: list[bool] | None = None) -> list[bool]:
@@ -221,7 +246,8 @@ def kept_lines(weights: list[int], window: int, surge: int, inside: list[bool] |
     parts = [[w if i == part else 0 for w, i in zip(weights, inside, strict=True)] for part in (True, False)] if inside else [weights]
     stretches = []
     for own in parts:
-        sums = [sum(own[max(0, k - window + 1) : k + 1]) for k in range(n)]
+        upto = [0, *accumulate(own)]
+        sums = [upto[k + 1] - upto[max(0, k - window + 1)] for k in range(n)]
         start = None
         for k in range(n + 1):
             live = k < n and sums[k] > 0
@@ -276,6 +302,5 @@ def _extract(batches: Iterator[pa.RecordBatch], window: int, surge: int) -> Iter
 
 
 def extract_pages(pages: DataFrame, window: int = WINDOW, surge: int = SURGE, id_column: str = "page_id", html_column: str = "html", url_column: str = "url") -> DataFrame:
-    bound_batches(pages.sparkSession)
     rows = pages.select(F.col(id_column).cast("long").alias("page_id"), F.col(url_column).cast("string").alias("url"), F.coalesce(F.col(html_column), F.lit("")).alias("html"))
     return rows.mapInArrow(partial(_extract, window=window, surge=surge), "page_id long, url string, text string, n_chars long")
