@@ -10,12 +10,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 SCRATCH_UNSET = "file:///tmp/checkpoints"
-#: Texts handed to a Python worker at a time: 256 of 100 KB are 25 MB.
-BATCH_ROWS = 256
+
+
+def _filesystem(spark: SparkSession, path: str):
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), target
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh folder under spark.checkpoint.dir, which driver and executors share.
+    """A fresh folder under spark.checkpoint.dir, which driver and executors share; it goes when the driver's JVM ends.
 
     Where the setting is missing SCRATCH_UNSET takes its place, but only where all of Spark is one process; on a
     cluster a folder of one machine would not do.
@@ -23,41 +26,50 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base and not re.match(r"local(\[|$)", spark.sparkContext.master):
         raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-    base = base or SCRATCH_UNSET
-    return f"{base.rstrip('/')}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex[:12]}"
+    own = f"{(base or SCRATCH_UNSET).rstrip('/')}/{spark.sparkContext.applicationId}"
+    files, target = _filesystem(spark, own)
+    files.mkdirs(target)
+    files.deleteOnExit(target)
+    return f"{own}/{name}-{uuid.uuid4().hex[:12]}"
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write df once as a table in the shared folder and read it back.
+class Scratch:
+    """Tables in the shared folder that a job needs only while it runs: drop() removes them all."""
 
-    It cuts the lineage: a lost executor costs a reread, never a recomputation of what came before.
-    """
-    spark = df.sparkSession
-    path = scratch_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    def __init__(self, spark: SparkSession) -> None:
+        self.spark, self.paths = spark, []
+
+    def table(self, df: DataFrame, name: str) -> DataFrame:
+        """Write df once and read it back.
+
+        It cuts the lineage: a lost executor costs a reread, never a recomputation of what came before.
+        """
+        path = scratch_path(self.spark, name)
+        self.paths.append(path)
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def drop(self) -> None:
+        while self.paths:
+            files, target = _filesystem(self.spark, self.paths.pop())
+            files.delete(target, True)
+
+
+def materialize(df: DataFrame, name: str) -> DataFrame:
+    """A scratch table that stays until the application ends, for what a returned result reads."""
+    return Scratch(df.sparkSession).table(df, name)
 
 
 def drop_scratch(spark: SparkSession) -> None:
-    """Remove every scratch table of this application. Call it once the results are written."""
-    path = scratch_path(spark, "x").rsplit("/", 1)[0]
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+    """Remove every scratch table of this application. Call it once the results are written, to free the space earlier."""
+    files, target = _filesystem(spark, scratch_path(spark, "x").rsplit("/", 1)[0])
+    files.delete(target, True)
 
 
 def text_or_empty(column: str = "text"):
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
 
 
-def bound_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
-    """Lower the rows of an Arrow batch for this session: a batch of whole texts must fit a worker's memory."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    now = int(spark.conf.get(key))
-    if now <= 0 or now > rows:
-        spark.conf.set(key, str(rows))
-
-
 def with_ids(df: DataFrame, id_column: str) -> DataFrame:
     """The rows that have an id. A row without one can't be named in a result keyed by id, so it has none."""
     return df.filter(F.col(id_column).isNotNull())
@@ -79,9 +91,10 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -
     by more than half a round. Labels stay in tables of the shared folder; only one count a round reaches
     the driver. An empty edge list gives an empty result.
     """
+    held, old = Scratch(edges.sparkSession), Scratch(edges.sparkSession)
     both = edges.select(F.col(a).alias("node"), F.col(b).alias("other"))
-    both = materialize(both.unionByName(both.select(F.col("other").alias("node"), F.col("node").alias("other"))).dropDuplicates(), "edges")
-    labels = materialize(both.groupBy("node").agg(F.least(F.col("node"), F.min("other")).alias("component")), "labels")
+    both = held.table(both.unionByName(both.select(F.col("other").alias("node"), F.col("node").alias("other"))).dropDuplicates(), "edges")
+    labels = old.table(both.groupBy("node").agg(F.least(F.col("node"), F.min("other")).alias("component")), "labels")
     for _ in range(rounds):
         near = (
             both.join(labels.select(F.col("node").alias("other"), F.col("component").alias("seen")), "other")
@@ -90,11 +103,12 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -
         )
         step = labels.join(near, "node").select("node", F.col("component").alias("was"), F.least("component", "seen").alias("component"))
         jump = labels.select(F.col("node").alias("component"), F.col("component").alias("further"))
-        moved = materialize(
-            step.join(jump, "component", "left").select("node", "was", F.least("component", "further").alias("component")), "labels"
-        )
-        labels = moved.select("node", "component")
+        fresh = Scratch(edges.sparkSession)
+        moved = fresh.table(step.join(jump, "component", "left").select("node", "was", F.least("component", "further").alias("component")), "labels")
+        old.drop()
+        old, labels = fresh, moved.select("node", "component")
         if not moved.filter("was <> component").limit(1).count():
+            held.drop()
             return labels
     raise RuntimeError(f"components did not settle in {rounds} rounds")
 

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from paperloom.llm.common import bound_batches, ordered_ranges, with_ids
+from paperloom.llm.common import ordered_ranges, with_ids
 from paperloom.llm.shingles import shingle_hashes
 
 FRACTION = 0.25
@@ -139,7 +139,6 @@ def _walk(batches: Iterator[pa.RecordBatch], fraction: float) -> Iterator[pa.Rec
 
 def fingerprint_documents(docs: DataFrame, fraction: float = FRACTION, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """Fingerprints of every document and of its edited text, whose last quarter is the next document's beginning."""
-    bound_batches(docs.sparkSession)
     rows = with_ids(docs, id_column).select(F.col(id_column).cast("long").alias("doc_id"), F.coalesce(F.col(text_column), F.lit("")).alias("text"))
     ranged = ordered_ranges(rows.select("doc_id"), "doc_id")
     # one number for each range, so no more than the session has shuffle partitions

@@ -23,8 +23,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from paperloom.llm.common import bound_batches
-
 #: Phrase -> label, fixed by the contract of the query.
 BASE_PHRASES = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
 
@@ -187,7 +185,6 @@ def _scan(batches: Iterator[pa.RecordBatch], index: dict, coverage: float) -> It
 
 def scan_licenses(docs: DataFrame, coverage: float = COVERAGE, rare: int = RARE, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """One row for each document: places of base phrases, labels, best coverage, and the spans of accepted templates."""
-    bound_batches(docs.sparkSession)
     index = build_index(*document_frequencies(docs, text_column), rare)
     texts = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.coalesce(F.col(text_column), F.lit("")).cast("binary").alias("text"))
     return texts.mapInArrow(partial(_scan, index=index, coverage=coverage), SCHEMA)

@@ -1,33 +1,40 @@
-"""Packing of tokenised documents into sequences by first-fit decreasing in random groups.
-
-Documents are tokenised and cut at multiples of the sequence length; the pieces are dealt to groups by a hash of
-document and start, so a long document spreads over many groups, and every group packs its pieces on its own.
-Inside a group a tournament tree over the bins' free room finds the first bin that a piece fits in O(log bins).
-A group holds about `group_pieces` pieces at any corpus size, so memory is bounded and only piece rows of a few
-numbers are shuffled, never texts.
-
-Defined cases: a null or empty text is the end-of-document id alone; a very long text gives full pieces and a rest;
-repeated rows are packed as often as they occur; rows without an id are left out; an empty table gives no rows; other input columns are ignored.
+"""Packing of tokenised documents into sequences by first-fit decreasing in random groups of documents.
+
+Documents are tokenised once, cut at multiples of the sequence length, and stored as piece rows of a few numbers. Each
+document row draws a random group (a hash of its id, ids and place in the read, so rows that share an id or a whole text
+scatter), and every group packs its documents' pieces on its own: a tournament tree over the bins' free room finds
+the first bin that a piece fits in O(log bins). The number of groups follows from the number of pieces, about
+`group_pieces` to a group at any corpus size, so memory is bounded; texts are never shuffled. Only a document that
+has more than `group_pieces` pieces itself makes its group larger; its full pieces each fill a sequence.
+
+Defined cases: a null or empty text is the end-of-document id alone; a very long text gives full pieces and a rest; pieces
+of equal length are packed in order of id, start and checksum, so a group's sequences do not hang on the order of its rows;
+repeated rows, and rows that repeat an id, are packed as often as they occur; rows without an id are left out; an empty
+table gives no rows; other input columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
 
 import base64
+import struct
 import zlib
 from collections.abc import Iterator
 from functools import cache, partial
+from hashlib import blake2b
 
 import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from paperloom.llm.common import bound_batches, with_ids
+from paperloom.llm.common import materialize, with_ids
 
 #: The tokens that the JSON file adds to the ranks.
 SPECIAL = {"<|endoftext|>": 50256}
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 PACKED = f"{PIECES}, sequence_id long, offset long"
+GROUP_PIECES = 4096
 
 
 @cache
@@ -50,6 +57,8 @@ def encoder(path: str):
 
 def _pieces(frames: Iterator[pd.DataFrame], path: str, length: int, end_id: int) -> Iterator[pd.DataFrame]:
     encode = encoder(path)
+    task = TaskContext.get()
+    seen = (task.partitionId() if task else 0) << 40
     for frame in frames:
         rows = []
         for lo in range(0, len(frame), 256):
@@ -57,16 +66,19 @@ def _pieces(frames: Iterator[pd.DataFrame], path: str, length: int, end_id: int)
             for doc_id, ids in zip(part["doc_id"], encode(list(part["text"])), strict=True):
                 data = np.array([*ids, end_id], dtype="<u4").tobytes()
                 n = len(data) // 4
-                rows += [
-                    (doc_id, s, min(length, n - s), zlib.crc32(data[4 * s : 4 * (s + length)]), n) for s in range(0, n, length)
-                ]
-        yield pd.DataFrame(rows, columns=["doc_id", "start", "length", "ids_crc32", "doc_tokens"], dtype="int64")
+                seen += 1
+                draw = int.from_bytes(blake2b(struct.pack("<qqI", doc_id, seen, zlib.crc32(data)), digest_size=7).digest(), "little")
+                rows += [(doc_id, s, min(length, n - s), zlib.crc32(data[4 * s : 4 * (s + length)]), n, draw) for s in range(0, n, length)]
+        yield pd.DataFrame(rows, columns=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "draw"], dtype="int64")
 
 
 def tokenize_pieces(docs: DataFrame, tokenizer: str, length: int = 1024, end_id: int = 0, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """Pieces of at most `length` ids; every id of a document lies in exactly one."""
+    """Pieces of at most `length` ids, every id of a document in exactly one, and the random number that their document drew.
+
+    The number hangs on the place in the read, so store the pieces before they are used twice.
+    """
     texts = with_ids(docs, id_column).select(F.col(id_column).cast("long").alias("doc_id"), F.coalesce(F.col(text_column), F.lit("")).alias("text"))
-    return texts.mapInPandas(partial(_pieces, path=tokenizer, length=length, end_id=end_id), PIECES)
+    return texts.mapInPandas(partial(_pieces, path=tokenizer, length=length, end_id=end_id), f"{PIECES}, draw long")
 
 
 def first_fit_decreasing(sizes: np.ndarray, room: int) -> tuple[np.ndarray, np.ndarray]:
@@ -110,13 +122,12 @@ def _packer(length: int):
 
 def pack(pieces: DataFrame, groups: int, length: int = 1024) -> DataFrame:
     """Each piece with its sequence and its place there. A sequence's free room stays at its end."""
-    dealt = pieces.withColumn("pack_group", F.pmod(F.xxhash64("doc_id", "start"), F.lit(groups)).cast("int"))
+    dealt = pieces.withColumn("pack_group", F.pmod("draw", F.lit(groups)).cast("int"))
     return dealt.groupBy("pack_group").applyInPandas(_packer(length), PACKED)
 
 
 def pack_documents(
-    docs: DataFrame, tokenizer: str, length: int = 1024, end_id: int = 0, group_documents: int = 4096, id_column: str = "doc_id", text_column: str = "text"
+    docs: DataFrame, tokenizer: str, length: int = 1024, end_id: int = 0, group_pieces: int = GROUP_PIECES, id_column: str = "doc_id", text_column: str = "text"
 ) -> DataFrame:
-    bound_batches(docs.sparkSession)
-    groups = max(1, -(-docs.count() // group_documents))
-    return pack(tokenize_pieces(docs, tokenizer, length, end_id, id_column, text_column), groups, length)
+    pieces = materialize(tokenize_pieces(docs, tokenizer, length, end_id, id_column, text_column), "pieces")
+    return pack(pieces, max(1, -(-pieces.count() // group_pieces)), length)

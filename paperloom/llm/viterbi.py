@@ -26,8 +26,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from paperloom.llm.common import bound_batches
-
 SPACE = "▁"
 OWN_MARK = "\ud800"  # stands for a space mark that the text itself holds; no valid text has a lone surrogate
 UNKNOWN_PENALTY = 10.0
@@ -144,7 +142,6 @@ def _encode(batches: Iterator[pa.RecordBatch], path: str, scores: str) -> Iterat
 
 def encode_documents(docs: DataFrame, path: str, scores: str = "zipf", id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """Ids of every whole text, and whether decoding them gives the text back."""
-    bound_batches(docs.sparkSession)
     rows = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.coalesce(F.col(text_column), F.lit("")).alias("text"))
     return rows.mapInArrow(partial(_encode, path=path, scores=scores), SCHEMA)
 
@@ -158,5 +155,4 @@ def _decode(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordB
 
 def decode_documents(coded: DataFrame, path: str, id_column: str = "doc_id", ids_column: str = "ids") -> DataFrame:
     """Texts of columns of ids; null ids give a null text."""
-    bound_batches(coded.sparkSession)
     return coded.select(F.col(id_column).cast("long").alias("doc_id"), F.col(ids_column).alias("ids")).mapInArrow(partial(_decode, path=path), "doc_id long, text string")

@@ -96,7 +96,7 @@ def test_packing_is_whole(spark):
     texts = [None, "", "plain text", "plain text", "<|endoftext|> is ordinary", "é漢😀" * 50, "word " * 30_000]
     texts += [toxic_text(RNG.randrange(1, 900), 0) for _ in range(60)]
     docs = spark.createDataFrame([(k, t, "clash") for k, t in enumerate(texts)] + [(None, "lost", "x")], "doc_id long, text string, start string")
-    rows = packing.pack_documents(docs, tokenizer_path("byte_bpe_50k.tiktoken"), group_documents=16).toPandas()
+    rows = packing.pack_documents(docs, tokenizer_path("byte_bpe_50k.tiktoken"), group_pieces=16).toPandas()
     encode = packing.encoder(tokenizer_path("byte_bpe_50k.json"))
     for k, t in enumerate(texts):
         ids = np.array([*encode([t or ""])[0], 0], "<u4")
@@ -108,6 +108,20 @@ def test_packing_is_whole(spark):
     assert packing.pack_documents(docs.limit(0), tokenizer_path("byte_bpe_50k.tiktoken")).count() == 0
 
 
+def test_one_id_spreads_over_all_groups(spark):
+    docs = spark.range(100_000).selectExpr("7L AS doc_id", "concat('word ', id % 3) AS text")
+    pieces = packing.tokenize_pieces(docs, tokenizer_path("byte_bpe_50k.tiktoken"))
+    sizes = [r["count"] for r in pieces.groupBy((pieces.draw % 25).alias("g")).count().collect()]
+    assert len(sizes) == 25 and max(sizes) < 4400 and sum(sizes) == 100_000
+
+
+def test_a_repeated_id_keeps_both_texts(spark):
+    docs = spark.createDataFrame([(1, "one", "a"), (1, "two words", "b"), (1, "one", "c"), (2, None, "d")], "doc_id long, text string, draw string")
+    rows = packing.pack_documents(docs, tokenizer_path("byte_bpe_50k.tiktoken")).collect()
+    assert sorted((r["doc_id"], r["doc_tokens"]) for r in rows) == [(1, 2), (1, 2), (1, 3), (2, 1)]
+    assert [r["offset"] for r in sorted(rows, key=lambda r: r["offset"])] == [0, 3, 5, 7] and len({r["sequence_id"] for r in rows}) == 1
+
+
 def test_both_vocabulary_files_give_equal_ids():
     texts = ["Hello  world\n\n 12345 don't", "\t\r\n x", "<|endoftext|>", "ÀÉ 漢字 😀‍👩", "a" * 5000, ""]
     one, two = (packing.encoder(tokenizer_path(f"byte_bpe_50k.{kind}"))(texts) for kind in ("json", "tiktoken"))
