@@ -14,15 +14,21 @@ Groups are the components of all verified links:
 3. All members of a pivot's buckets are its family, so two documents that share any bucket share a family. Families
    that still lie in several components get an exact second pass: their members, in size classes of ratio 1 / threshold
    (linked texts lie in equal or neighbouring classes) and blocks of BLOCK members, meet block by block, where one
-   matrix product gives all overlaps. Only links across components leave a task.
+   matrix product gives all overlaps. Members outside the pivot's component meet all others; members inside it are
+   linked already and don't meet each other, so a family that has m members outside costs m times its size, not its
+   square. Only links across components leave a task.
 Groups are counted with partial aggregates and stored; the joins that bring their result back to the rows are then plain
 equi-joins of two tables, so that AQE may split a bucket, digest or pivot that holds a large part of the rows.
 Joins with texts are merge joins at every size, as the other side grows with the corpus and has no bound.
 A group of copies of any size costs one link for each copy and pivot, never a row for each pair of copies.
 
+A document is a row's id and text. A further text of a repeated id has a key of its own, beyond the ids, so no link of
+either is lost; in the result, groups that share an id share its group id.
+
 Defined cases: a null text counts as empty; equal texts share a group, also without a word; other texts without a
-word are linked to nothing; repeated rows keep one output row each; rows without an id have none; other input columns are ignored; an empty table
-gives no rows. The group id is the least document id in it.
+word are linked to nothing; repeated rows keep one output row each, as do rows that repeat an id with other texts; rows
+without an id have none; very long texts are read whole; other input columns, whatever their names, are ignored; an empty
+table gives no rows. The group id is the least document id in the group.
 """
 
 from __future__ import annotations
@@ -33,10 +39,10 @@ from functools import partial
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from paperloom.llm.common import batches_of, components, materialize, with_ids
+from paperloom.llm.common import Scratch, batches_of, components, materialize, with_ids
 from paperloom.llm.shingles import bags, mix, weighted_jaccard
 
 REGISTERS = 128
@@ -143,42 +149,80 @@ def verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return pairs.join(left.hint("merge"), "b").join(right.hint("merge"), "a").select("a", "b", "text_a", "text_b").mapInPandas(_similar, "a long, b long, similarity double, size_b long")
 
 
+def digest_of(text: Column) -> Column:
+    return F.unhex(F.sha2(text.cast("binary"), 256)).alias("digest")
+
+
+def keyed(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", scratch: Scratch | None = None) -> DataFrame:
+    """docs as (row, key, text): the whole input row, and a key that is its id or, where that won't do, one beyond all ids.
+
+    A row without an id, and one that repeats an id with another text than the id's first by digest, is a document of
+    its own: its key is a hash of id and text above 2^62.
+    """
+    scratch = scratch or Scratch(docs.sparkSession)
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    rows = docs.select(row, F.col(id_column).cast("long").alias("id"), F.coalesce(F.col(text_column).cast("string"), F.lit("")).alias("text"))
+    digest = F.md5(F.col("text").cast("binary"))
+    told = rows.filter(F.col("id").isNotNull()).select("id", digest.alias("digest")).groupBy("id").agg(F.min("digest").alias("first"), F.max("digest").alias("last"))
+    repeats = scratch.table(told.filter("first <> last").drop("last"), "repeats")
+    apart = F.xxhash64("id", digest).bitwiseAND(F.lit((1 << 61) - 1)) + F.lit(1 << 62)
+    alone = F.col("id").isNull() | (F.col("first").isNotNull() & (digest != F.col("first")))
+    return rows.join(repeats, "id", "left").select("row", F.when(alone, apart).otherwise(F.col("id")).alias("key"), "text", "id")
+
+
 def near_groups(
     docs: DataFrame, threshold: float = 0.8, registers: int = REGISTERS, rows: int = ROWS, id_column: str = "doc_id", text_column: str = "text"
 ) -> DataFrame:
     """doc_id, copy_id (least id with the same text) and group_id (least id of the near-duplicate group)."""
-    texts = with_ids(docs, id_column).select(F.col(id_column).cast("long").alias("doc_id"), F.coalesce(F.col(text_column), F.lit("")).alias("text"))
-    whole = texts.withColumn("digest", F.unhex(F.sha2(F.col("text").cast("binary"), 256)))
-    ids = materialize(whole.select("doc_id", "digest"), "digests")
-    copies = materialize(ids.groupBy("digest").agg(F.min("doc_id").alias("copy_id")), "copies")
-    members = materialize(ids.join(copies, "digest").select("doc_id", "copy_id"), "members")
-    firsts = members.filter("doc_id = copy_id").select("doc_id").dropDuplicates()
+    scratch = Scratch(docs.sparkSession)
+    named = keyed(with_ids(docs, id_column), id_column, text_column, scratch)
+    ids = materialize(named.select("id", "key", digest_of(F.col("text"))), "ids")
+    members = key_groups(named.select("key", "text"), ids, threshold, registers, rows)
+    pairs = scratch.table(members.join(ids.select("key", "id").dropDuplicates(), "key"), "pairs")
+    copies = pairs.groupBy("copy").agg(F.min("id").alias("copy_id"))
+    groups = pairs.groupBy("group").agg(F.min("id").alias("group_id"))
+    least = materialize(pairs.join(copies, "copy").join(groups, "group").select("key", "copy_id", "group_id").dropDuplicates(), "least")
+    scratch.drop()
+    return ids.join(least, "key").select(F.col("id").alias("doc_id"), "copy_id", "group_id")
+
+
+def key_groups(texts: DataFrame, ids: DataFrame, threshold: float, registers: int = REGISTERS, rows: int = ROWS) -> DataFrame:
+    """key, copy (least key with the same text) and group (least key of the group) for each distinct key.
+
+    texts: key, text; ids: key, digest of the text, stored.
+    """
+    scratch = Scratch(texts.sparkSession)
+    copies = scratch.table(ids.groupBy("digest").agg(F.min("key").alias("copy")), "copies")
+    members = scratch.table(ids.join(copies, "digest").select("key", "copy").dropDuplicates(), "members")
+    firsts = members.filter("key = copy").select(F.col("key").alias("doc_id"))
+    texts = texts.select(F.col("key").alias("doc_id"), "text")
 
     banded = texts.select("doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(
         partial(_band, registers=registers, rows=rows), "doc_id long, bands array<long>"
     )
-    banded = materialize(banded.join(firsts, "doc_id", "left_semi"), "bands")
+    banded = scratch.table(banded.join(firsts, "doc_id", "left_semi").dropDuplicates(["doc_id"]), "bands")
     entries = banded.select("doc_id", F.explode("bands").alias("bucket"))
-    shared = materialize(entries.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1"), "shared")
-    entries = materialize(entries.join(shared, "bucket"), "entries")
+    shared = scratch.table(entries.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1"), "shared")
+    entries = scratch.table(entries.join(shared, "bucket"), "entries")
     ranks = entries.groupBy("doc_id").agg(F.sum("n").alias("rank"))
-    ranked = materialize(entries.join(ranks, "doc_id").select("bucket", "doc_id", "rank"), "ranked")
+    ranked = scratch.table(entries.join(ranks, "doc_id").select("bucket", "doc_id", "rank"), "ranked")
     pivots = ranked.groupBy("bucket").agg(F.max(F.struct("rank", "doc_id")).alias("best"))
-    pivots = materialize(pivots.select("bucket", F.col("best.doc_id").alias("pivot")), "pivots")
+    pivots = scratch.table(pivots.select("bucket", F.col("best.doc_id").alias("pivot")), "pivots")
     entries = ranked.select("bucket", "doc_id").join(pivots, "bucket")
 
-    stars = materialize(entries.filter("doc_id <> pivot").select(F.col("pivot").alias("a"), F.col("doc_id").alias("b")).dropDuplicates(), "stars")
+    stars = scratch.table(entries.filter("doc_id <> pivot").select(F.col("pivot").alias("a"), F.col("doc_id").alias("b")).dropDuplicates(), "stars")
     wanted = stars.select(F.explode(F.array("a", "b")).alias("doc_id")).dropDuplicates()
-    read = materialize(texts.join(wanted.hint("merge"), "doc_id", "left_semi").dropDuplicates(["doc_id"]), "candidates")
-    close = materialize(verify(stars, read), "verified")
+    read = scratch.table(texts.join(wanted.hint("merge"), "doc_id", "left_semi").dropDuplicates(["doc_id"]), "candidates")
+    close = scratch.table(verify(stars, read), "verified")
     links = close.filter(F.col("similarity") >= threshold).select("a", "b")
     groups = components(links)
-
-    more = materialize(family_links(close, groups, read, threshold), "rest")
+    more = scratch.table(family_links(close, groups, read, threshold, scratch), "rest")
     if more.limit(1).count():
         groups = components(links.unionByName(more))
-    named = members.join(groups.select(F.col("node").alias("copy_id"), "component"), "copy_id", "left")
-    return named.select("doc_id", "copy_id", F.coalesce("component", "copy_id").alias("group_id"))
+    named = members.join(groups.select(F.col("node").alias("copy"), "component"), "copy", "left")
+    out = materialize(named.select("key", "copy", F.coalesce("component", "copy").alias("group")), "members")
+    scratch.drop()
+    return out
 
 
 def _overlaps(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -219,29 +263,30 @@ def _linker(threshold: float):
     return link_block
 
 
-def family_links(close: DataFrame, groups: DataFrame, texts: DataFrame, threshold: float, block: int = BLOCK) -> DataFrame:
+def family_links(close: DataFrame, groups: DataFrame, texts: DataFrame, threshold: float, scratch: Scratch, block: int = BLOCK) -> DataFrame:
     """Links between members of a pivot's family that lie in different components; the pivot itself is compared already."""
     named = groups.select(F.col("node").alias("b"), "component")
     home = groups.select(F.col("node").alias("a"), F.col("component").alias("home"))
     rows = close.filter("size_b > 0").join(named, "b", "left").join(home, "a", "left")
     rows = rows.select(
-        F.col("a").alias("pivot"), F.col("b").alias("doc_id"), F.coalesce("component", "b").alias("component"), F.coalesce("home", "a").alias("home"),
-        F.floor(F.log("size_b") / -F.log(F.lit(threshold))).cast("int").alias("class"),
+        F.col("a").alias("pivot"), F.col("b").alias("doc_id"), F.coalesce("component", "b").alias("component"),
+        (F.coalesce("component", "b") == F.coalesce("home", "a")).alias("inside"), F.floor(F.log("size_b") / -F.log(F.lit(threshold))).cast("int").alias("class"),
     )
     # class k meets classes k and k - 1 in unit k
     units = rows.withColumn("unit", F.explode(F.array("class", F.col("class") + 1)))
-    mixed = units.groupBy("pivot", "unit").agg(
-        F.count("*").alias("n"), F.max(F.col("component") != F.col("home")).alias("open"), F.max("class").alias("top")
-    )
+    counts = [F.count("*").alias("n"), F.count_if("inside").alias("n_in"), F.max("class").alias("top")]
+    mixed = units.groupBy("pivot", "unit").agg(*counts).filter("n > 1 AND n_in < n AND top = unit")
     room = F.greatest(F.lit(1.0), F.least(F.lit(float(block)), F.floor(BLOCK_SHINGLES * F.pow(F.lit(threshold), F.col("unit") + 1))))
-    mixed = mixed.filter("n > 1 AND open AND top = unit").select("pivot", "unit", F.ceil(F.col("n") / room).cast("int").alias("blocks"))
-    mixed = materialize(mixed, "mixed")
-    dealt = units.join(mixed, ["pivot", "unit"]).withColumn("own", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    dealt = dealt.withColumn("other", other).select(
+    # blocks of the members outside come first, those of the members inside after them
+    blocks = [F.ceil((F.col("n") - F.col("n_in")) / room).cast("int").alias("out"), F.ceil(F.col("n_in") / room).cast("int").alias("in")]
+    mixed = scratch.table(mixed.select("pivot", "unit", *blocks), "mixed")
+    place = F.when(F.col("inside"), F.col("out") + F.pmod(F.xxhash64("doc_id"), F.greatest("in", F.lit(1)))).otherwise(F.pmod(F.xxhash64("doc_id"), F.col("out")))
+    dealt = units.join(mixed, ["pivot", "unit"]).withColumn("own", place.cast("int"))
+    last = F.when(F.col("inside"), F.col("out")).otherwise(F.col("out") + F.col("in")) - 1
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), last))).select(
         "pivot", "unit", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "doc_id", "component"
     )
-    whole = materialize(dealt, "dealt").join(texts.hint("merge"), "doc_id")
+    whole = scratch.table(dealt, "dealt").join(texts.hint("merge"), "doc_id")
     return whole.groupBy("pivot", "unit", "low", "high").applyInPandas(_linker(threshold), "a long, b long").dropDuplicates()
 
 
@@ -249,16 +294,11 @@ def keep_one(docs: DataFrame, threshold: float = 0.8, id_column: str = "doc_id",
     """docs without all but the least id of each group; of rows that repeat an id and its text, one stays.
 
     A row without an id, and one that repeats an id with another text, is a document of its own, after those with ids:
-    it goes only if its text is near that of a row that stays.
+    it goes only if its text is near that of a row that stays. docs' own columns may have any names.
     """
-    own = F.col(id_column).cast("long")
-    digest = F.md5(F.coalesce(F.col(text_column), F.lit("")))
-    named = docs.filter(own.isNotNull()).select(own.alias("_id"), digest.alias("_digest"))
-    repeats = named.groupBy("_id").agg(F.min("_digest").alias("_first"), F.max("_digest").alias("_last")).filter("_first <> _last")
-    repeats = materialize(repeats.drop("_last"), "repeats")
-    apart = F.xxhash64("_id", digest).bitwiseAND(F.lit((1 << 61) - 1)) + F.lit(1 << 62)
-    alone = F.col("_id").isNull() | (F.col("_first").isNotNull() & (digest != F.col("_first")))
-    keyed = docs.withColumn("_id", own).join(repeats, "_id", "left").withColumn("_key", F.when(alone, apart).otherwise(F.col("_id")))
-    groups = near_groups(keyed, threshold, id_column="_key", text_column=text_column)
-    kept = groups.filter("doc_id = group_id").select(F.col("doc_id").alias("_key")).dropDuplicates()
-    return keyed.join(kept, "_key", "left_semi").dropDuplicates(["_key"]).select(docs.columns)
+    named = keyed(docs, id_column, text_column)
+    ids = Scratch(docs.sparkSession)
+    groups = key_groups(named.select("key", "text"), ids.table(named.select("key", digest_of(F.col("text"))), "ids"), threshold)
+    ids.drop()
+    kept = materialize(groups.filter(F.col("key") == F.col("group")).select("key").dropDuplicates(), "kept")
+    return named.join(kept, "key", "left_semi").dropDuplicates(["key"]).select("row.*")

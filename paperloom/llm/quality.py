@@ -50,19 +50,22 @@ def _count_of(text: Column, characters: str) -> Column:
     return (F.length(text) - F.length(F.translate(text, characters, ""))).cast("long")
 
 
-def _repeat_words(df: DataFrame) -> DataFrame:
+WINDOW_HASH = "xxhash64(_words[i], _words[i + 1], _words[i + 2], _words[i + 3], _words[i + 4])"
+
+
+def _repeat_words(df: DataFrame, window_hash: str = WINDOW_HASH) -> DataFrame:
     """Adds n_repeat_words: words that lie in a window of five that occurs again in the same text.
 
     Window hashes and positions share one long (position in the low bits, as few as the text needs), so one
     sort of longs brings equal windows together; neighbours with equal hashes are compared word by word. The
-    sort runs only for texts whose distinct windows are fewer than their windows.
+    sort runs only for texts whose distinct windows are fewer than their windows. A text in which two different
+    windows have one hash is sorted by the windows themselves instead, so the count is exact for every hash.
     """
     df = df.withColumn(
         "_windows",
         F.expr(
             "CASE WHEN n_words >= 5 THEN transform(sequence(0, CAST(n_words AS INT) - 5), "
-            "i -> xxhash64(_words[i], _words[i + 1], _words[i + 2], _words[i + 3], _words[i + 4])) "
-            "ELSE CAST(array() AS ARRAY<BIGINT>) END"
+            f"i -> {window_hash}) ELSE CAST(array() AS ARRAY<BIGINT>) END"
         ),
     )
     df = df.withColumn("_bits", F.expr("length(bin(n_words))"))
@@ -75,16 +78,20 @@ def _repeat_words(df: DataFrame) -> DataFrame:
         ),
     )
     place = "CAST(_sorted[{0}] & (shiftleft(1L, _bits) - 1L) AS INT)"
-    same = (
-        "shiftright(_sorted[{0}], _bits) = shiftright(_sorted[{1}], _bits) AND "
-        f"slice(_words, {place} + 1, 5) = slice(_words, {place.replace('{0}', '{1}')} + 1, 5)"
+    hashed = "shiftright(_sorted[{0}], _bits) = shiftright(_sorted[{1}], _bits)"
+    words = f"slice(_words, {place} + 1, 5) = slice(_words, {place.replace('{0}', '{1}')} + 1, 5)"
+    df = df.withColumn(
+        "_clash",
+        F.expr(f"size(_sorted) > 1 AND exists(sequence(1, size(_sorted) - 1), j -> {hashed.format('j', 'j - 1')} AND NOT ({words.format('j', 'j - 1')}))"),
     )
+    named = "transform(sequence(0, CAST(n_words AS INT) - 5), i -> named_struct('w', slice(_words, i + 1, 5), 'i', i))"
+    df = df.withColumn("_named", F.expr(f"CASE WHEN _clash THEN sort_array({named}) ELSE CAST(array() AS ARRAY<STRUCT<w: ARRAY<STRING>, i: INT>>) END"))
+    twice = lambda n, same: f"filter(sequence(0, {n} - 1), j -> (j > 0 AND {same.format('j', 'j - 1')}) OR (j < {n} - 1 AND {same.format('j', 'j + 1')}))"
     df = df.withColumn(
         "_places",
         F.expr(
-            "CASE WHEN size(_sorted) > 1 THEN sort_array(transform(filter(sequence(0, size(_sorted) - 1), j -> "
-            f"(j > 0 AND {same.format('j', 'j - 1')}) OR (j < size(_sorted) - 1 AND {same.format('j', 'j + 1')})), "
-            f"j -> {place.format('j')})) ELSE CAST(array() AS ARRAY<INT>) END"
+            f"CASE WHEN _clash THEN sort_array(transform({twice('size(_named)', '_named[{0}].w = _named[{1}].w')}, j -> _named[j].i)) "
+            f"WHEN size(_sorted) > 1 THEN sort_array(transform({twice('size(_sorted)', hashed)}, j -> {place.format('j')})) ELSE CAST(array() AS ARRAY<INT>) END"
         ),
     )
     return df.withColumn(

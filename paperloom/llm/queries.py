@@ -8,7 +8,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from paperloom.llm import fingerprints, html_text, licenses, neardup, packing, quality, sharding, toxicity, viterbi, warc
-from paperloom.llm.common import scratch_path
 from paperloom.sources.tables import load as table
 
 
@@ -58,9 +57,7 @@ def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = scratch_path(spark, "warc")
-    warc.write_archive(table(spark, sf_dir, "pages"), path)
-    return warc.describe(warc.read_archive(spark, path))
+    return warc.archived(table(spark, sf_dir, "pages"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -2,9 +2,12 @@
 
 import base64
 import collections
+import gzip
 import hashlib
+import random
 import re
 import zlib
+from functools import partial
 
 import pytest
 from hypothesis import HealthCheck, given, settings
@@ -13,6 +16,7 @@ from pyspark.sql import functions as F
 
 from paperloom.llm import quality, sharding, warc
 
+RNG = random.Random(5)
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 
@@ -52,6 +56,13 @@ def test_random_texts(spark, texts):
     check(spark, texts)
 
 
+@pytest.mark.parametrize("weak", ["CAST(i % 3 AS BIGINT)", "0L", "pmod(xxhash64(_words[i], _words[i + 4]), 7)"])
+def test_repeats_are_exact_whatever_the_hash(spark, weak, monkeypatch):
+    """Windows that differ but share a hash interleave by position."""
+    monkeypatch.setattr(quality, "_repeat_words", partial(quality._repeat_words, window_hash=weak))
+    check(spark, ["a b c d e f g h i a b c d e k l m n f g h i a", "a b c d e " * 9, " ".join(RNG.choice("ab") for _ in range(60)), "p q r s t u v", "p q r s t p q r s t"])
+
+
 def test_empty_table_and_clashing_columns(spark):
     docs = spark.createDataFrame([], "doc_id long, text string, n_words string, _words string")
     assert quality.measure(docs).count() == 0 and quality.keep_good(docs).count() == 0
@@ -103,6 +114,29 @@ def test_shards_of_one_id(spark):
     assert sorted((r["shard"], r["slot"]) for r in got) == [(s, k) for s in range(4) for k in range(16)]
 
 
+def test_shards_of_equal_rows(spark):
+    docs = spark.createDataFrame([(7, "same")] * 64, "doc_id long, text string")
+    got = sharding.assign_shards(docs, 4).collect()
+    assert sorted((r["shard"], r["slot"]) for r in got) == [(s, k) for s in range(4) for k in range(16)]
+
+
+def test_written_shards(spark, tmp_path):
+    rows = [(1, "a", "x", 5, 6), (1, "b", "y", 5, 6), (1, "b", "z", 5, 6), (2, None, "n", 5, 6), (None, "lost", "l", 5, 6)] + [(k, "t" * (k * 7 % 50), "w", 0, 0) for k in range(3, 60)]
+    docs = spark.createDataFrame(rows, "doc_id int, text string, note string, shard int, `row` int").repartition(3)
+    sharding.write_shards(docs, str(tmp_path / "s"), 4)
+    back = spark.read.parquet(str(tmp_path / "s"))
+    assert back.columns == [*docs.columns, "shard_number"]
+    assert sorted(tuple(r)[:5] for r in back.drop("shard_number").fillna("?").collect()) == sorted(r if r[1] is not None else (*r[:1], "?", *r[2:]) for r in rows if r[0] is not None)
+    want = {(r["doc_id"], r["text_crc32"]): (r["shard"], r["slot"]) for r in sharding.assign_shards(docs, 4).collect()}
+    for k in range(4):
+        files = list((tmp_path / "s" / f"shard_number={k}").glob("*.parquet"))
+        assert len(files) == 1
+        own = [(r["doc_id"], zlib.crc32((r["text"] or "").encode())) for r in spark.read.parquet(str(files[0])).collect()]
+        slots = [want[x][1] for x in own]
+        assert {want[x][0] for x in own} == {k} and (slots == sorted(slots))
+    sharding.write_shards(docs.limit(0), str(tmp_path / "none"), 4)
+
+
 def test_archive_round_trip(spark, tmp_path):
     payloads = ["same", "other", "same", None, "", "same", "é\r\n\r\nWARC/1.1", "x" * 300_000]
     rows = [(k, None if k == 4 else f"http://h/{k}\r\nX: y", p, "clash") for k, p in enumerate(payloads)]
@@ -140,6 +174,42 @@ def test_a_changed_payload_is_found(spark, tmp_path):
         warc.describe(warc.read_archive(spark, str(tmp_path / "b"))).collect()
 
 
+def test_a_repeated_id_with_another_payload(spark, tmp_path):
+    pages = spark.createDataFrame([(1, "u", "a"), (1, "v" * 70_000, "b"), (2, "w", "b")], "page_id long, url string, html string")
+    warc.write_archive(pages, str(tmp_path / "a"))
+    got = warc.describe(warc.read_archive(spark, str(tmp_path / "a"))).collect()
+    assert sorted((r["page_id"], r["payload_bytes"], r["record_type"], r["refers_to"] or 0) for r in got) == [(1, 1, "response", 0), (1, 1, "response", 0), (2, 1, "revisit", 1)]
+
+
+def test_files_round_trip(spark, tmp_path):
+    payloads = ["same", "same", "é\r\n\r\nWARC/1.1\r\n\r\n", "", "x" * 100_000]
+    pages = spark.createDataFrame([(k, f"http://h/{k}/é", p) for k, p in enumerate(payloads)], "page_id long, url string, html string")
+    warc.write_archive(pages, str(tmp_path / "a"))
+    records = warc.read_archive(spark, str(tmp_path / "a"))
+    raw = {bytes(r["b"]) for r in records.select(warc.record_bytes().alias("b")).collect()}
+    for kind in ("none", "gzip"):
+        warc.write_warc(records, str(tmp_path / kind), kind)
+        back = warc.read_warc(spark, str(tmp_path / kind))
+        assert {bytes(r["header"]) + bytes(r["payload"]) + b"\r\n\r\n" for r in back.collect()} == raw
+
+
+def test_given_headers_are_kept_byte_for_byte(spark, tmp_path):
+    heads = [b"WARC/1.0\r\nWARC-Type: warcinfo\r\ncontent-length:  5 \r\n\r\n", b"WARC/1.1\r\nX-Odd: \xff\xfe\r\nContent-Length: 5\r\n\r\n", b"WARC/1.1\r\nContent-Length: 0\r\n\r\n"]
+    blocks = [b"ab\x00\xffe", b"ab\x00\xffe", b""]
+    data = b"".join(h + b + b"\r\n\r\n" for h, b in zip(heads, blocks, strict=True))
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in/plain.warc").write_bytes(data)
+    (tmp_path / "in/members.warc.gz").write_bytes(b"".join(gzip.compress(h + b + b"\r\n\r\n") for h, b in zip(heads, blocks, strict=True)))
+    warc.store_records(warc.read_warc(spark, str(tmp_path / "in")), str(tmp_path / "a"))
+    assert spark.read.parquet(str(tmp_path / "a/payloads")).count() == 2
+    rows = warc.read_archive(spark, str(tmp_path / "a"), "file string, place long").orderBy("file", "place").collect()
+    for name in ("plain.warc", "members.warc.gz"):
+        own = [r for r in rows if r["file"].endswith(name)]
+        assert b"".join(bytes(r["header"]) + bytes(r["payload"]) + b"\r\n\r\n" for r in own) == data
+    with pytest.raises(ValueError, match="ends inside"):
+        list(warc.records_of(data[: len(heads[0]) + 2]))
+
+
 def test_filters_on_the_ledger_plan_fast(spark):
     docs = spark.createDataFrame([(1, "a b"), (2, "plain words that make up one line of more than ten words in all")], "doc_id long, text string")
     ledger = quality.apply_policy(quality.measure(docs))

@@ -143,3 +143,53 @@ def test_components_of_a_path_and_stars(spark):
     got = {r["node"]: r["component"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert all(got[k] == 0 for k in range(41)) and all(got[k] == 100 for k in range(100, 130)) and got[200] == 200
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_a_repeated_id_loses_no_link(spark):
+    rng = random.Random(9)
+    a, b, c = (" ".join(words(rng, 60)) for _ in range(3))
+    rows = [(1, a), (1, b), (2, a + " z"), (3, b + " z"), (4, c), (4, c), (1, b)]
+    docs = spark.createDataFrame(rows, "doc_id int, text string")
+    got = sorted((r["doc_id"], r["group_id"]) for r in neardup.near_groups(docs).collect())
+    assert got == [(1, 1), (1, 1), (1, 1), (2, 1), (3, 1), (4, 4), (4, 4)]
+    kept = sorted((r["doc_id"], r["text"]) for r in neardup.keep_one(docs).collect())
+    assert [i for i, _ in kept] in ([1, 2, 4], [1, 3, 4]) and kept[2] == (4, c)
+
+
+def test_columns_with_the_names_used_inside(spark):
+    rng = random.Random(10)
+    a = " ".join(words(rng, 40))
+    docs = spark.createDataFrame([(1, a, 5, "r", "k"), (2, a, 6, "s", "l")], "doc_id long, text string, key int, row string, id string")
+    assert sorted((r["doc_id"], r["group_id"]) for r in neardup.near_groups(docs).collect()) == [(1, 1), (2, 1)]
+    assert [tuple(r) for r in neardup.keep_one(docs).collect()] == [(1, a, 5, "r", "k")]
+    assert neardup.keep_one(docs.limit(0)).count() == 0
+
+
+def test_very_long_texts(spark):
+    rng = random.Random(11)
+    base = words(rng, 60_000, 30_000)
+    near = list(base)
+    for k in range(0, len(near), 60):
+        near[k] = "edited"
+    rows = [(1, " ".join(base)), (2, " ".join(near)), (3, " ".join(words(rng, 60_000, 30_000))), (4, " ".join(base[:50_000]))]
+    assert brute_groups(rows) == {r["doc_id"]: r["group_id"] for r in neardup.near_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+
+
+def test_members_inside_do_not_meet_each_other(spark):
+    """One member outside a large component meets all of it, and no other pair is dealt."""
+    rng = random.Random(12)
+    base = words(rng, 100)
+    rows = [(1, " ".join(base))] + [(10 + k, " ".join([*base, f"t{k}"])) for k in range(40)]
+    out = list(base)
+    for k in range(0, 100, 12):
+        out[k] = f"o{k}"
+    rows.append((99, " ".join(out)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    close = spark.createDataFrame([(1, k, 0.9, 97) for k in range(10, 50)] + [(1, 99, 0.5, 96)], "a long, b long, similarity double, size_b long")
+    groups = spark.createDataFrame([(1, 1)] + [(k, 1) for k in range(10, 50)], "node long, component long")
+    scratch = neardup.Scratch(spark)
+    links = neardup.family_links(close, groups, docs, 0.8, scratch, block=8).collect()
+    dealt = spark.read.parquet(next(p for p in scratch.paths if "/dealt-" in p))
+    assert links == []
+    assert dealt.filter("doc_id <> 99").count() == dealt.filter("doc_id <> 99").select("unit", "doc_id").distinct().count()
+    scratch.drop()
