@@ -10,8 +10,8 @@ copy of the next range's first row, so the whole texts are shuffled once and nev
 
 Defined cases: a null text counts as empty; a text without a word has the empty fingerprint, and two such have
 likeness 1, one such and another text 0; repeated ids are ordered by text and each row is the next of the one
-before it; rows without an id are left out; a single row is its own next; an empty table gives no rows; other input
-columns are ignored.
+before it; rows equal in id and text share whatever place they get; rows without an id are left out; a single row is its own
+next; very long texts are read whole; an empty table gives no rows; other input columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -29,6 +29,8 @@ from pyspark.sql import functions as F
 from paperloom.llm.common import ordered_ranges, with_ids
 from paperloom.llm.shingles import shingle_hashes
 
+#: Share of the hash space that is kept. It is a choice for each corpus: a fingerprint has six bytes for each kept shingle,
+#: and the error of a likeness falls with the square root of their number; README has both by fraction.
 FRACTION = 0.25
 BITS = 48
 CHUNK = 1 << 19

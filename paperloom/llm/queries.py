@@ -64,7 +64,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
 
-#: The rest is beyond SQL: models, tokenizers, signatures, checksums that the database lacks.
+#: The rest is beyond SQL: models, tokenizers, signatures.
 ORACLE_SQL: dict[str, str] = {
     "op3_quality_rules": r"""WITH w AS (SELECT doc_id, coalesce(text, '') AS t, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents),
 x AS (SELECT doc_id, unnest(range(1, len(ws) - 3)) AS i, ws FROM w WHERE len(ws) >= 5),
@@ -79,6 +79,12 @@ f AS (SELECT *, CAST(CASE WHEN n_words < 10 THEN 1 ELSE 0 END + CASE WHEN 100 *
  + CASE WHEN 2 * n_dup_lines > n_lines THEN 8 ELSE 0 END + CASE WHEN n_words > 0 AND word_chars < 2 * n_words THEN 16 ELSE 0 END + CASE WHEN n_words > 0 AND word_chars > 25 * n_words THEN 32 ELSE 0 END
  + CASE WHEN 2 * n_exclamations > n_words THEN 64 ELSE 0 END + CASE WHEN n_words = 0 THEN 128 ELSE 0 END AS BIGINT) AS failures FROM m)
 SELECT *, (failures & 3) <> 0 AS base_failed, (failures & 111) = 0 AS kept FROM f""",
+    "op8_sharding": """WITH RECURSIVE t AS (SELECT list_transform(range(256), lambda n: list_reduce([n] || range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END)) AS crc),
+d AS (SELECT doc_id, CAST(strlen(coalesce(text, '')) + 1 AS BIGINT) AS size, regexp_extract_all(hex(encode(coalesce(text, ''))), '..') AS b FROM documents),
+s AS (SELECT doc_id, size, xor(4294967295, list_reduce([4294967295] || list_transform(b, lambda h: CAST('0x' || h AS BIGINT)), lambda c, x: xor(crc[1 + (xor(c, x) & 255)], c >> 8))) AS text_crc32 FROM d, t),
+p AS (SELECT *, sum(size) OVER (ORDER BY doc_id, text_crc32, size ROWS UNBOUNDED PRECEDING) AS upto, sum(size) OVER () AS whole FROM s),
+a AS (SELECT *, CAST(least(15, (2 * upto - size) * 16 // (2 * whole)) AS INTEGER) AS shard FROM p)
+SELECT doc_id, size, CAST(text_crc32 AS BIGINT) AS text_crc32, 'bytes' AS law, shard, row_number() OVER (PARTITION BY shard ORDER BY doc_id, text_crc32, size) - 1 AS slot, CAST(NULL AS INTEGER) AS grown_shard FROM a""",
     "op10_warc": """WITH h AS (SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS d FROM pages),
 m AS (SELECT *, min(page_id) OVER (PARTITION BY html) AS head FROM h)
 SELECT page_id, CAST(strlen(html) AS BIGINT) AS payload_bytes, array_to_string(list_transform(range(32), lambda k: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',

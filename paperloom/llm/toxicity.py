@@ -9,8 +9,9 @@ the text is evidence, cut at the terciles of the toxic sample. Expected severity
 Scoring reads every whole text once, with only the features and weights in the task, and shuffles nothing.
 
 Defined cases: a null text counts as empty and has the severity of no evidence; labels that are null or belong to no
-document are not used; without both kinds of label nothing is toxic; repeated rows are scored each; rows without an id
-keep a null id; an empty table gives no rows; other input columns are ignored.
+document are not used; of an id with several texts the sample has one, that with the least hash; features of equal G are
+taken in alphabetical order; without both kinds of label nothing is toxic; repeated rows are scored each; rows without an id
+keep a null id; very long texts are read whole; an empty table gives no rows; other input columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from paperloom.llm.common import materialize
+from paperloom.llm.common import Scratch
 
 SAMPLE_ROWS = 20_000
 FEATURES = 2_000
@@ -125,14 +126,18 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, feat
     known = labels.filter(F.col(label_column).isin(0, 1) & F.col(id_column).isNotNull()).select(F.col(id_column).alias("_id"), F.col(label_column).cast("int").alias("toxic"))
     sample = known.orderBy(F.xxhash64("_id"), "_id", "toxic").limit(sample_rows)
     texts = docs.select(F.col(id_column).alias("_id"), F.coalesce(F.col(text_column), F.lit("")).alias("text"))
+    # of an id that is repeated one text is taken, so no more rows come than were sampled
+    one = texts.join(F.broadcast(sample), "_id").groupBy("_id", "toxic").agg(F.min(F.struct(F.xxhash64("text").alias("copy"), "text")).alias("r"))
     # copies of one text would lend their words the weight of many documents
-    rows = texts.join(F.broadcast(sample), "_id").withColumn("_copy", F.xxhash64("text")).dropDuplicates(["_copy", "toxic"]).select("text", "toxic")
-    rows = materialize(rows, "sample")
+    rows = one.select("r.text", "r.copy", "toxic").dropDuplicates(["copy", "toxic"]).select("text", "toxic")
+    scratch = Scratch(docs.sparkSession)
+    rows = scratch.table(rows, "sample")
     found = rows.mapInArrow(_tally, "feature string, n_toxic long, n_other long").groupBy("feature").agg(F.sum("n_toxic").alias("n_toxic"), F.sum("n_other").alias("n_other"))
     total = rows.agg(F.sum("toxic").alias("toxic"), F.count("*").alias("n")).first()
     n_toxic = total["toxic"] or 0
     n_other = total["n"] - n_toxic
     if not n_toxic or not n_other:
+        scratch.drop()
         return Model()
     odds = F.log(((F.col("n_toxic") + 0.05) / (n_toxic + 1)) / ((F.col("n_other") + 0.5) / (n_other + 1)))
     with_it, rows_all = F.col("n_toxic") + F.col("n_other"), n_toxic + n_other
@@ -144,6 +149,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, feat
     vocabulary = {r["feature"]: k for k, r in enumerate(chosen)}
     strong = np.array([r["odds"] > 2.0 and not r["feature"].startswith("^") for r in chosen])
     got = rows.mapInArrow(partial(_rows, vocabulary=vocabulary), "toxic int, n_words long, at array<int>, n array<int>").toPandas()
+    scratch.drop()
     sizes = got["at"].map(len).to_numpy()
     owner = np.repeat(np.arange(len(got)), sizes)
     at = np.concatenate([np.asarray(x, dtype=np.int64) for x in got["at"]] or [np.empty(0, np.int64)]).astype(np.int64)

@@ -1,5 +1,6 @@
 """Toxicity, packing, SentencePiece: held-out accuracy, brute force, round trips."""
 
+import math
 import random
 import struct
 import zlib
@@ -48,6 +49,34 @@ def test_toxicity_held_out(spark, labelled):
     assert kept.columns == docs.columns and {r["doc_id"] for r in kept.collect()} == {i for i, r in got.items() if not r["toxic"]}
 
 
+def test_scores_equal_the_formula(spark, labelled):
+    """Severity is the sum over thresholds of P(grade > k), by plain arithmetic on the words of the text."""
+    rows, docs, labels = labelled
+    model = toxicity.fit(docs, labels)
+    got = {r["doc_id"]: r for r in toxicity.score(docs, model).collect()}
+    for i, text, _ in rows[::20]:
+        words = text.lower().split()
+        z = 0.0
+        for f, w in model.weights.items():
+            n = sum(x[: len(f) - 1] == f[1:] and len(x) > len(f) - 1 for x in words) if f.startswith("^") else words.count(f)
+            z += w * 3 * math.log(1 + 100 * n / len(words))
+        above = [1 - 1 / (1 + math.exp(min(40, z - t))) for t in model.thresholds]
+        assert got[i]["severity"] == pytest.approx(sum(above), abs=1e-6) and got[i]["p_toxic"] == pytest.approx(above[0], abs=1e-6)
+        p = [1 - above[0], *(a - b for a, b in zip(above, [*above[1:], 0], strict=True))]
+        assert got[i]["grade"] == int(np.argmax(p)) and got[i]["toxic"] == (above[0] >= toxicity.CUTOFF)
+
+
+def test_the_sample_is_bounded_where_ids_repeat(spark, monkeypatch):
+    docs = spark.createDataFrame([(k % 4, f"word{k} bad0" if k % 2 else f"word{k}") for k in range(400)], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, k % 2) for k in range(4)] * 3, "doc_id long, toxic int")
+    seen = []
+    fit = toxicity.fit_cumulative_link
+    monkeypatch.setattr(toxicity, "LEAST_G", 0.0)
+    monkeypatch.setattr(toxicity, "fit_cumulative_link", lambda owner, at, values, grades, n, **k: seen.append(len(grades)) or fit(owner, at, values, grades, n, **k))
+    toxicity.fit(docs, labels, sample_rows=12)
+    assert seen == [4]
+
+
 def test_toxicity_edges(spark, labelled):
     _, docs, labels = labelled
     model = toxicity.fit(docs, labels)
