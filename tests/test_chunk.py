@@ -1,3 +1,5 @@
+import time
+
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -24,6 +26,37 @@ def test_windows_cover_and_advance(text, size, overlap):
         assert got and all(c == c.strip() for _, _, c in got)
 
 
+@settings(max_examples=300, deadline=None)
+@given(st.text(alphabet="ab\t1.\n 。?)", max_size=700), st.integers(130, 300), st.integers(0, 80))
+def test_windows_follow_their_specification(text, size, overlap):
+    """Every end and start is checked against the rules one by one, on the text itself."""
+    spaces = "\t\n "
+    spans = [(a, b) for a, b, _ in chunk.windows("x" + text, size, overlap)]
+    text = "x" + text
+    for start, end in spans:
+        full = start + size
+        if full >= len(text):
+            assert end == len(text)
+            continue
+        low = max(start + max(1, overlap), full - max(120, 2 * overlap))
+        by_mark = [[k + len(m) for k in range(low, full + 1) if text.startswith(m, k)] for m in chunk.SEPARATORS]
+        beside = [k for k in range(low, full + 1) if text[k - 1] in spaces or text[k] in spaces]
+        assert end == next((m[-1] for m in by_mark if m), beside[-1] if beside else full)
+    for (_, end), (start, _) in zip(spans, spans[1:]):
+        wanted = end - overlap
+        torn = text[wanted - 1] not in ".?)。" + spaces and text[wanted] not in ".?)。" + spaces
+        near = [k for k in range(wanted, min(len(text), wanted + 40)) if text[k] in spaces]
+        back = [k for k in range(wanted - 40, wanted) if text[k] in spaces]
+        assert start == (wanted if not torn else near[0] + 1 if near else back[-1] + 1 if back else wanted) or not text[wanted:start].strip()
+
+
+def test_long_windows_take_linear_time():
+    start = time.process_time()
+    assert len(chunk.windows("ab" * 1_000_000)) > 4000
+    assert time.process_time() - start < 10
+    assert [p[2] for p in chunk.windows("one " + "x" * 30, 5, 0)][0] == "one"
+
+
 def test_sliding_chunks_number_before_dropping(spark):
     pages = spark.createDataFrame([(1, 1, "short", None, None, None), (1, 2, "x" * 30, None, None, None)], PAGES)
     rows = chunk.sliding_chunks(pages).collect()
