@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from paperloom.functions import providers, vectors
@@ -34,5 +34,18 @@ def answers_cached(questions: DataFrame, cache: DataFrame) -> DataFrame:
 
 
 def answers_to_cache(responses: DataFrame) -> DataFrame:
-    """What an answer cache keeps: responses that found something."""
-    return responses.filter(~F.col("not_found")).select(vectors.answer_key(F.col("question"), F.col("kb_ids")).alias("cache_key"), "answer")
+    """What an answer cache keeps: new responses that found something, by their question as the cache knows it."""
+    question = F.col("cache_question") if "cache_question" in responses.columns else F.col("question")
+    fresh = ~F.col("not_found") & (~F.col("cached") if "cached" in responses.columns else F.lit(True))
+    more = ["sources"] if "sources" in responses.columns else []
+    return responses.filter(fresh).select(vectors.answer_key(question, F.col("kb_ids")).alias("cache_key"), "answer", *more)
+
+
+def step_misses(questions: DataFrame, cache: DataFrame, step: str) -> DataFrame:
+    """Distinct questions whose reply of a step (route, normalise, guess) is not kept yet; keys are strong hashes, not 32 bits."""
+    keyed = questions.select(step_key(F.col("question"), step).alias("cache_key"), "question").dropDuplicates(["cache_key"])
+    return keyed.join(cache.select("cache_key"), "cache_key", "left_anti")
+
+
+def step_key(question: Column, step: str) -> Column:
+    return F.concat(F.lit(f"{step}:"), F.sha2(question.cast("binary"), 256))

@@ -7,11 +7,14 @@ ids alone and leaves contents to a late join.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import partial
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from paperloom.functions import nearest
 from paperloom.functions import text as T
-from paperloom.functions import vectors as V
 
 RRF = 60
 VECTOR_TOP, TERM_TOP = 20, 20
@@ -19,8 +22,9 @@ MIN_SCORE = 0.5
 BUDGET = 3000
 TOP = {"SIMPLE": 5, "STANDARD": 10, "COMPLEX": 20}
 RERANK_TOP = 5
-#: Questions broadcast at a time; a larger batch goes in several blocks, each of which reads the stored vectors once.
-BLOCK = 2_000
+#: Bytes of question vectors that are broadcast at a time; a larger batch goes in several blocks, each of which reads the stored
+#: vectors once. 64 MB are 250 000 questions of 64 numbers.
+BLOCK_BYTES = 64 << 20
 
 
 def _numbered(rows: DataFrame, keys: list[str], *order) -> DataFrame:
@@ -32,26 +36,30 @@ def fan_out(questions: DataFrame) -> DataFrame:
     return questions.select("*", F.posexplode("kb_ids").alias("kb_pos", "kb_id")).drop("kb_ids")
 
 
-def vector_topk(questions: DataFrame, chunks: DataFrame, k: int = VECTOR_TOP, block: int = BLOCK) -> DataFrame:
+def vector_topk(questions: DataFrame, chunks: DataFrame, k: int = VECTOR_TOP, block: int | None = None) -> DataFrame:
     """Exact cosine top k of each (question, knowledge base): (query_id, kb_id, kb_pos, chunk_id, distance, kb_rank).
 
-    questions: query_id, embedding, kb_ids; chunks: chunk_id, kb_id, embedding. Vectors are normalised once for each
-    side. Stored vectors never move: blocks of questions, counted first, are broadcast to them, and the window limit
-    above the scores keeps k rows of a group in each task before the shuffle. So a knowledge base with a third of all
-    chunks is no hot spot.
+    questions: query_id, embedding, kb_ids; chunks: chunk_id, kb_id, embedding. Stored vectors never move: the rows of a question
+    for each of its knowledge bases are counted and measured first, and blocks of them of at most BLOCK_BYTES (or of `block`
+    rows) are broadcast. A worker takes one matrix product for each batch of stored vectors and gives k rows for each question and
+    partition; a window over these picks the k best. So a knowledge base with a third of all chunks is no hot spot.
+    Vectors that are null, zero or of another length than the questions' find nothing and are not found.
     """
-    asked = fan_out(questions).select("query_id", "kb_pos", "kb_id", V.unit(F.col("embedding")).alias("asked"))
-    stored = chunks.select("chunk_id", "kb_id", V.unit(F.col("embedding")).alias("own")).filter(F.col("own").isNotNull())
-    order = Window.partitionBy("query_id", "kb_pos").orderBy("distance", "chunk_id")
-    blocks = max(1, -(-questions.count() // block))
+    spark = chunks.sparkSession
+    asked = fan_out(questions).select("query_id", "kb_pos", F.col("kb_id").cast("long").alias("kb_id"), "embedding").filter(F.size("embedding") > 0)
+    about = asked.agg(F.count("*").alias("n"), F.max(F.size("embedding")).alias("size")).first()
+    size = about["size"] or 0
+    blocks = max(1, -(-about["n"] // (block or max(1, BLOCK_BYTES // (8 * max(1, size))))))
+    kind = asked.schema["query_id"].dataType.simpleString()
+    stored = chunks.select(F.col("chunk_id").cast("long").alias("chunk_id"), F.col("kb_id").cast("long").alias("kb_id"), "embedding")
     found = None
     for n in range(blocks):
-        part = asked.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == n) if blocks > 1 else asked
-        pairs = stored.join(F.broadcast(part), "kb_id")
-        pairs = pairs.select("query_id", "kb_pos", "kb_id", "chunk_id", F.round(1.0 - V.dot(F.col("asked"), F.col("own")), 6).alias("distance"))
-        best = pairs.withColumn("kb_rank", F.row_number().over(order).cast("int")).filter(F.col("kb_rank") <= k)
-        found = best if found is None else found.unionByName(best)
-    return found
+        part = asked.filter(F.pmod(F.xxhash64("query_id", "kb_pos"), F.lit(blocks)) == n) if blocks > 1 else asked
+        held = spark.sparkContext.broadcast(part.toArrow())
+        near = stored.mapInArrow(partial(nearest.search, asked=held, k=k, size=size), f"query_id {kind}, kb_pos int, kb_id long, chunk_id long, distance double")
+        found = near if found is None else found.unionByName(near)
+    order = Window.partitionBy("query_id", "kb_pos").orderBy("distance", "chunk_id")
+    return found.withColumn("kb_rank", F.row_number().over(order).cast("int")).filter(F.col("kb_rank") <= k)
 
 
 def postings(chunks: DataFrame, text: str = "content") -> DataFrame:
@@ -104,17 +112,30 @@ def hybrid(questions: DataFrame, chunks: DataFrame, index: DataFrame, top: int,
     return fuse(concatenated(vector_topk(questions, chunks)), concatenated(term_topk(questions, index, any_term=any_term)), top=top)
 
 
+def _leading(near: DataFrame, top: int) -> DataFrame:
+    rows = concatenated(near.filter(F.col("kb_rank") <= top)).filter(F.col("rank") <= top)
+    return rows.select("query_id", "chunk_id", F.round(F.lit(1.0) / F.col("rank"), 6).alias("score"), "rank")
+
+
 def vector_only(questions: DataFrame, chunks: DataFrame, top: int) -> DataFrame:
     """Vector search cut to the first `top` over all knowledge bases in request order, scored 1 / rank."""
-    rows = concatenated(vector_topk(questions, chunks, k=top)).filter(F.col("rank") <= top)
-    return rows.select("query_id", "chunk_id", F.round(F.lit(1.0) / F.col("rank"), 6).alias("score"), "rank")
+    return _leading(vector_topk(questions, chunks, k=top), top)
+
+
+def _both_vectors(questions: DataFrame, chunks: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(search by the question's vector, search by the hypothesis's), in one pass over the stored vectors."""
+    kinds = F.array(F.struct(F.lit(0).alias("kind"), "embedding"), F.struct(F.lit(1).alias("kind"), F.col("hyde_embedding").alias("embedding")))
+    each = questions.select("query_id", "kb_ids", F.explode(kinds).alias("v")).filter("v.embedding IS NOT NULL")
+    near = vector_topk(each.select(F.struct("query_id", F.col("v.kind").alias("kind")).alias("query_id"), "kb_ids", "v.embedding"), chunks)
+    parts = [near.filter(F.col("query_id.kind") == k).withColumn("query_id", F.col("query_id.query_id")) for k in (0, 1)]
+    return parts[0], parts[1]
 
 
-def with_hypothesis(questions: DataFrame, chunks: DataFrame, index: DataFrame, top: int) -> DataFrame:
+def with_hypothesis(questions: DataFrame, chunks: DataFrame, index: DataFrame, top: int, any_term: bool = False) -> DataFrame:
     """Hybrid search fused with a vector search by the vector of a hypothetical answer (column hyde_embedding)."""
-    first = hybrid(questions, chunks, index, VECTOR_TOP)
-    guess = questions.select("query_id", "kb_ids", F.col("hyde_embedding").alias("embedding"))
-    return fuse(first.select("query_id", "chunk_id", "rank"), concatenated(vector_topk(guess, chunks)), top=top)
+    near, guess = _both_vectors(questions, chunks)
+    first = fuse(concatenated(near), concatenated(term_topk(questions, index, any_term=any_term)), top=VECTOR_TOP)
+    return fuse(first.select("query_id", "chunk_id", "rank"), concatenated(guess), top=top)
 
 
 def allowed_only(questions: DataFrame, accessible: DataFrame) -> DataFrame:
@@ -182,16 +203,29 @@ def rerank(ranked: DataFrame, top: int = RERANK_TOP, enabled: bool = False) -> D
     return out.filter(F.col("rank") <= top).drop("_was", "_use")
 
 
-def by_route(questions: DataFrame, chunks: DataFrame, index: DataFrame) -> DataFrame:
-    """Each question by its own plan: SIMPLE by vectors, STANDARD hybrid, COMPLEX with a hypothesis and then the first five."""
-    simple = vector_only(questions.filter("route = 'SIMPLE'"), chunks, TOP["SIMPLE"])
-    standard = hybrid(questions.filter("route = 'STANDARD'"), chunks, index, TOP["STANDARD"])
-    hard = rerank(with_hypothesis(questions.filter("route = 'COMPLEX'"), chunks, index, TOP["COMPLEX"]))
-    return simple.unionByName(standard).unionByName(hard)
+def by_route(questions: DataFrame, chunks: DataFrame, index: DataFrame, rerank_with: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """Each question by its own plan: SIMPLE by vectors, STANDARD hybrid, COMPLEX with a hypothesis and then the first five.
+
+    The vectors of all questions and hypotheses are sought in one pass over the store, and the terms of all that need them in
+    one join; the plans part afterwards, over ids alone. rerank_with adds rerank_score to ranked rows; without it five are kept by rank.
+    """
+    plan = questions.select("query_id", "route")
+    hard = F.col("route") == "COMPLEX"
+    near, guess = _both_vectors(questions.withColumn("hyde_embedding", F.when(hard, F.col("hyde_embedding"))), chunks)
+    near = near.join(plan, "query_id")
+    deep = near.filter("route <> 'SIMPLE'")
+    terms = concatenated(term_topk(questions.filter("route <> 'SIMPLE'"), index))
+    fused = fuse(concatenated(deep), terms, top=VECTOR_TOP).join(plan, "query_id")
+    simple = _leading(near.filter("route = 'SIMPLE'"), TOP["SIMPLE"])
+    standard = fused.filter((F.col("route") == "STANDARD") & (F.col("rank") <= TOP["STANDARD"])).drop("route")
+    wide = fuse(fused.filter(hard).select("query_id", "chunk_id", "rank"), concatenated(guess), top=TOP["COMPLEX"])
+    scored = rerank_with(wide) if rerank_with else wide
+    complex_ = rerank(scored, enabled=rerank_with is not None).select("query_id", "chunk_id", "score", "rank")
+    return simple.unionByName(standard).unionByName(complex_)
 
 
 def expanded(questions: DataFrame, rewrites: str = "rewrites") -> DataFrame:
     """(query_id, variant, question): the question itself and up to three rewrites, given as lines."""
-    lines = F.filter(F.transform(F.split(F.coalesce(F.col(rewrites), F.lit("")), "\n"), T.strip), lambda x: x != "")
+    lines = F.filter(F.transform(F.split(F.coalesce(F.col(rewrites), F.lit("")), "\n"), T.strip), lambda x: (x != "") & (x != F.col("question")))
     every = F.concat(F.array("question"), F.slice(lines, 1, 3))
     return questions.select("query_id", F.posexplode(every).alias("variant", "question"))

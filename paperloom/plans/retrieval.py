@@ -1,7 +1,7 @@
 """Queries on vectors, terms, fusion, routing, answers, evaluation and caches.
 
 Vectors: every vector whose id is divisible by 50 asks, against all vectors; a label is a knowledge base. Terms:
-every benchmark item asks with its first three words, or in fulltext_whole_* with all, against all documents; doc_id mod 4 is a knowledge base.
+every benchmark item asks with its whole text against all documents; doc_id mod 4 is a knowledge base.
 """
 
 from __future__ import annotations
@@ -66,9 +66,8 @@ def lexemes(spark, sf_dir):
 
 
 def _asked(spark, sf_dir):
-    """Questions of the first three search terms of each item."""
-    three = F.array_join(F.slice(T.query_terms(F.col("text")), 1, 3), " ")
-    return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), three.alias("question"), F.array(*[F.lit(k).cast("long") for k in range(4)]).alias("kb_ids"))
+    """Questions of the whole text of each item."""
+    return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("question"), F.array(*[F.lit(k).cast("long") for k in range(4)]).alias("kb_ids"))
 
 
 def _index(spark, sf_dir):
@@ -76,110 +75,29 @@ def _index(spark, sf_dir):
     return retrieve.postings(docs)
 
 
-_POST = rf"""w AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}]+')) AS term FROM documents),
-p AS (SELECT doc_id AS chunk_id, doc_id % 4 AS kb_id, term, count(*) AS tf FROM w GROUP BY ALL),
-a AS (SELECT DISTINCT item_id AS query_id, unnest(regexp_extract_all(lower(array_to_string(list_slice({_TERMS_SQL}, 1, 3), ' ')), '[\p{{L}}\p{{N}}]+')) AS term FROM benchmark),
-n AS (SELECT query_id, count(*) AS n FROM a GROUP BY query_id),
-h AS (SELECT query_id, kb_id, chunk_id, sum(tf) AS tf FROM p JOIN a USING (term) JOIN n USING (query_id) GROUP BY query_id, kb_id, chunk_id, n.n HAVING count(*) = n.n),
-t AS (SELECT *, row_number() OVER (PARTITION BY query_id, kb_id ORDER BY tf DESC, chunk_id) AS kb_rank FROM h QUALIFY kb_rank <= 20)"""
-
-
-@query("WITH " + _POST + " SELECT query_id, kb_id, chunk_id, CAST(tf AS BIGINT) AS tf, CAST(kb_rank AS INTEGER) AS kb_rank FROM t")
-def fulltext_topk(spark, sf_dir):
-    return retrieve.term_topk(_asked(spark, sf_dir), _index(spark, sf_dir)).select("query_id", "kb_id", "chunk_id", "tf", "kb_rank")
-
-
-@query("WITH " + _POST + """, o AS (SELECT query_id, kb_id, chunk_id, sum(tf) AS tf FROM p JOIN a USING (term) GROUP BY ALL)
-SELECT query_id, kb_id, chunk_id, CAST(tf AS BIGINT) AS tf, CAST(row_number() OVER (PARTITION BY query_id, kb_id ORDER BY tf DESC, chunk_id) AS INTEGER) AS kb_rank FROM o QUALIFY kb_rank <= 20""")
-def fulltext_any_term(spark, sf_dir):
-    return retrieve.term_topk(_asked(spark, sf_dir), _index(spark, sf_dir), any_term=True).select("query_id", "kb_id", "chunk_id", "tf", "kb_rank")
-
-
-
-def _asked_whole(spark, sf_dir):
-    """Questions of the whole text of each item."""
-    return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("question"), F.array(*[F.lit(k).cast("long") for k in range(4)]).alias("kb_ids"))
-
-
 _WORDS = r"regexp_extract_all(lower({}), '[\p{{L}}\p{{N}}]+')"
 _WHOLE_TERMS = rf"list_filter(regexp_split_to_array(text, '[\s\p{{P}}]+'), lambda t: length(t) >= 2 AND lower(t) NOT IN ({_STOP}))"
 _WHOLE_LEXEMES = _WORDS.format(f"array_to_string(CASE WHEN len({_WHOLE_TERMS}) > 0 THEN {_WHOLE_TERMS} ELSE [substr(text, 1, 20)] END, ' ')")
 
-_POST_WHOLE = f"""w AS (SELECT doc_id, unnest({_WORDS.format("text")}) AS term FROM documents),
+_POST = f"""w AS (SELECT doc_id, unnest({_WORDS.format("text")}) AS term FROM documents),
 p AS (SELECT doc_id AS chunk_id, doc_id % 4 AS kb_id, term, count(*) AS tf FROM w GROUP BY ALL),
 a AS (SELECT DISTINCT item_id AS query_id, unnest({_WHOLE_LEXEMES}) AS term FROM benchmark),
 n AS (SELECT query_id, count(*) AS n FROM a GROUP BY query_id),
 o AS (SELECT query_id, kb_id, chunk_id, sum(tf) AS tf, count(*) AS matched FROM p JOIN a USING (term) GROUP BY ALL)"""
+_RANKED = "SELECT query_id, kb_id, chunk_id, CAST(tf AS BIGINT) AS tf, CAST(row_number() OVER (PARTITION BY query_id, kb_id ORDER BY tf DESC, chunk_id) AS INTEGER) AS kb_rank FROM o"
 
 
-@query("WITH " + _POST_WHOLE + """ SELECT query_id, kb_id, chunk_id, CAST(tf AS BIGINT) AS tf, CAST(row_number() OVER (PARTITION BY query_id, kb_id ORDER BY tf DESC, chunk_id) AS INTEGER) AS kb_rank
-FROM o JOIN n USING (query_id) WHERE matched = n QUALIFY kb_rank <= 20""")
-def fulltext_whole_topk(spark, sf_dir):
-    """fulltext_topk with every search term of the item."""
-    return retrieve.term_topk(_asked_whole(spark, sf_dir), _index(spark, sf_dir)).select("query_id", "kb_id", "chunk_id", "tf", "kb_rank")
-
-
-@query("WITH " + _POST_WHOLE + """ SELECT query_id, kb_id, chunk_id, CAST(tf AS BIGINT) AS tf, CAST(row_number() OVER (PARTITION BY query_id, kb_id ORDER BY tf DESC, chunk_id) AS INTEGER) AS kb_rank
-FROM o QUALIFY kb_rank <= 20""")
-def fulltext_whole_any_term(spark, sf_dir):
-    """fulltext_any_term with every search term of the item."""
-    return retrieve.term_topk(_asked_whole(spark, sf_dir), _index(spark, sf_dir), any_term=True).select("query_id", "kb_id", "chunk_id", "tf", "kb_rank")
-
-
-# --- fusion: a second ranked list over the same vectors comes from their first eight dimensions ---
-
-_FUSED = "WITH " + _DIST + """, d2 AS (SELECT q.query_id, c.label AS kb_id, c.vec_id AS chunk_id, round(1.0 - list_cosine_similarity(q.e[1:8], c.embedding[1:8]::DOUBLE[]), 6) AS distance FROM q, embeddings c),
-v2 AS (SELECT *, row_number() OVER (PARTITION BY query_id, kb_id ORDER BY distance, chunk_id) AS kb_rank FROM d2 QUALIFY kb_rank <= 20),
-r AS (SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY kb_id, kb_rank) AS rank, 0 AS src FROM v
- UNION ALL SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY kb_id, kb_rank) AS rank, 1 AS src FROM v2),
-f AS (SELECT query_id, chunk_id, round(sum(1.0::DOUBLE / (60 + rank)), 6) AS score, min(src * 1000000 + rank) AS first FROM r GROUP BY ALL),
-fused AS (SELECT query_id, chunk_id, score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, first, chunk_id) AS INTEGER) AS rank FROM f QUALIFY rank <= 10)"""
-
-
-def _fused(spark, sf_dir, top=10):
-    questions, chunks = _askers(spark, sf_dir), _chunks(spark, sf_dir)
-    short = F.slice("embedding", 1, 8)
-    second = retrieve.vector_topk(questions.withColumn("embedding", short), chunks.withColumn("embedding", short))
-    return retrieve.fuse(retrieve.concatenated(retrieve.vector_topk(questions, chunks)), retrieve.concatenated(second), top=top)
-
-
-@query(_FUSED + " SELECT * FROM fused")
-def rrf_hybrid(spark, sf_dir):
-    return _fused(spark, sf_dir)
-
-
-@query(_FUSED + ", s AS (SELECT *, max(score) OVER (PARTITION BY query_id) AS best FROM fused) SELECT query_id, chunk_id, score, rank FROM s WHERE score >= 0.03 OR (best < 0.03 AND rank = 1)")
-def confidence_filter(spark, sf_dir):
-    return retrieve.confident(_fused(spark, sf_dir), 0.03)
-
-
-@query(_FUSED + """, s AS (SELECT f.*, 100 + f.chunk_id % 900 AS tokens, sum(100 + f.chunk_id % 900) OVER (PARTITION BY query_id ORDER BY rank) AS used FROM fused f)
-SELECT query_id, chunk_id, rank, tokens, CAST(used AS BIGINT) AS used FROM s WHERE used <= 3000""")
-def context_trim(spark, sf_dir):
-    rows = _fused(spark, sf_dir).withColumn("tokens", F.col("chunk_id") % 900 + 100)
-    return retrieve.within_budget(rows).select("query_id", "chunk_id", "rank", "tokens", "used")
-
-
-@query(_FUSED + """, s AS (SELECT *, (chunk_id * 7919 % 1000) / 1000.0::DOUBLE AS rs, count(*) OVER (PARTITION BY query_id) AS n FROM fused)
-SELECT query_id, chunk_id, CASE WHEN n > 5 THEN rs ELSE score END AS score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY CASE WHEN n > 5 THEN -rs END, s.rank) AS INTEGER) AS rank FROM s QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY CASE WHEN n > 5 THEN -rs END, s.rank) <= 5""")
-def rerank(spark, sf_dir):
-    scored = _fused(spark, sf_dir).withColumn("rerank_score", (F.col("chunk_id") * 7919 % 1000) / F.lit(1000.0))
-    return retrieve.rerank(scored, 5, enabled=True).select("query_id", "chunk_id", "score", "rank")
+@query(f"WITH {_POST} {_RANKED} JOIN n USING (query_id) WHERE matched = n QUALIFY kb_rank <= 20")
+def fulltext_topk(spark, sf_dir):
+    return retrieve.term_topk(_asked(spark, sf_dir), _index(spark, sf_dir)).select("query_id", "kb_id", "chunk_id", "tf", "kb_rank")
 
 
-@query(_FUSED.replace("rank <= 10", "rank <= 20") + """, h AS (SELECT vec_id AS query_id, embedding::DOUBLE[] AS e FROM embeddings WHERE vec_id % 50 = 0),
-hd AS (SELECT h.query_id, c.label AS kb_id, c.vec_id AS chunk_id, round(1.0 - list_cosine_similarity(list_reverse(h.e), c.embedding::DOUBLE[]), 6) AS distance FROM h, embeddings c),
-hv AS (SELECT *, row_number() OVER (PARTITION BY query_id, kb_id ORDER BY distance, chunk_id) AS kb_rank FROM hd QUALIFY kb_rank <= 20),
-b AS (SELECT query_id, chunk_id, rank, 0 AS src FROM fused UNION ALL SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY kb_id, kb_rank) AS rank, 1 AS src FROM hv),
-g AS (SELECT query_id, chunk_id, round(sum(1.0::DOUBLE / (60 + rank)), 6) AS score, min(src * 1000000 + rank) AS first FROM b GROUP BY ALL)
-SELECT query_id, chunk_id, score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, first, chunk_id) AS INTEGER) AS rank FROM g QUALIFY rank <= 20""")
-def hyde_fusion(spark, sf_dir):
-    """A second fusion with the search by a hypothetical answer's vector, here the question's reversed."""
-    guess = retrieve.vector_topk(_askers(spark, sf_dir).withColumn("embedding", F.reverse("embedding")), _chunks(spark, sf_dir))
-    return retrieve.fuse(_fused(spark, sf_dir, 20), retrieve.concatenated(guess), top=20)
+@query(f"WITH {_POST} {_RANKED} QUALIFY kb_rank <= 20")
+def fulltext_any_term(spark, sf_dir):
+    return retrieve.term_topk(_asked(spark, sf_dir), _index(spark, sf_dir), any_term=True).select("query_id", "kb_id", "chunk_id", "tf", "kb_rank")
 
 
-# --- whole hybrid retrieval: vectors and, as a question, the whole text of the asking vector's document ---
+# --- hybrid retrieval: vectors and, as a question, the whole text of the asking vector's document, against all vectors and documents ---
 
 _HYBRID = "WITH " + _DIST + f""", k AS (SELECT d.doc_id AS chunk_id, coalesce(e.label, d.doc_id % 10) AS kb_id, d.text FROM documents d LEFT JOIN embeddings e ON e.vec_id = d.doc_id),
 w AS (SELECT chunk_id, kb_id, unnest({_WORDS.format("text")}) AS term FROM k),
@@ -194,7 +112,7 @@ f AS (SELECT query_id, chunk_id, round(sum(1.0::DOUBLE / (60 + rank)), 6) AS sco
 fused AS (SELECT query_id, chunk_id, score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, first, chunk_id) AS INTEGER) AS rank FROM f QUALIFY rank <= 10)"""
 
 
-def _whole(spark, sf_dir):
+def _library(spark, sf_dir):
     """Questions with their texts, all vectors, and the term index of all documents; a document without a vector is in the knowledge base of its id mod 10."""
     docs = table(spark, sf_dir, "documents")
     texts = docs.select(F.col("doc_id").alias("query_id"), F.col("text").alias("question"))
@@ -205,9 +123,13 @@ def _whole(spark, sf_dir):
     return questions, _chunks(spark, sf_dir), retrieve.postings(indexed)
 
 
+def _fused(spark, sf_dir, top=10):
+    return retrieve.hybrid(*_library(spark, sf_dir), top=top)
+
+
 @query(_HYBRID + " SELECT * FROM fused")
-def hybrid_search(spark, sf_dir):
-    return retrieve.hybrid(*_whole(spark, sf_dir), top=10)
+def rrf_hybrid(spark, sf_dir):
+    return _fused(spark, sf_dir)
 
 
 @query(_HYBRID.replace("rank <= 10", "rank <= 20") + """, hd AS (SELECT q.query_id, c.label AS kb_id, c.vec_id AS chunk_id, round(1.0 - list_cosine_similarity(list_reverse(q.e), c.embedding::DOUBLE[]), 6) AS distance FROM q, embeddings c),
@@ -215,11 +137,44 @@ hv AS (SELECT *, row_number() OVER (PARTITION BY query_id, kb_id ORDER BY distan
 b AS (SELECT query_id, chunk_id, rank, 0 AS src FROM fused UNION ALL SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY kb_id, kb_rank) AS rank, 1 AS src FROM hv),
 g AS (SELECT query_id, chunk_id, round(sum(1.0::DOUBLE / (60 + rank)), 6) AS score, min(src * 1000000 + rank) AS first FROM b GROUP BY ALL)
 SELECT query_id, chunk_id, score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, first, chunk_id) AS INTEGER) AS rank FROM g QUALIFY rank <= 20""")
-def hypothesis_search(spark, sf_dir):
+def hyde_fusion(spark, sf_dir):
     """The hypothetical answer's vector is the question's reversed."""
-    return retrieve.with_hypothesis(*_whole(spark, sf_dir), top=20)
+    return retrieve.with_hypothesis(*_library(spark, sf_dir), top=20)
+
+
+@query(_HYBRID + ", s AS (SELECT *, max(score) OVER (PARTITION BY query_id) AS best FROM fused) SELECT query_id, chunk_id, score, rank FROM s WHERE score >= 0.016 OR (best < 0.016 AND rank = 1)")
+def confidence_filter(spark, sf_dir):
+    return retrieve.confident(_fused(spark, sf_dir), 0.016)
+
+
+_TOKENS = (
+    r"CAST(floor(length(regexp_replace({0}, '[^\x{4e00}-\x{9fff}]', '', 'g')) * 1.5::DOUBLE + length(regexp_replace({0}, '[\s\x{4e00}-\x{9fff}]', '', 'g')) * 0.3::DOUBLE) AS INTEGER)"
+)
 
 
+@query(_HYBRID + f""", s AS (SELECT f.query_id, f.chunk_id, f.rank, {_TOKENS.replace("{0}", "d.text")} AS tokens FROM fused f JOIN documents d ON d.doc_id = f.chunk_id),
+u AS (SELECT *, sum(tokens) OVER (PARTITION BY query_id ORDER BY rank) AS used FROM s) SELECT query_id, chunk_id, rank, tokens, CAST(used AS BIGINT) AS used FROM u WHERE used <= 3000""")
+def context_trim(spark, sf_dir):
+    """The leading chunks of each question whose texts fit the budget."""
+    texts = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), T.estimate_tokens(F.col("text")).alias("tokens"))
+    return retrieve.within_budget(_fused(spark, sf_dir).join(texts, "chunk_id")).select("query_id", "chunk_id", "rank", "tokens", "used")
+
+
+_SAID = r"list_distinct(regexp_extract_all(lower({}), '[\p{{L}}\p{{N}}_]+'))"
+
+
+@query(_HYBRID + f""", s AS (SELECT f.*, {_SAID.format("a.text")} AS asked, {_SAID.format("c.text")} AS said, count(*) OVER (PARTITION BY query_id) AS n
+FROM fused f JOIN documents a ON a.doc_id = f.query_id JOIN documents c ON c.doc_id = f.chunk_id),
+g AS (SELECT *, round(len(list_intersect(asked, said))::DOUBLE / len(asked), 6) AS rs FROM s),
+z AS (SELECT query_id, chunk_id, CASE WHEN n > 5 THEN rs ELSE score END AS score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY CASE WHEN n > 5 THEN -rs END, rank) AS INTEGER) AS rank FROM g) SELECT * FROM z WHERE rank <= 5""")
+def rerank(spark, sf_dir):
+    """The first five by the share of the question's words that a chunk has."""
+    docs = table(spark, sf_dir, "documents")
+    rows = _fused(spark, sf_dir).join(docs.select(F.col("doc_id").alias("chunk_id"), F.col("text").alias("said")), "chunk_id")
+    rows = rows.join(docs.select(F.col("doc_id").alias("query_id"), F.col("text").alias("asked")), "query_id")
+    scored = rows.withColumn("rerank_score", F.round(providers.relevance(F.col("asked"), F.col("said"), providers.overlap_ranker), 6)).drop("asked", "said")
+    return retrieve.rerank(scored, 5, enabled=True).select("query_id", "chunk_id", "score", "rank")
+
 
 # --- routing and answers ---
 
@@ -259,7 +214,7 @@ def _chosen(spark, sf_dir):
                        F.lit(1).alias("page_num"), F.col("role").alias("section_title"), F.col("text").alias("content"), (F.lit(1.0) / (F.col("turn") + 1)).alias("score"))
 
 
-@query("""SELECT conv_id AS query_id, string_agg('[ref' || n || '] ' || role || chr(10) || text || chr(10) || chr(10), '' ORDER BY n) AS context, CAST(count(*) AS INTEGER) AS n_chunks
+@query(r"""SELECT conv_id AS query_id, regexp_replace(string_agg('[ref' || n || '] ' || role || chr(10) || text, chr(10) || chr(10) ORDER BY n), '^\s+|\s+$', '', 'g') AS context, CAST(count(*) AS INTEGER) AS n_chunks
 FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n FROM conversations) GROUP BY conv_id""")
 def context_build(spark, sf_dir):
     return answer.contexts(_chosen(spark, sf_dir))
@@ -306,7 +261,7 @@ def ask_batch(spark, sf_dir):
 # --- evaluation ---
 
 
-@query(_FUSED + """, e AS (SELECT DISTINCT query_id FROM q), x AS (SELECT query_id, query_id - query_id % 7 AS a, query_id AS b FROM e),
+@query(_HYBRID + """, e AS (SELECT DISTINCT query_id FROM q), x AS (SELECT query_id, query_id - query_id % 7 AS a, query_id AS b FROM e),
 b AS (SELECT x.query_id, min(rank) AS rank FROM x JOIN fused f ON f.query_id = x.query_id AND f.chunk_id = x.a GROUP BY ALL)
 SELECT count(*) AS total, count(b.rank) AS hits, avg(CASE WHEN b.rank IS NULL THEN 0.0::DOUBLE ELSE 1.0 END) AS hit_rate, avg(coalesce(1.0::DOUBLE / b.rank, 0)) AS mrr, 0.0::DOUBLE AS faithfulness FROM e LEFT JOIN b USING (query_id)""")
 def hit_rate_mrr(spark, sf_dir):

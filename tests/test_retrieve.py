@@ -158,7 +158,7 @@ def test_failing_models_fall_back(spark):
         raise OSError("no service")
 
     rows = spark.createDataFrame([("a",), ("b",)], "p string")
-    assert {r[0] for r in rows.select(providers.answer(F.col("p"), broken, F.lit("else"))).collect()} == {"else"}
+    assert {r[0] for r in rows.select(providers.answer(F.col("p"), broken, F.lit("else"), delay=0)).collect()} == {"else"}
     assert {r[0] for r in rows.select(providers.relevance(F.col("p"), F.col("p"), broken)).collect()} == {None}
     scores = rows.select(providers.relevance(F.lit("a b"), F.col("p"), providers.overlap_ranker)).collect()
     assert [r[0] for r in scores] == [0.5, 0.5]

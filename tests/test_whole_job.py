@@ -14,7 +14,7 @@ def test_entry_finds_what_only_the_text_has(spark, tmp_path, monkeypatch):
     write(spark, tmp_path, embeddings=(vectors, "vec_id long, embedding array<float>, label int"), documents=(docs, "doc_id long, text string"))
     monkeypatch.setattr(entry, "SMALL", str(tmp_path))
     assert 700 in {r["chunk_id"] for r in entry.entry(spark).collect()}
-    found = {r["chunk_id"] for r in entry.queries()["hypothesis_search"](spark, str(tmp_path)).collect()}
+    found = {r["chunk_id"] for r in entry.queries()["hyde_fusion"](spark, str(tmp_path)).collect()}
     assert 700 in found and 1 in found
 
 
@@ -22,8 +22,8 @@ def test_full_text_asks_with_every_word(spark, tmp_path):
     passage = "crimson walrus lantern beside seven frozen harbours"
     docs = [(4, passage), (8, "crimson walrus lantern and nothing else"), (12, "frozen harbours, frozen harbours")]
     write(spark, tmp_path, benchmark=([(1, passage)], "item_id long, text string"), documents=(docs, "doc_id long, text string"))
-    found = {n: {r["chunk_id"]: r["tf"] for r in entry.queries()[n](spark, str(tmp_path)).collect()} for n in ("fulltext_whole_topk", "fulltext_whole_any_term")}
-    assert found == {"fulltext_whole_topk": {4: 7}, "fulltext_whole_any_term": {4: 7, 8: 3, 12: 4}}
+    found = {n: {r["chunk_id"]: r["tf"] for r in entry.queries()[n](spark, str(tmp_path)).collect()} for n in ("fulltext_topk", "fulltext_any_term")}
+    assert found == {"fulltext_topk": {4: 7}, "fulltext_any_term": {4: 7, 8: 3, 12: 4}}
 
 
 def test_ask_batch_asks_whole_texts_by_every_route(spark, tmp_path):
