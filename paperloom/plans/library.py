@@ -14,7 +14,7 @@ from paperloom.plans.registry import query, table
 from paperloom.streaming import meter
 
 STATUSES = ("UNREAD", "READING", "READ", "ARCHIVED")
-_PAPER_SQL = """p AS (SELECT doc_id AS id, doc_id % 4 AS kb_id, substr(text, 1, 60) AS title, ['UNREAD','READING','READ','ARCHIVED'][1 + doc_id % 4] AS reading_status,
+_PAPER_SQL = """p AS (SELECT doc_id AS id, doc_id % 4 AS kb_id, text AS title, ['UNREAD','READING','READ','ARCHIVED'][1 + doc_id % 4] AS reading_status,
 n_chars AS updated_at, CASE WHEN doc_id % 11 = 0 THEN TRUE WHEN doc_id % 13 = 0 THEN NULL ELSE FALSE END AS is_deleted FROM documents)"""
 
 
@@ -22,7 +22,7 @@ def _papers(spark, sf_dir):
     status = F.element_at(F.array(*map(F.lit, STATUSES)), (F.col("doc_id") % 4 + 1).cast("int"))
     gone = F.when(F.col("doc_id") % 11 == 0, True).when(F.col("doc_id") % 13 == 0, F.lit(None)).otherwise(False)
     return table(spark, sf_dir, "documents").select(
-        F.col("doc_id").alias("id"), (F.col("doc_id") % 4).alias("kb_id"), F.substring("text", 1, 60).alias("title"), status.alias("reading_status"),
+        F.col("doc_id").alias("id"), (F.col("doc_id") % 4).alias("kb_id"), F.col("text").alias("title"), status.alias("reading_status"),
         F.col("n_chars").alias("updated_at"), gone.alias("is_deleted"),
     )
 

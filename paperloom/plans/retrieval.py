@@ -41,11 +41,11 @@ def vector_only(spark, sf_dir):
     return retrieve.vector_only(_askers(spark, sf_dir), _chunks(spark, sf_dir), 5)
 
 
-@query("SELECT vec_id, '[' || array_to_string(list_transform(embedding, lambda x: CAST(round(x * 1000) AS INTEGER)), ',') || ']' AS literal, len(embedding) AS n FROM embeddings")
+@query("SELECT vec_id, '[' || array_to_string(list_transform(embedding, lambda x: CAST(round(x * 1000) AS INTEGER)), ',') || ']' AS literal, list_transform(embedding, lambda x: CAST(round(x * 1000) AS INTEGER)) AS back FROM embeddings")
 def vector_codec(spark, sf_dir):
     whole = F.transform("embedding", lambda x: F.round(x * 1000).cast("int"))
     rows = table(spark, sf_dir, "embeddings").select("vec_id", V.to_literal(whole).alias("literal"))
-    return rows.withColumn("n", F.size(V.from_text(F.col("literal"))).cast("long"))
+    return rows.withColumn("back", V.from_text(F.col("literal")).cast("array<int>"))
 
 
 # --- terms ---
@@ -234,9 +234,11 @@ def build_sources(spark, sf_dir):
     return rows.select("query_id", "source_no", "chunk_id", "doc_name", "excerpt")
 
 
-@query("SELECT doc_id, (doc_id % 11) / 10.0::DOUBLE AS score, doc_id % 2 = 0 AS faithful, source AS reason FROM documents")
+@query(r"SELECT doc_id, (doc_id % 11) / 10.0::DOUBLE AS score, doc_id % 2 = 0 AS faithful, trim(regexp_replace(text, '\s+', ' ', 'g')) AS reason FROM documents")
 def faithfulness_parse(spark, sf_dir):
-    reply = F.format_string("忠实性分数：%d\n是否忠实：%s\n理由： %s ", F.col("doc_id") % 11, F.when(F.col("doc_id") % 2 == 0, "是").otherwise("否"), "source")
+    """Verdicts whose reason is the whole text of a document."""
+    said = F.regexp_replace("text", r"\s+", " ")
+    reply = F.format_string("忠实性分数：%d\n是否忠实：%s\n理由： %s ", F.col("doc_id") % 11, F.when(F.col("doc_id") % 2 == 0, "是").otherwise("否"), said)
     return table(spark, sf_dir, "documents").select("doc_id", T.faithfulness(reply).alias("f")).select("doc_id", "f.score", "f.faithful", "f.reason")
 
 
