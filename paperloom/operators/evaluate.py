@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from paperloom.functions import providers
+from paperloom.operators import retrieve, steps
+
 
 def first_hits(questions: DataFrame, ranked: DataFrame, depth: int = 10) -> DataFrame:
     """(dataset_id, hit, rank): the best place of an expected chunk among the first `depth`, for every question.
@@ -17,6 +22,30 @@ def first_hits(questions: DataFrame, ranked: DataFrame, depth: int = 10) -> Data
     return questions.select("dataset_id").join(best, "dataset_id", "left").withColumn("hit", F.col("rank").isNotNull())
 
 
+def run(
+    questions: DataFrame, chunks: DataFrame, index: DataFrame, version: str, at: Column, rank_with: Callable[[DataFrame], DataFrame] | None = None, answers: DataFrame | None = None,
+    check: providers.Ask | None = None, deep: int = 20, depth: int = 10,
+) -> DataFrame:
+    """Results of an evaluation, one row for each question: hybrid search with a hypothesis to `deep`, reranked to `depth`, and the place of the first
+    expected chunk.
+
+    questions: id, question, kb_id, embedding, hyde_embedding, expected_chunk_ids. rank_with adds rerank_score. With answers (query_id, answer) and a
+    check, faithfulness is that of the answer against the first five candidates, not the reranked ones.
+    """
+    asked = questions.select(F.col("id").alias("query_id"), "question", F.array("kb_id").alias("kb_ids"), "embedding", "hyde_embedding")
+    found = retrieve.with_hypothesis(asked, chunks, index, deep)
+    shown = retrieve.rerank(rank_with(found) if rank_with else found, depth, enabled=rank_with is not None)
+    out = first_hits(questions.select(F.col("id").alias("dataset_id"), "expected_chunk_ids"), shown, depth)
+    out = out.withColumns({"eval_version": F.lit(version), "eval_at": at})
+    if answers is None or check is None:
+        return out.withColumns({"actual_answer": F.lit(None).cast("string"), "faithfulness": F.lit(None).cast("double")})
+    texts = F.transform(F.array_sort(F.collect_list(F.struct("rank", "content"))), lambda x: x["content"])
+    context = found.filter("rank <= 5").join(chunks.select("chunk_id", "content"), "chunk_id").groupBy("query_id").agg(F.array_join(texts, "\n\n").alias("context"))
+    told = answers.select("query_id", "answer").join(context, "query_id", "left").join(asked.select("query_id", "question"), "query_id")
+    judged = told.select(F.col("query_id").alias("dataset_id"), F.col("answer").alias("actual_answer"), steps.checked(F.col("question"), F.col("answer"), F.col("context"), check)["score"].alias("faithfulness"))
+    return out.join(judged, "dataset_id", "left")
+
+
 def run_report(results: DataFrame) -> DataFrame:
     """One row for a run: every question counts in hit rate and MRR, only those with a score in faithfulness."""
     return results.agg(

@@ -9,7 +9,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from paperloom.functions import text as T
-from paperloom.sources.schema import CHOICES
+from paperloom.operators import metadata, parse
+from paperloom.sources.schema import CHOICES, schema
+from paperloom.sources.store import file_path
 
 LEVELS = {"READ": 1, "WRITE": 2, "ADMIN": 3}
 
@@ -195,3 +197,180 @@ def relations(edges: DataFrame, incoming: bool = False) -> DataFrame:
     """(paper_id, other_id, relation_type): one hop along or against the edges present."""
     own, other = ("target_paper_id", "source_paper_id") if incoming else ("source_paper_id", "target_paper_id")
     return present(edges).select(F.col(own).alias("paper_id"), F.col(other).alias("other_id"), "relation_type")
+
+
+# --- notes, documents, messages, datasets: lists and rights ---
+
+#: What a reader sees of a stored row.
+VIEWS = {"paper": "is_deleted", "paper_note": "is_deleted", "paper_relation": "is_deleted", "knowledge_base": "is_deleted"}
+
+
+def view(rows: DataFrame, table: str) -> DataFrame:
+    """Present rows with the columns that a reader sees: those of the schema but the flag, in its order."""
+    return present(rows).select(*[f.name for f in schema(table) if f.name != VIEWS[table]])
+
+
+def notes(rows: DataFrame, paper_id: int | None = None) -> DataFrame:
+    """Notes of a paper, or of all papers, the last changed first."""
+    kept = present(rows)
+    return newest_first(kept if paper_id is None else kept.filter(F.col("paper_id") == paper_id))
+
+
+def documents_of(rows: DataFrame, kb_id: int) -> DataFrame:
+    return present(rows).filter(F.col("kb_id") == kb_id)
+
+
+def belongs(asked: DataFrame, documents: DataFrame) -> DataFrame:
+    """asked (kb_id, doc_id) with allowed: the document is present and in that knowledge base."""
+    own = present(documents).select("kb_id", F.col("id").alias("doc_id"), F.lit(True).alias("_in")).dropDuplicates()
+    return asked.join(own, ["kb_id", "doc_id"], "left").withColumn("allowed", F.coalesce("_in", F.lit(False))).drop("_in")
+
+
+def messages_for(messages: DataFrame, chats: DataFrame, user_id: int, role: str = "user") -> DataFrame:
+    """Messages of the sessions that a user owns, or of all for an admin, with position ascending from 1."""
+    own = present(chats, null_is_present=True)
+    own = own if role.upper() == "ADMIN" else own.filter(F.col("user_id") == user_id)
+    order = Window.partitionBy("session_id").orderBy("created_at", "id")
+    return messages.join(own.select(F.col("id").alias("session_id")), "session_id", "left_semi").withColumn("position", F.row_number().over(order).cast("int"))
+
+
+def chunks_by(chunks: DataFrame, ids: DataFrame, key: str = "chunk_id") -> DataFrame:
+    """Chunks whose chunk_id, doc_id or kb_id is among ids."""
+    return chunks.join(ids.select(key).dropDuplicates(), key, "left_semi")
+
+
+def of_kb(rows: DataFrame, kb_id: int) -> DataFrame:
+    """Rows of a knowledge base: eval questions, grants, chunks."""
+    return rows.filter(F.col("kb_id") == kb_id)
+
+
+def without_kb(rows: DataFrame, kb_id: int) -> DataFrame:
+    return rows.filter(~F.coalesce(F.col("kb_id") == kb_id, F.lit(False)))
+
+
+def of_department(kbs: DataFrame, department_id: str) -> DataFrame:
+    return present(kbs).filter(F.col("department_id") == department_id)
+
+
+def with_default(kbs: DataFrame, name: str, created_by: int) -> DataFrame:
+    """Knowledge bases with a default one, numbered after all others, where none is present."""
+    state = kbs.agg(F.coalesce(F.max("id"), F.lit(0)).alias("top"), F.coalesce(F.max((~F.col("is_deleted")).cast("int")), F.lit(0)).alias("any"))
+    made = state.filter("any = 0").select((F.col("top") + 1).alias("id"), F.lit(name).alias("name"), F.lit(False).alias("is_public"), F.lit(created_by).cast("long").alias("created_by"), F.lit(False).alias("is_deleted"))
+    return kbs.unionByName(made, allowMissingColumns=True)
+
+
+def default_kb(kbs: DataFrame) -> DataFrame:
+    """The first present knowledge base by id."""
+    return present(kbs).orderBy("id").limit(1)
+
+
+# --- uploads, deletion, replacement ---
+
+
+def document_records(files: DataFrame, now: Column) -> tuple[DataFrame, DataFrame]:
+    """(document rows to append, rejected files) of files (id, kb_id, file_name, file_size, uploaded_by); only PDF files become documents."""
+    marked = parse.by_type(files)
+    rows = marked.filter("success").select(
+        "id", "kb_id", "file_name", F.lit("pdf").alias("file_type"), "file_size", file_path(F.col("kb_id"), F.col("file_name")).alias("path"), F.lit("PENDING").alias("status"),
+        F.lit(1).alias("version"), "uploaded_by", now.alias("uploaded_at"), F.lit(False).alias("is_deleted"),
+    )
+    return rows, marked.filter("NOT success").select("id", "file_name", "error_msg")
+
+
+def tasks_for(documents: DataFrame, kind: str, now: Column, max_retry: int = 3) -> DataFrame:
+    """An index task for each document; its id is a hash of document, version and kind, so a rerun makes the same one."""
+    return documents.select(
+        F.xxhash64("id", "version", F.lit(kind)).alias("id"), F.col("id").alias("doc_id"), F.lit(kind).alias("task_type"), F.lit("PENDING").alias("status"), F.lit(0).alias("retry_count"),
+        F.lit(max_retry).alias("max_retry"), now.alias("created_at"),
+    )
+
+
+def uploaded(files: DataFrame, now: Column) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(documents, tasks, rejected files)."""
+    rows, rejected = document_records(files, now)
+    return rows, tasks_for(rows, "INDEX", now), rejected
+
+
+def uploaded_papers(files: DataFrame, now: Column) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(documents, tasks, papers, rejected files) of files that also have any paper fields; a paper's title is given or comes from its file."""
+    rows, tasks, rejected = uploaded(files, now)
+    given = {f.name for f in schema("paper")} - {"id", "kb_id", "doc_id", "title", "created_by", "created_at", "updated_at", "is_deleted", "reading_status"}
+    title = F.col("title") if "title" in files.columns else F.lit(None).cast("string")
+    papers = files.join(rows.select("id"), "id", "left_semi").select(
+        "id", "kb_id", F.col("id").alias("doc_id"), metadata.default_title(title, F.col("file_name")).alias("title"), *[c for c in files.columns if c in given],
+        F.lit("UNREAD").alias("reading_status"), F.col("uploaded_by").alias("created_by"), now.alias("created_at"), now.alias("updated_at"), F.lit(False).alias("is_deleted"),
+    )
+    return rows, tasks, papers, rejected
+
+
+def deleted_documents(documents: DataFrame, chunks: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(documents with those of ids flagged, chunks without theirs, paths of files to remove)."""
+    gone = ids.select("id").dropDuplicates()
+    paths = documents.join(gone, "id", "left_semi").select("path")
+    return soft_delete(documents, gone), without_documents(chunks, gone.select(F.col("id").alias("doc_id"))), paths
+
+
+def replaced(documents: DataFrame, files: DataFrame, now: Column) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(documents with new content, tasks, paths of the old files) for files (id, file_name, file_size): the next version, pending, without an error."""
+    good = parse.by_type(files).filter("success").select(F.col("id"), F.col("file_name").alias("_name"), F.col("file_size").alias("_size"))
+    live = present(documents).join(good, "id", "left_semi")
+    new = documents.join(good, "id", "left").withColumn("_new", F.col("_name").isNotNull() & ~F.coalesce("is_deleted", F.lit(True)))
+    use = lambda value, old: F.when(F.col("_new"), value).otherwise(F.col(old))
+    out = new.withColumns(
+        {
+            "path": use(file_path(F.col("kb_id"), F.concat_ws("/", (F.col("version") + 1).cast("string"), "_name")), "path"), "file_name": use(F.col("_name"), "file_name"),
+            "file_size": use(F.col("_size"), "file_size"), "version": use(F.col("version") + 1, "version"), "status": use(F.lit("PENDING"), "status"), "error_msg": F.when(~F.col("_new"), F.col("error_msg")),
+        }
+    ).select(*documents.columns)
+    return out, tasks_for(out.join(live.select("id"), "id", "left_semi"), "REINDEX", now), live.select("path")
+
+
+# --- papers' notes and relations, datasets ---
+
+
+def added(rows: DataFrame, new: DataFrame, now: Column) -> DataFrame:
+    """rows and new ones, stamped and present."""
+    stamped = new.withColumns({c: now for c in ("created_at", "updated_at") if c in rows.columns} | ({"is_deleted": F.lit(False)} if "is_deleted" in rows.columns else {}))
+    return rows.unionByName(stamped.select(*[c for c in rows.columns if c in stamped.columns]), allowMissingColumns=True).select(*rows.columns)
+
+
+def without_relations(relations_: DataFrame, asked: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(relations with those asked for flagged, requests refused): asked (id, source_paper_id) must name the relation's own source."""
+    live = present(relations_).select("id", "source_paper_id")
+    ok = asked.join(live, ["id", "source_paper_id"], "left_semi")
+    return soft_delete(relations_, ok), asked.join(live, ["id", "source_paper_id"], "left_anti")
+
+
+def without_rows(rows: DataFrame, ids: DataFrame, key: str = "id") -> DataFrame:
+    return rows.join(ids.select(key), key, "left_anti")
+
+
+# --- chats ---
+
+
+def sessions_for(asked: DataFrame, chats: DataFrame, now: Column) -> tuple[DataFrame, DataFrame]:
+    """(asked with the session to use, sessions to append).
+
+    asked: ask_id, user_id, role, session_id or null, kb_ids. A session of one's own, or any for an admin, is used; else one is made, whose
+    id is a hash of user, request and time, so a rerun makes the same one.
+    """
+    live = present(chats, null_is_present=True).select(F.col("id").alias("session_id"), F.col("user_id").alias("_owner"))
+    joined = asked.join(live, "session_id", "left")
+    mine = F.col("_owner").isNotNull() & ((F.col("_owner") == F.col("user_id")) | (F.upper("role") == "ADMIN"))
+    made = F.md5(F.concat_ws(":", F.col("user_id").cast("string"), F.col("ask_id").cast("string"), now.cast("string")).cast("binary"))
+    out = joined.withColumns({"is_new": ~F.coalesce(mine, F.lit(False)), "session_id": F.when(mine, F.col("session_id")).otherwise(made)}).drop("_owner")
+    new = out.filter("is_new").select(
+        F.col("session_id").alias("id"), "user_id", F.to_json("kb_ids").alias("kb_ids"), F.lit(None).cast("string").alias("title"), F.lit(0).alias("message_count"),
+        now.alias("created_at"), now.alias("last_active_at"), F.lit(False).alias("is_deleted"),
+    )
+    return out, new
+
+
+def after_turns(chats: DataFrame, messages: DataFrame) -> DataFrame:
+    """Sessions after new messages (session_id, role, content, created_at, position): counted on, dated, and titled if they had no title."""
+    asked = F.when(F.lower("role") == "user", F.struct("created_at", "position", F.substring("content", 1, 50).alias("title")))
+    new = messages.groupBy(F.col("session_id").alias("id")).agg(F.count("*").cast("int").alias("_n"), F.min(asked)["title"].alias("_title"), F.max("created_at").alias("_at"))
+    out = chats.join(new, "id", "left").withColumns(
+        {"message_count": F.col("message_count") + F.coalesce("_n", F.lit(0)), "title": F.coalesce("title", "_title"), "last_active_at": F.greatest("last_active_at", "_at")}
+    )
+    return out.select(*chats.columns)

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import zipfile
 from pathlib import Path
@@ -42,4 +44,5 @@ def ship_package(spark: SparkSession) -> None:
         for file in sorted(root.rglob("*.py")):
             out.write(file, str(file.relative_to(root.parent)))
     spark.sparkContext.addPyFile(target)
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
     _shipped.add(app)

@@ -9,12 +9,11 @@ TEXT_TABLES = frozenset({"documents", "pages"})
 
 
 def load(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    """A table; a text table that is a single file is dealt out to all cores first.
+    """A table; a text table that comes in a single piece is dealt out to all cores first.
 
-    A Parquet file of one row group can't be split, so such a table would keep one core busy. A table of several
-    files, as any large one is, is read as it lies. The list of files stays in the JVM.
+    Spark cuts large files by itself, so only a small table, less than one split, would keep one core busy.
     """
     rows = spark.read.parquet(f"{folder}/{name}.parquet")
-    if name in TEXT_TABLES and len(rows._jdf.inputFiles()) == 1:
+    if name in TEXT_TABLES and rows._jdf.queryExecution().toRdd().getNumPartitions() == 1:
         return rows.repartition(spark.sparkContext.defaultParallelism)
     return rows

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from paperloom.operators import chunk, parse
+from paperloom.operators.answer import events
 
 
 def ingest(spark: SparkSession, source: str, schema: str, target: str, checkpoint: str, files_each: int = 200):
@@ -18,3 +19,13 @@ def ingest(spark: SparkSession, source: str, schema: str, target: str, checkpoin
 
     arriving = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_each).parquet(source)
     return arriving.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def answer_stream(arriving: DataFrame, answer_batch, target: str, checkpoint: str):
+    """Answer questions as they arrive: each batch goes through answer_batch (questions to answers, operators.answer.ask with its
+    tables bound) and its events are written, status first, then the text in pieces, then done with the sources."""
+
+    def tell(batch: DataFrame, number: int) -> None:
+        events(answer_batch(batch)).write.mode("overwrite").parquet(f"{target}/batch={number}")
+
+    return arriving.writeStream.foreachBatch(tell).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -5,7 +5,7 @@ Events are (user_id, ts, field, tokens). `as_of` stands for the clock everywhere
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 PRICES = {"embedding": 0.0007, "context": 0.0008, "generation": 0.002}  # for a thousand tokens
@@ -64,3 +64,19 @@ def hourly_stream(events: DataFrame, late: str = "1 hour") -> DataFrame:
     return watched.groupBy("user_id", "field", F.window("ts", "1 hour").alias("w")).agg(F.sum("tokens").cast("long").alias("tokens")).select(
         "user_id", "field", F.col("w.start").alias("hour"), "tokens"
     )
+
+
+def compacted(hours: DataFrame, days: DataFrame, done: DataFrame, hour: Column) -> tuple[DataFrame, DataFrame]:
+    """(day counters with an hour's tokens added, hours done with it): nothing is added for an hour that is done already.
+
+    hours: user_id, field, hour, tokens; days: user_id, day, tokens; done: user_id, hour.
+    """
+    due = hours.filter(F.col("hour") == F.date_trunc("hour", hour)).join(done, ["user_id", "hour"], "left_anti")
+    sums = due.groupBy("user_id", F.date_trunc("day", "hour").alias("day")).agg(F.sum("tokens").cast("long").alias("tokens"))
+    both = days.select("user_id", "day", "tokens").unionByName(sums)
+    return both.groupBy("user_id", "day").agg(F.sum("tokens").cast("long").alias("tokens")), done.unionByName(due.select("user_id", "hour").dropDuplicates())
+
+
+def counted(rows: DataFrame, observation: Observation, **tokens: Column) -> DataFrame:
+    """rows unchanged, with running totals of token columns in an Observation: they are there once an action has run."""
+    return rows.observe(observation, F.count("*").alias("rows"), *[F.sum(F.coalesce(c, F.lit(0))).cast("long").alias(name) for name, c in tokens.items()])
