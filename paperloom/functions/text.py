@@ -151,8 +151,8 @@ def chunk_content_type(text: Column, page_type: Column) -> Column:
 
 def estimate_tokens(text: Column) -> Column:
     """1.5 for each CJK ideograph and 0.3 for each other character that is not white space, truncated."""
-    han = F.length(F.regexp_replace(text, f"[^{CJK}]", ""))
-    rest = F.length(F.regexp_replace(text, f"[{CJK}]|{WIDE_SPACE}", ""))
+    han = F.length(F.regexp_replace(text, f"[^{CJK}]+", ""))
+    rest = F.length(F.regexp_replace(text, f"[{CJK}{WIDE_SPACE[1:-1]}]+", ""))
     return F.coalesce((han * F.lit(1.5) + rest * F.lit(0.3)).cast("int"), F.lit(0))
 
 

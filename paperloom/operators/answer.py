@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from paperloom.functions import providers, vectors
 from paperloom.functions import text as T
 from paperloom.operators import retrieve, steps
+from paperloom.sources.scratch import materialize
 
 # --- fixed values that results depend on ---
 UNKNOWN_DOCUMENT = "未知文档"
@@ -106,6 +107,8 @@ def ask(
     known = questions.withColumn("cache_question", steps.normalized(F.col("question"), models.normalise))
     kind = F.lit("COMPLEX") if always_complex else steps.routed(F.col("question"), models.classify)
     routed = known.withColumn("route", kind)
+    if models.normalise or models.classify:
+        routed = materialize(routed, "routed")
     if cache is not None and not always_complex:
         key = vectors.answer_key(F.col("cache_question"), F.col("kb_ids"))
         kept = cache.select(F.col("cache_key").alias("_key"), F.col("answer").alias("_answer"), F.col("sources").alias("_sources"))
@@ -115,10 +118,12 @@ def ask(
     asked = routed.filter(F.col("_answer").isNull())
     if models.guess and models.embed:
         asked = steps.with_hypotheses(asked, models.guess, models.embed, F.col("route") == "COMPLEX")
-    ranked = retrieve.by_route(asked, chunks, retrieve.postings(chunks) if index is None else index, _ranker(asked, chunks, models.rank))
+    # several branches read the ranks and the replies, and a model is to be asked once
+    ranked = materialize(retrieve.by_route(asked, chunks, retrieve.stored_postings(chunks) if index is None else index, _ranker(asked, chunks, models.rank)), "ranked")
     picked = retrieve.confident(ranked, least).join(chunks.drop("embedding"), "chunk_id").withColumn("tokens", count(F.col("content")))
     chosen = retrieve.within_budget(picked, budget)
     told = prompts(contexts(chosen)).withColumn("answer", providers.answer(F.col("prompt"), models.generate, F.lit(NOT_FOUND)))
+    told = materialize(told.select("query_id", "context", "answer"), "answers")
     listed = sources_json(sources(told.select("query_id", "answer"), chosen, documents))
     told = told.join(routed.select("query_id", "question"), "query_id")
     verdict = F.lit(None).cast("struct<score:double,faithful:boolean,reason:string>")

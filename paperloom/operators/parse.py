@@ -6,10 +6,14 @@ Pages are rows (doc_id, page_num, text, ...). Line-level work explodes pages, an
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
+from functools import partial
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from paperloom.functions import text as T
 
@@ -40,20 +44,27 @@ def repeated_lines(lines: DataFrame) -> DataFrame:
     return keyed.groupBy("doc_id", "line_key").agg(F.count_distinct("page_num").alias("pages"))
 
 
+def frequent_lines(pages: DataFrame) -> DataFrame:
+    """(doc_id, frequent): keys of the short lines that stand on too many pages of their document, which has three pages at least."""
+    totals = pages.groupBy("doc_id").agg(F.count("*").cast("int").alias("total_pages")).filter("total_pages >= 3")
+    short = F.filter(F.transform(T.lines(F.col("text")), T.noise_key), lambda x: (x != "") & (F.length(x) <= 140))
+    each = pages.join(totals, "doc_id").select("doc_id", "total_pages", F.explode(F.array_distinct(short)).alias("line_key"))
+    counts = each.groupBy("doc_id", "total_pages", "line_key").agg(F.count("*").alias("pages"))
+    often = counts.filter(F.col("pages") >= T.repeat_threshold(F.col("total_pages")))
+    return often.groupBy("doc_id").agg(F.collect_set("line_key").alias("frequent"))
+
+
 def drop_noise(pages: DataFrame) -> DataFrame:
-    """pages without page numbers, running heads, and lines on too many pages of their document; blank lines stay."""
-    lines = page_lines(pages)
-    totals = pages.groupBy("doc_id").agg(F.count("*").cast("int").alias("total_pages"))
-    frequent = repeated_lines(lines).join(totals, "doc_id").filter(F.col("pages") >= T.repeat_threshold(F.col("total_pages")))
-    frequent = frequent.select("doc_id", "line_key", F.lit(True).alias("frequent"))
-    line = F.col("line")
-    kept = lines.withColumn("line_key", T.noise_key(line)).join(frequent, ["doc_id", "line_key"], "left")
-    blank = T.strip(line) == ""
-    kept = kept.filter(blank | ~(T.is_page_number(line) | T.is_running_head(line) | F.coalesce("frequent", F.lit(False))))
-    put = F.when(blank, "").otherwise(line)
-    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", put.alias("line")))), lambda x: x["line"]), "\n")
-    texts = kept.groupBy("doc_id", "page_num").agg(F.concat(joined, F.lit("\n")).alias("kept_text"))
-    return pages.join(texts, ["doc_id", "page_num"], "left").withColumn("text", F.coalesce("kept_text", F.lit(""))).drop("kept_text")
+    """pages without page numbers, running heads, and lines on too many pages of their document; blank lines stay.
+
+    Only the keys of lines are counted across pages; each page then loses its lines in its own row, so texts are not taken apart and
+    put together again. A document's frequent lines are few: each stands on a third of its pages.
+    """
+    known = F.coalesce("frequent", F.array().cast("array<string>"))
+    keep = lambda x: (T.strip(x) == "") | ~(T.is_page_number(x) | T.is_running_head(x) | ((F.size(known) > 0) & F.array_contains(known, T.noise_key(x))))
+    kept = F.transform(F.filter(T.lines(F.col("text")), keep), lambda x: F.when(T.strip(x) == "", "").otherwise(x))
+    out = pages.join(frequent_lines(pages), "doc_id", "left").withColumn("_kept", kept)
+    return out.withColumn("text", F.when(F.size("_kept") > 0, F.concat(F.array_join("_kept", "\n"), F.lit("\n"))).otherwise("")).select(*pages.columns)
 
 
 def with_sections(pages: DataFrame) -> DataFrame:
@@ -88,6 +99,8 @@ def full_text(pages: DataFrame) -> DataFrame:
 _SPACES = " \t\n\x0b\x0c\r\x1c\x1d\x1e\x1f              　"
 _BREAK = re.compile(r"\r\n|[\n\x0b\x0c\r\x85  ]")
 _PREFIX = re.compile(T.SECTION_PREFIX, re.ASCII)
+#: Without any of these a page has neither a row of cells nor a caption.
+_TABULAR = re.compile(r"\||\t|  |table\s", re.I)
 _KINDS = {key: kind for kind, keys in T.SECTION_TYPES.items() for key in keys}
 
 
@@ -130,6 +143,8 @@ def mark_tables(page: str) -> str:
 
     A caption that no table follows is held for a later table and otherwise lost.
     """
+    if not _TABULAR.search(page):
+        return re.sub("[ \t]+", " ", "\n".join(own for x in _BREAK.split(page) if (own := x.strip(_SPACES)))).strip(_SPACES)
     out: list[str] = []
     rows: list[list[str]] = []
     caption: str | None = None
@@ -171,6 +186,35 @@ def with_tables(pages: DataFrame) -> DataFrame:
     return pages.withColumn("text", marked("text"))
 
 
+def first_heading(page: str) -> tuple[str | None, str | None]:
+    """(title, type) of the first heading among the first eight lines; the Python twin of text.first_section, for scans."""
+    for line in _BREAK.split(page, maxsplit=8)[:8]:
+        kind = heading_type(line)
+        if kind:
+            return re.sub(r"\s+", " ", line, flags=re.ASCII).strip(_SPACES), kind
+    return None, None
+
+
+def _scan(batches: Iterator[pa.RecordBatch], at: int) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        texts = [mark_tables(t or "") for t in batch.column(at).to_pylist()]
+        heads = [first_heading(t) for t in texts]
+        columns = [pa.array(texts, pa.string()) if k == at else c for k, c in enumerate(batch.columns)]
+        columns += [pa.array([h[k] for h in heads], pa.string()) for k in (0, 1)]
+        out = pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names, "_title", "_type"])
+        yield out.filter(pa.array([t != "" for t in texts], pa.bool_()))
+
+
+def _tables_and_sections(pages: DataFrame) -> DataFrame:
+    """drop_blank(with_tables(pages)) with sections, each page's text read once."""
+    read = pages.mapInArrow(partial(_scan, at=pages.columns.index("text")), StructType([*pages.schema, StructField("_title", StringType()), StructField("_type", StringType())]))
+    own = F.when(F.col("_type").isNotNull(), F.struct("_title", "_type"))
+    before = Window.partitionBy("doc_id").orderBy("page_num").rowsBetween(Window.unboundedPreceding, 0)
+    last = F.last(own, ignorenulls=True).over(before)
+    found = read.withColumn("_found", last)
+    return found.withColumns({"section_title": F.col("_found._title"), "section_type": F.col("_found._type")}).drop("_found", "_title", "_type")
+
+
 def _is_credit(line: str) -> bool:
     low = line.lower()
     words = ("@", "university", "institute", "department", "arxiv")
@@ -189,18 +233,21 @@ def title_of(page: str) -> str | None:
     return " ".join(got).strip(_SPACES) or None
 
 
-def titles(pages: DataFrame) -> DataFrame:
-    """(doc_id, title) from each document's first page."""
-
+def title_column(text: Column) -> Column:
     @F.pandas_udf("string")
     def title(texts: pd.Series) -> pd.Series:
         return texts.fillna("").map(title_of)
 
+    return title(text)
+
+
+def titles(pages: DataFrame) -> DataFrame:
+    """(doc_id, title) from each document's first page."""
     first = pages.groupBy("doc_id").agg(F.min_by("text", "page_num").alias("text"))
-    return first.select("doc_id", title("text").alias("title"))
+    return first.select("doc_id", title_column(F.col("text")).alias("title"))
 
 
 def parse_pages(pages: DataFrame) -> DataFrame:
     """Raw pages to clean ones: noise, tables, content type, carried sections; blank pages dropped."""
     tidy = drop_noise(pages.withColumn("text", T.clean_keeping_columns(F.col("text"))))
-    return with_content_type(with_sections(drop_blank(with_tables(tidy))))
+    return with_content_type(_tables_and_sections(tidy))

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from paperloom.functions import nearest
 from paperloom.functions import text as T
+from paperloom.sources.scratch import materialize
 
 RRF = 60
 VECTOR_TOP, TERM_TOP = 20, 20
@@ -63,25 +64,44 @@ def vector_topk(questions: DataFrame, chunks: DataFrame, k: int = VECTOR_TOP, bl
 
 
 def postings(chunks: DataFrame, text: str = "content") -> DataFrame:
-    """(chunk_id, kb_id, term, tf): the term index. Write it partitioned by kb_id and bucketed by term to search often."""
+    """(chunk_id, kb_id, term, tf): the term index. Store it, partitioned by kb_id and bucketed by term to search often; stored_postings() does for one batch."""
     words = chunks.select("chunk_id", "kb_id", F.explode(T.lexemes(F.col(text))).alias("term"))
     return words.groupBy("chunk_id", "kb_id", "term").agg(F.count("*").cast("int").alias("tf"))
 
 
+def stored_postings(chunks: DataFrame, text: str = "content") -> DataFrame:
+    """The term index as a table in the session's shared folder, as a search reads it more than once."""
+    return materialize(postings(chunks, text), "postings")
+
+
+def question_terms(questions: DataFrame) -> DataFrame:
+    """(query_id, term, n_terms): distinct lexemes of each question's search terms; a blank question has none."""
+    lexeme = F.array_distinct(F.flatten(F.transform(T.query_terms(F.col("question")), lambda t: T.lexemes(t))))
+    each = questions.select("query_id", lexeme.alias("terms"))
+    return each.select("query_id", F.explode("terms").alias("term"), F.size("terms").alias("n_terms"))
+
+
 def term_topk(questions: DataFrame, index: DataFrame, k: int = TERM_TOP, any_term: bool = False) -> DataFrame:
     """Chunks of each (question, knowledge base) that have all its terms, or any of them, by the sum of frequencies.
 
-    questions: query_id, question, kb_ids. A blank question finds nothing.
+    questions: query_id, question, kb_ids. A blank question finds nothing. Where all terms are wanted, a question's rarest term in a
+    knowledge base names the candidates, and only these are looked up for the other terms; a knowledge base that lacks a term gives
+    none. So common words cost nothing but in questions that have no other.
     """
-    lexeme = F.array_distinct(F.flatten(F.transform(T.query_terms(F.col("question")), lambda t: T.lexemes(t))))
-    asked = fan_out(questions.withColumn("terms", lexeme).filter(F.size("terms") > 0)).withColumn("n_terms", F.size("terms"))
-    asked = asked.select("query_id", "kb_pos", "kb_id", "n_terms", F.explode("terms").alias("term"))
-    hits = index.join(asked, ["kb_id", "term"]).groupBy("query_id", "kb_pos", "kb_id", "n_terms", "chunk_id")
-    scored = hits.agg(F.sum("tf").cast("long").alias("tf"), F.count("*").alias("matched"))
-    if not any_term:
-        scored = scored.filter("matched = n_terms")
+    terms = question_terms(questions)
+    if any_term:
+        hits = index.join(terms, "term").groupBy("query_id", "kb_id", "chunk_id").agg(F.sum("tf").cast("long").alias("tf"))
+    else:
+        spread = index.groupBy("kb_id", "term").agg(F.count("*").alias("n"))
+        rarest = spread.join(terms, "term").groupBy("query_id", "kb_id", "n_terms").agg(F.count("*").alias("known"), F.min(F.struct("n", "term"))["term"].alias("term"))
+        named = index.join(rarest.filter("known = n_terms").select("query_id", "kb_id", "term"), ["kb_id", "term"]).select("query_id", "kb_id", "chunk_id")
+        wanted = named.join(terms, "query_id")
+        found = index.join(wanted, ["chunk_id", "kb_id", "term"]).groupBy("query_id", "kb_id", "chunk_id", "n_terms")
+        hits = found.agg(F.sum("tf").cast("long").alias("tf"), F.count("*").alias("matched")).filter("matched = n_terms").drop("matched", "n_terms")
+    places = fan_out(questions.select("query_id", "kb_ids")).withColumn("kb_id", F.col("kb_id").cast("long"))
+    scored = hits.withColumn("kb_id", F.col("kb_id").cast("long")).join(places, ["query_id", "kb_id"])
     order = Window.partitionBy("query_id", "kb_pos").orderBy(F.desc("tf"), "chunk_id")
-    return scored.withColumn("kb_rank", F.row_number().over(order).cast("int")).filter(F.col("kb_rank") <= k).drop("n_terms", "matched")
+    return scored.withColumn("kb_rank", F.row_number().over(order).cast("int")).filter(F.col("kb_rank") <= k)
 
 
 def concatenated(found: DataFrame, per_kb: bool = False) -> DataFrame:

@@ -72,7 +72,7 @@ def _asked(spark, sf_dir):
 
 def _index(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), (F.col("doc_id") % 4).alias("kb_id"), F.col("text").alias("content"))
-    return retrieve.postings(docs)
+    return retrieve.stored_postings(docs)
 
 
 _WORDS = r"regexp_extract_all(lower({}), '[\p{{L}}\p{{N}}]+')"
@@ -120,7 +120,7 @@ def _library(spark, sf_dir):
     labels = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), F.col("label").cast("long").alias("label"))
     kb = F.coalesce("label", F.col("doc_id") % 10).alias("kb_id")
     indexed = docs.join(labels, "doc_id", "left").select(F.col("doc_id").alias("chunk_id"), kb, F.col("text").alias("content"))
-    return questions, _chunks(spark, sf_dir), retrieve.postings(indexed)
+    return questions, _chunks(spark, sf_dir), retrieve.stored_postings(indexed)
 
 
 def _fused(spark, sf_dir, top=10):
