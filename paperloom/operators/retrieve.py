@@ -93,6 +93,9 @@ def term_topk(questions: DataFrame, index: DataFrame, k: int = TERM_TOP, any_ter
         hits = index.join(terms, "term").groupBy("query_id", "kb_id", "chunk_id").agg(F.sum("tf").cast("long").alias("tf"))
     else:
         spread = index.groupBy("kb_id", "term").agg(F.count("*").alias("n"))
+        # most questions have a word that no chunk has; they end here, before they meet each knowledge base
+        anywhere = index.select("term").dropDuplicates().join(terms, "term").groupBy("query_id", "n_terms").agg(F.count("*").alias("known"))
+        terms = terms.join(anywhere.filter("known = n_terms").select("query_id"), "query_id", "left_semi")
         rarest = spread.join(terms, "term").groupBy("query_id", "kb_id", "n_terms").agg(F.count("*").alias("known"), F.min(F.struct("n", "term"))["term"].alias("term"))
         named = index.join(rarest.filter("known = n_terms").select("query_id", "kb_id", "term"), ["kb_id", "term"]).select("query_id", "kb_id", "chunk_id")
         wanted = named.join(terms, "query_id")
