@@ -36,7 +36,7 @@ def hashing_embedder(size: int = 64) -> Embed:
         for text in texts:
             v = [0.0] * size
             for word in _WORD.findall((text or "").lower()):
-                h = int.from_bytes(hashlib.blake2b(word.encode(), digest_size=8).digest(), "little")
+                h = int(hashlib.md5(word.encode()).hexdigest()[:16], 16)
                 v[h % size] += 1.0 if h >> 63 else -1.0
             out.append(v)
         return out

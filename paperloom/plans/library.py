@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from paperloom.functions import text as T
+from paperloom.operators import index
 from paperloom.operators import library as L
 from paperloom.plans.registry import query, table
 from paperloom.streaming import meter
@@ -250,6 +251,147 @@ def relations_in(spark, sf_dir):
     return L.relations(_edges(spark, sf_dir), incoming=True)
 
 
+# --- notes, rights on documents, messages, datasets ---
+
+_KB_DOCS = """k AS (SELECT doc_id AS id, doc_id % 4 AS kb_id, source || '.pdf' AS file_name, n_chars AS file_size, 1 + doc_id % 3 AS version, CASE WHEN doc_id % 5 = 0 THEN 'FAILED' ELSE 'DONE' END AS status,
+CASE WHEN doc_id % 5 = 0 THEN 'why' END AS error_msg, 'kb/' || (doc_id % 4) || '/' || doc_id AS path, doc_id % 11 = 0 AS is_deleted FROM documents)"""
+
+
+def _documents(spark, sf_dir):
+    d = F.col("doc_id")
+    return table(spark, sf_dir, "documents").select(
+        d.alias("id"), (d % 4).alias("kb_id"), F.concat("source", F.lit(".pdf")).alias("file_name"), F.col("n_chars").alias("file_size"), (d % 3 + 1).alias("version"),
+        F.when(d % 5 == 0, "FAILED").otherwise("DONE").alias("status"), F.when(d % 5 == 0, "why").alias("error_msg"),
+        F.concat(F.lit("kb/"), (d % 4).cast("string"), F.lit("/"), d.cast("string")).alias("path"), (d % 11 == 0).alias("is_deleted"),
+    )
+
+
+@query("SELECT conv_id * 100 + turn AS id, conv_id AS paper_id, text AS content FROM conversations WHERE turn % 4 <> 3")
+def notes_of_papers(spark, sf_dir):
+    rows = table(spark, sf_dir, "conversations").select((F.col("conv_id") * 100 + F.col("turn")).alias("id"), F.col("conv_id").alias("paper_id"), F.col("text").alias("content"), F.col("turn").alias("updated_at"), (F.col("turn") % 4 == 3).alias("is_deleted"))
+    return L.notes(rows).select("id", "paper_id", "content")
+
+
+@query(f"WITH {_KB_DOCS} SELECT id, file_name, status FROM k WHERE kb_id = 1 AND NOT is_deleted")
+def documents_of_kb(spark, sf_dir):
+    return L.documents_of(_documents(spark, sf_dir), 1).select("id", "file_name", "status")
+
+
+@query(f"WITH {_KB_DOCS} SELECT l.doc_id, l.quality AS kb_id, EXISTS (SELECT 1 FROM k WHERE k.id = l.doc_id AND k.kb_id = l.quality AND NOT is_deleted) AS allowed FROM labels l")
+def document_in_kb(spark, sf_dir):
+    asked = table(spark, sf_dir, "labels").select("doc_id", F.col("quality").cast("long").alias("kb_id"))
+    return L.belongs(asked, _documents(spark, sf_dir)).withColumn("kb_id", F.col("kb_id").cast("int"))
+
+
+@query("SELECT conv_id, turn, role, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS INTEGER) AS position FROM conversations WHERE conv_id % 7 = 3")
+def messages_of_owner(spark, sf_dir):
+    chats = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("id"), (F.col("conv_id") % 7).alias("user_id")).distinct().withColumn("is_deleted", F.lit(None).cast("boolean"))
+    return L.messages_for(_messages(spark, sf_dir), chats, 3).select(F.col("session_id").alias("conv_id"), F.col("id").alias("turn"), "role", "position")
+
+
+@query("SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM orders WHERE o_orderpriority LIKE '1%')")
+def chunks_by_document(spark, sf_dir):
+    wanted = table(spark, sf_dir, "orders").filter(F.col("o_orderpriority").startswith("1")).select(F.col("o_orderkey").alias("doc_id"))
+    rows = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("doc_id"), "l_linenumber")
+    return L.chunks_by(rows, wanted, "doc_id").withColumnRenamed("doc_id", "l_orderkey")
+
+
+@query("SELECT item_id, text FROM benchmark WHERE item_id % 4 = 2")
+def questions_of_kb(spark, sf_dir):
+    return L.of_kb(table(spark, sf_dir, "benchmark").withColumn("kb_id", F.col("item_id") % 4), 2).drop("kb_id")
+
+
+@query("SELECT c_custkey FROM customer WHERE c_nationkey <> 7")
+def grants_without_kb(spark, sf_dir):
+    return L.without_kb(table(spark, sf_dir, "customer").select("c_custkey", F.col("c_nationkey").alias("kb_id")), 7).select("c_custkey")
+
+
+@query("SELECT n_nationkey AS id FROM nation WHERE n_regionkey = 2 AND n_nationkey % 10 <> 9")
+def kbs_of_department(spark, sf_dir):
+    rows = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("id"), F.col("n_regionkey").cast("string").alias("department_id"), (F.col("n_nationkey") % 10 == 9).alias("is_deleted"))
+    return L.of_department(rows, "2").select("id")
+
+
+@query("SELECT max(n_nationkey) + 1 AS id, 'Default' AS name FROM nation")
+def default_kb_made(spark, sf_dir):
+    """All knowledge bases are deleted, so a default one is made after them."""
+    rows = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("id"), F.col("n_name").alias("name"), F.lit(False).alias("is_public"), F.lit(1).cast("long").alias("created_by"), F.lit(True).alias("is_deleted"))
+    return L.default_kb(L.with_default(rows, "Default", 1)).select("id", "name")
+
+
+# --- uploads, replacement, deletion, turns ---
+
+
+def _now():
+    return F.expr("TIMESTAMP_NTZ '2024-01-30 12:30:00'")
+
+
+@query("""SELECT page_id AS id, page_id % 4 AS kb_id, url || '.pdf' AS file_name, 'kb/' || (page_id % 4) || '/' || substr(md5((page_id % 4) || '/' || url || '.pdf'), 1, 8) || '-' || url || '.pdf' AS path, 'PENDING' AS status, 1 AS version FROM pages WHERE page_id % 3 = 0""")
+def upload_records(spark, sf_dir):
+    """A third of the pages come as PDF files; the others are turned away."""
+    url = F.when(F.col("page_id") % 3 == 0, F.concat("url", F.lit(".pdf"))).otherwise(F.col("url"))
+    files = table(spark, sf_dir, "pages").select(F.col("page_id").alias("id"), (F.col("page_id") % 4).alias("kb_id"), url.alias("file_name"), F.length("html").cast("long").alias("file_size"), F.lit(1).cast("long").alias("uploaded_by"))
+    return L.document_records(files, _now())[0].select("id", "kb_id", "file_name", "path", "status", "version")
+
+
+@query(f"""WITH {_KB_DOCS}, r AS (SELECT doc_id FROM labels WHERE quality = 0) SELECT id, CASE WHEN r.doc_id IS NOT NULL AND NOT is_deleted THEN 'new-' || id || '.pdf' ELSE file_name END AS file_name,
+CASE WHEN r.doc_id IS NOT NULL AND NOT is_deleted THEN version + 1 ELSE version END AS version, CASE WHEN r.doc_id IS NOT NULL AND NOT is_deleted THEN 'PENDING' ELSE status END AS status,
+CASE WHEN r.doc_id IS NULL OR is_deleted THEN error_msg END AS error_msg FROM k LEFT JOIN r ON r.doc_id = id""")
+def replace_content(spark, sf_dir):
+    files = table(spark, sf_dir, "labels").filter("quality = 0").select(F.col("doc_id").alias("id"), F.format_string("new-%d.pdf", "doc_id").alias("file_name"), F.lit(5).cast("long").alias("file_size"))
+    return L.replaced(_documents(spark, sf_dir), files, _now())[0].select("id", "file_name", "version", "status", "error_msg")
+
+
+@query(f"WITH {_KB_DOCS} SELECT path FROM k WHERE id IN (SELECT doc_id FROM labels WHERE toxic = 1)")
+def files_of_deleted_documents(spark, sf_dir):
+    chunks = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("doc_id"))
+    gone = table(spark, sf_dir, "labels").filter("toxic = 1").select(F.col("doc_id").alias("id"))
+    return L.deleted_documents(_documents(spark, sf_dir), chunks, gone)[2]
+
+
+@query("""SELECT conv_id AS id, CAST(5 + count(*) AS INTEGER) AS message_count, CASE WHEN conv_id % 2 = 0 THEN 'old' ELSE substr(arg_min(text, turn) FILTER (WHERE role = 'user'), 1, 50) END AS title, greatest(3, max(turn)) AS last_active_at FROM conversations GROUP BY conv_id""")
+def sessions_after_turns(spark, sf_dir):
+    turns = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("session_id"), "role", F.col("text").alias("content"), F.col("turn").alias("created_at"), F.lit(0).alias("position"))
+    chats = turns.select(F.col("session_id").alias("id")).distinct().select("id", F.lit(5).alias("message_count"), F.when(F.col("id") % 2 == 0, "old").alias("title"), F.lit(3).cast("long").alias("last_active_at"))
+    return L.after_turns(chats, turns)
+
+
+@query("""SELECT c_custkey AS ask_id, CASE WHEN c_custkey % 3 = 0 OR c_custkey % 10 = 0 THEN c_custkey || '-s' END AS session_id, NOT (c_custkey % 3 = 0 OR c_custkey % 10 = 0) AS is_new FROM customer""")
+def session_get_or_create(spark, sf_dir):
+    """Every customer asks for a session; a third own theirs, others but admins get a new one, whose id is left out here."""
+    key = F.col("c_custkey")
+    sid = F.concat(key.cast("string"), F.lit("-s"))
+    rows = table(spark, sf_dir, "customer")
+    chats = rows.select(sid.alias("id"), F.when(key % 3 == 0, key).otherwise(key + 1).alias("user_id"), F.lit(False).alias("is_deleted"))
+    asked = rows.select(key.alias("ask_id"), key.alias("user_id"), F.when(key % 10 == 0, "admin").otherwise("user").alias("role"), sid.alias("session_id"), F.array(F.lit(1)).alias("kb_ids"))
+    out, _ = L.sessions_for(asked, chats, _now())
+    return out.select("ask_id", F.when(~F.col("is_new"), F.col("session_id")).alias("session_id"), "is_new")
+
+
+@query("SELECT l_orderkey AS id, l_linenumber FROM lineitem WHERE l_linenumber <> 2 OR l_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_linenumber = 2 AND l_suppkey % 2 = 0)")
+def relations_left(spark, sf_dir):
+    """Relations are taken back only by requests that name their source."""
+    rows = table(spark, sf_dir, "lineitem")
+    key = F.concat_ws("-", "l_orderkey", "l_linenumber")
+    edges = rows.select("l_orderkey", "l_linenumber", key.alias("id"), F.col("l_suppkey").alias("source_paper_id"), F.lit(False).alias("is_deleted"))
+    asked = rows.filter("l_linenumber = 2").select(key.alias("id"), (F.col("l_suppkey") + F.col("l_suppkey") % 2).alias("source_paper_id"))
+    return L.present(L.without_relations(edges, asked)[0]).select(F.col("l_orderkey").alias("id"), "l_linenumber")
+
+
+@query("""SELECT doc_id AS id, CASE WHEN doc_id % 3 = 0 THEN 'PENDING' WHEN doc_id % 3 = 1 AND trim(text) <> '' THEN 'DONE' WHEN doc_id % 3 = 1 THEN 'FAILED' ELSE 'DONE' END AS status,
+CAST(CASE WHEN doc_id % 3 = 1 THEN CASE WHEN trim(text) <> '' THEN length(text) - length(replace(text, chr(10), '')) + 1 END ELSE -1 END AS INTEGER) AS chunk_count FROM documents""")
+def index_states(spark, sf_dir):
+    """After a run over a third of the documents, whose chunks are the lines of their texts."""
+    d = F.col("doc_id")
+    none = F.lit(None).cast("string")
+    docs = table(spark, sf_dir, "documents").select(
+        d.alias("id"), F.when(d % 3 == 0, "PENDING").when(d % 3 == 1, "PROCESSING").otherwise("DONE").alias("status"), F.lit(-1).alias("chunk_count"), F.lit(-1).alias("token_count"), none.alias("indexed_at"), none.alias("error_msg"), F.col("text"),
+    )
+    lines = docs.filter("status = 'PROCESSING'").filter(~T.is_blank(F.col("text"))).select(F.col("id").alias("doc_id"), F.explode(F.split("text", "\n")).alias("content"), F.lit(1).alias("token_count"))
+    tasks = docs.select(F.col("id"), F.col("id").alias("doc_id"), F.lit("RUNNING").alias("status"), none.alias("error_msg"), none.alias("finished_at"))
+    return index.finished(docs.drop("text"), tasks, lines, F.lit("now"))[0].select("id", "status", "chunk_count")
+
+
 # --- token meter ---
 
 FIELDS = ("click", "view", "purchase")
@@ -313,3 +455,15 @@ def active_users(spark, sf_dir):
 def token_retention(spark, sf_dir):
     rows = meter.retained(_events(spark, sf_dir), "ts", _as_of(), meter.HOURS_KEPT)
     return rows.groupBy("user_id", "field").agg(F.sum("tokens").cast("long").alias("tokens"))
+
+
+@query(f"""WITH {_E}, h AS (SELECT user_id, date_trunc('hour', ts) AS hour, sum(tokens) AS tokens FROM e GROUP BY ALL), d AS (SELECT DISTINCT user_id, date_trunc('day', ts) AS day, 1000 AS tokens FROM e),
+n AS (SELECT user_id, date_trunc('day', hour) AS day, tokens FROM h WHERE hour = TIMESTAMP '2024-01-30 12:00:00' AND user_id % 2 = 1), b AS (SELECT * FROM d UNION ALL SELECT * FROM n)
+SELECT user_id, strftime(day, '%Y%m%d') AS day, CAST(sum(tokens) AS BIGINT) AS tokens FROM b GROUP BY ALL""")
+def token_compaction(spark, sf_dir):
+    """An hour goes into the day counters of users for whom it is not done yet."""
+    events = _events(spark, sf_dir)
+    hours = meter.hourly(events)
+    days = events.select("user_id", F.date_trunc("day", "ts").alias("day")).distinct().withColumn("tokens", F.lit(1000).cast("long"))
+    done = hours.filter("user_id % 2 = 0").select("user_id", "hour").distinct()
+    return meter.compacted(hours, days, done, _as_of())[0].withColumn("day", F.date_format("day", "yyyyMMdd"))

@@ -6,12 +6,15 @@ every benchmark item asks with its whole text against all documents; doc_id mod
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from paperloom.functions import providers
 from paperloom.functions import text as T
 from paperloom.functions import vectors as V
 from paperloom.operators import answer, embed, evaluate, retrieve
+from paperloom.plans import papersql as S
 from paperloom.plans.registry import query, table
 
 
@@ -41,11 +44,11 @@ def vector_only(spark, sf_dir):
     return retrieve.vector_only(_askers(spark, sf_dir), _chunks(spark, sf_dir), 5)
 
 
-@query("SELECT vec_id, '[' || array_to_string(list_transform(embedding, lambda x: CAST(round(x * 1000) AS INTEGER)), ',') || ']' AS literal, list_transform(embedding, lambda x: CAST(round(x * 1000) AS INTEGER)) AS back FROM embeddings")
+@query("SELECT vec_id, '[' || array_to_string(list_transform(embedding, lambda x: CAST(round(x * 1000) AS INTEGER)), ',') || ']' AS literal, array_to_string(list_transform(embedding, lambda x: CAST(round(x * 1000) AS INTEGER)), ',') AS back FROM embeddings")
 def vector_codec(spark, sf_dir):
     whole = F.transform("embedding", lambda x: F.round(x * 1000).cast("int"))
     rows = table(spark, sf_dir, "embeddings").select("vec_id", V.to_literal(whole).alias("literal"))
-    return rows.withColumn("back", V.from_text(F.col("literal")).cast("array<int>"))
+    return rows.withColumn("back", V.to_csv(V.from_text(F.col("literal")).cast("array<int>")))
 
 
 # --- terms ---
@@ -242,11 +245,68 @@ def faithfulness_parse(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", T.faithfulness(reply).alias("f")).select("doc_id", "f.score", "f.faithful", "f.reason")
 
 
-@query()
+@query("""WITH n AS (SELECT *, CAST(greatest(1, ceil(length(text) / 100.0)) AS INTEGER) AS n FROM conversations) SELECT conv_id * 100 + turn AS query_id, 0 AS n, 'status' AS event, 'generating' AS data FROM n
+UNION ALL SELECT conv_id * 100 + turn, CAST(k + 1 AS INTEGER), 'token', substr(text, k * 100 + 1, 100) FROM n, unnest(range(n.n)) u(k) UNION ALL SELECT conv_id * 100 + turn, n + 1, 'done', role FROM n""")
+def answer_events(spark, sf_dir):
+    """Each turn of a conversation as an answer that is told in pieces."""
+    rows = table(spark, sf_dir, "conversations").select((F.col("conv_id") * 100 + F.col("turn")).alias("query_id"), F.col("text").alias("answer"), F.col("role").alias("sources"))
+    return answer.events(rows, 100)
+
+
+def _said(template: str, *values: str) -> str:
+    """A format of %d and %s as a concatenation in SQL."""
+    parts = re.split("%[ds]", template)
+    return " || ".join(x for pair in zip(map(S.lit, parts), (*values, "''"), strict=True) for x in pair)
+
+
+_FUSE = "round(sum(1.0::DOUBLE / (60 + rank)), 6) AS score, min(src * 1000000 + rank) AS first"
+_RANK = "CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, first, chunk_id) AS INTEGER) AS rank"
+_ROUTE = """CASE WHEN trim(text) = '' THEN 'STANDARD' WHEN regexp_matches(text, '\\d+\\s*(天|个月|月|年|小时)') THEN CASE WHEN length(trim(text)) <= 24 THEN 'STANDARD' ELSE 'COMPLEX' END
+WHEN length(trim(text)) <= 24 THEN 'SIMPLE' WHEN length(trim(text)) >= 80 THEN 'COMPLEX' ELSE 'STANDARD' END"""
+#: q (query_id, e, h, route) and c (chunk_id, kb_id, e, content), with a (query_id, term), to fused (all but SIMPLE), near and wide (COMPLEX)
+_PLANS = f"""d AS (SELECT q.query_id, c.kb_id, c.chunk_id, round(1.0 - list_cosine_similarity(q.e, c.e), 6) AS distance FROM q, c),
+v AS (SELECT *, row_number() OVER (PARTITION BY query_id, kb_id ORDER BY distance, chunk_id) AS kb_rank FROM d QUALIFY kb_rank <= 20),
+hd AS (SELECT q.query_id, c.kb_id, c.chunk_id, round(1.0 - list_cosine_similarity(q.h, c.e), 6) AS distance FROM q, c WHERE route = 'COMPLEX'),
+hv AS (SELECT *, row_number() OVER (PARTITION BY query_id, kb_id ORDER BY distance, chunk_id) AS kb_rank FROM hd QUALIFY kb_rank <= 20),
+w AS (SELECT chunk_id, kb_id, unnest({_WORDS.format("content")}) AS term FROM c), p AS (SELECT chunk_id, kb_id, term, count(*) AS tf FROM w GROUP BY ALL),
+n AS (SELECT query_id, count(*) AS n FROM a GROUP BY query_id),
+o AS (SELECT query_id, kb_id, chunk_id, sum(tf) AS tf FROM p JOIN a USING (term) JOIN n USING (query_id) GROUP BY query_id, kb_id, chunk_id, n.n HAVING count(*) = n.n),
+t AS (SELECT *, row_number() OVER (PARTITION BY query_id, kb_id ORDER BY tf DESC, chunk_id) AS kb_rank FROM o QUALIFY kb_rank <= 20),
+r AS (SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY kb_id, kb_rank) AS rank, 0 AS src FROM v
+ UNION ALL SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY kb_id, kb_rank) AS rank, 1 AS src FROM t),
+f AS (SELECT query_id, chunk_id, {_FUSE} FROM r GROUP BY ALL),
+fused AS (SELECT query_id, chunk_id, score, {_RANK} FROM f QUALIFY rank <= 20),
+b AS (SELECT query_id, chunk_id, rank, 0 AS src FROM fused JOIN q USING (query_id) WHERE route = 'COMPLEX' UNION ALL SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY kb_id, kb_rank) AS rank, 1 AS src FROM hv),
+g AS (SELECT query_id, chunk_id, {_FUSE} FROM b GROUP BY ALL),
+wide AS (SELECT query_id, chunk_id, score, {_RANK} FROM g QUALIFY rank <= 20),
+near AS (SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY kb_id, kb_rank) AS rank FROM v JOIN q USING (query_id) WHERE route = 'SIMPLE' AND kb_rank <= 5 QUALIFY rank <= 5)"""
+
+_ASK = f"""WITH c AS (SELECT vec_id AS chunk_id, label AS kb_id, embedding::DOUBLE[] AS e, text AS content, lang, source FROM embeddings JOIN documents ON doc_id = vec_id),
+q AS (SELECT conv_id * 100 + turn AS query_id, text, embedding::DOUBLE[] AS e, list_reverse(embedding::DOUBLE[]) AS h, {_ROUTE} AS route FROM conversations JOIN embeddings ON vec_id = conv_id),
+a AS (SELECT DISTINCT query_id, unnest({_WHOLE_LEXEMES}) AS term FROM q WHERE route <> 'SIMPLE'), {_PLANS},
+ranked AS (SELECT query_id, chunk_id, round(1.0 / rank, 6) AS score, CAST(rank AS INTEGER) AS rank FROM near UNION ALL SELECT query_id, chunk_id, score, rank FROM fused JOIN q USING (query_id) WHERE route = 'STANDARD' AND rank <= 10
+ UNION ALL SELECT query_id, chunk_id, score, rank FROM wide WHERE rank <= 5),
+sure AS (SELECT *, max(score) OVER (PARTITION BY query_id) AS best, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, rank) AS nth FROM ranked),
+picked AS (SELECT query_id, chunk_id, score, rank, content, lang, source, {S.tokens("content")} AS tokens FROM sure JOIN c USING (chunk_id) WHERE score >= 0.5 OR (best < 0.5 AND nth = 1)),
+used AS (SELECT *, sum(tokens) OVER w AS used, row_number() OVER w AS place FROM picked WINDOW w AS (PARTITION BY query_id ORDER BY rank)),
+parts AS (SELECT query_id, chunk_id, unnest(regexp_extract_all(content, '(?s)[^。！？\n]*[。！？\n]|[^。！？\n]+$')) AS part, generate_subscripts(regexp_extract_all(content, '(?s)[^。！？\n]*[。！？\n]|[^。！？\n]+$'), 1) AS k FROM used WHERE place = 1 AND used > 3000),
+fit AS (SELECT *, sum({S.tokens("part")}) OVER (PARTITION BY query_id ORDER BY k) AS upto FROM parts), cut AS (SELECT query_id, string_agg(part, '' ORDER BY k) AS part FROM fit WHERE upto <= 3000 GROUP BY query_id),
+chosen AS (SELECT query_id, chunk_id, score, lang, source, CASE WHEN used <= 3000 THEN content ELSE part END AS content, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS ref FROM used LEFT JOIN cut USING (query_id)
+ WHERE used <= 3000 OR (place = 1 AND NOT {S.blank("part")})),
+told AS (SELECT query_id, {S.strip("string_agg('[ref' || ref || '] ' || lang || chr(10) || content, chr(10) || chr(10) ORDER BY ref)")} AS context, count(*) AS n FROM chosen GROUP BY query_id),
+said AS (SELECT query_id, {_said(answer.PREAMBLE, "n", "n", "context")} || {S.lit(answer.RULES)} AS answer FROM told),
+refs AS (SELECT query_id, list_filter(list_transform(regexp_extract_all(answer, '\[ref(\d+)\]', 1), lambda x: TRY_CAST(x AS INTEGER)), lambda x: x IS NOT NULL) AS refs FROM said),
+each AS (SELECT query_id, unnest(list_filter(refs, lambda x, i: list_position(refs, x) = i)) AS ref, generate_subscripts(list_filter(refs, lambda x, i: list_position(refs, x) = i), 1) AS no FROM refs),
+src AS (SELECT query_id, to_json(list(struct_pack(chunk_id := chunk_id, doc_id := chunk_id, doc_name := source, page_num := 1, section_title := lang, excerpt := substr(content, 1, 200), score := score) ORDER BY no)) AS sources FROM each JOIN chosen USING (query_id, ref) GROUP BY query_id)
+SELECT q.query_id, text AS question, {S.collapse(f"regexp_replace({S.strip('text')}, '^[{T.QUOTES.replace(chr(39), chr(39) * 2)}]+|[{T.QUOTES.replace(chr(39), chr(39) * 2)}]+$', '', 'g')")} AS cache_question, route, coalesce(answer, {S.lit(answer.NOT_FOUND)}) AS answer, answer IS NULL AS not_found, FALSE AS cached, CAST(coalesce(sources, '[]') AS VARCHAR) AS sources
+FROM q LEFT JOIN said USING (query_id) LEFT JOIN src USING (query_id)"""
+
+
+@query(_ASK)
 def ask_batch(spark, sf_dir):
     """The whole plan from question to cited answer over the vectors and documents of the same ids.
 
-    Every turn of a conversation asks with its whole text, by the vector of the conversation's id.
+    Every turn of a conversation asks with its whole text, by the vector of the conversation's id; the model says what it is told.
     """
     docs = table(spark, sf_dir, "documents")
     chunks = table(spark, sf_dir, "embeddings").join(docs, F.col("vec_id") == F.col("doc_id")).select(
@@ -257,11 +317,44 @@ def ask_batch(spark, sf_dir):
     questions = turns.join(vectors, "conv_id").select(
         "query_id", "question", "embedding", F.sequence(F.lit(0), F.lit(9)).cast("array<bigint>").alias("kb_ids"), F.reverse("embedding").alias("hyde_embedding")
     )
-    return answer.ask(questions, chunks, docs.select("doc_id", F.col("source").alias("file_name"))).drop("kb_ids")
+    return answer.ask(questions, chunks, docs.select("doc_id", F.col("source").alias("file_name"))).drop("kb_ids", "faithfulness")
 
 
 # --- evaluation ---
 
+_HASHED = r"""(SELECT {key}, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+')) AS word FROM {table})"""
+
+
+def _hashed(name: str, key: str, table_: str) -> str:
+    """CTEs from texts to vectors by feature hashing, as lists."""
+    words = _HASHED.replace("{key}", key).replace("{table}", table_)
+    return f"""{name}h AS (SELECT {key}, CAST('0x' || substr(md5(word), 1, 16) AS UBIGINT) AS h FROM {words}),
+{name}v AS (SELECT {key}, CAST(h % 64 AS INTEGER) AS k, sum(CASE WHEN h >> 63 = 1 THEN 1.0 ELSE -1.0 END) AS x FROM {name}h GROUP BY ALL),
+{name}e AS (SELECT {key}, list(coalesce(x, 0)::DOUBLE ORDER BY g.k) AS e FROM (SELECT {key}, unnest(range(64)) AS k FROM {table_}) g LEFT JOIN {name}v USING ({key}, k) GROUP BY {key})"""
+
+
+@query(f"""WITH {_hashed("x", "doc_id", "documents")}, {_hashed("y", "item_id", "benchmark")},
+c AS (SELECT doc_id AS chunk_id, 0 AS kb_id, e, text AS content FROM xe JOIN documents USING (doc_id)), q AS (SELECT item_id AS query_id, e, list_reverse(e) AS h, 'COMPLEX' AS route FROM ye),
+a AS (SELECT DISTINCT item_id AS query_id, unnest({_WHOLE_LEXEMES}) AS term FROM benchmark), {_PLANS},
+x AS (SELECT item_id, min(rank) AS rank FROM benchmark i JOIN documents ON contains(documents.text, i.text) JOIN wide ON query_id = item_id AND chunk_id = doc_id WHERE rank <= 10 GROUP BY item_id)
+SELECT item_id AS dataset_id, x.rank IS NOT NULL AS hit, CAST(x.rank AS INTEGER) AS rank, 'v1' AS eval_version FROM benchmark LEFT JOIN x USING (item_id)""")
+def evaluation_run(spark, sf_dir):
+    """Benchmark passages as questions whose expected chunks are the documents that hold them, with vectors by feature hashing."""
+    embed_ = providers.hashing_embedder()
+    docs = table(spark, sf_dir, "documents")
+    vector = providers.embedding(F.col("text"), embed_)
+    chunks = docs.select(F.col("doc_id").alias("chunk_id"), F.lit(0).cast("long").alias("kb_id"), F.col("text").alias("content"), vector.alias("embedding"))
+    items = table(spark, sf_dir, "benchmark")
+    # a passage's documents are among those that have all its words
+    asked = items.select(F.col("item_id").alias("query_id"), F.col("text").alias("question"), F.array(F.lit(0).cast("long")).alias("kb_ids"))
+    index_ = retrieve.stored_postings(chunks.drop("embedding"))
+    held = retrieve.term_topk(asked, index_, k=1 << 30).join(docs.select(F.col("doc_id").alias("chunk_id"), "text"), "chunk_id").join(asked, "query_id")
+    expected = held.filter(F.contains("text", "question")).groupBy(F.col("query_id").alias("id")).agg(F.collect_set("chunk_id").alias("expected_chunk_ids"))
+    sets = items.select(F.col("item_id").alias("id"), F.col("text").alias("question"), F.lit(0).cast("long").alias("kb_id"), vector.alias("embedding"))
+    sets = sets.withColumn("hyde_embedding", F.reverse("embedding")).join(expected, "id", "left")
+    return evaluate.run(sets, chunks, index_, "v1", F.lit(0)).select("dataset_id", "hit", "rank", "eval_version")
+
+
 
 @query(_HYBRID + """, e AS (SELECT DISTINCT query_id FROM q), x AS (SELECT query_id, query_id - query_id % 7 AS a, query_id AS b FROM e),
 b AS (SELECT x.query_id, min(rank) AS rank FROM x JOIN fused f ON f.query_id = x.query_id AND f.chunk_id = x.a GROUP BY ALL)
@@ -302,12 +395,15 @@ def embed_cache_misses(spark, sf_dir):
     return embed.cache_misses(docs, cache)
 
 
-@query()
+@query(r"""WITH w AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+')) AS word FROM documents), h AS (SELECT doc_id, CAST('0x' || substr(md5(word), 1, 16) AS UBIGINT) AS h FROM w),
+v AS (SELECT doc_id, CAST(h % 64 AS INTEGER) AS k, CAST(sum(CASE WHEN h >> 63 = 1 THEN 1 ELSE -1 END) AS INTEGER) AS x FROM h GROUP BY ALL), g AS (SELECT doc_id, unnest(range(64)) AS k FROM documents)
+SELECT doc_id, string_agg(coalesce(x, 0), ',' ORDER BY g.k) AS embedding FROM g LEFT JOIN v USING (doc_id, k) GROUP BY doc_id""")
 def embed_documents(spark, sf_dir):
-    """All documents embedded by feature hashing, each distinct text once."""
+    """All documents embedded by feature hashing, each distinct text once; the vectors as text."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     empty = spark.createDataFrame([], "cache_key string, embedding array<float>")
-    return embed.embed_with_cache(docs, empty, providers.hashing_embedder())[0].select("doc_id", "embedding")
+    full = embed.embed_with_cache(docs, empty, providers.hashing_embedder())[0]
+    return full.select("doc_id", V.to_csv(F.transform("embedding", lambda x: x.cast("int"))).alias("embedding"))
 
 
 @query("SELECT item_id, md5(text || ':[' || (item_id % 3) || ', ' || (item_id % 3 + 5) || ']') AS cache_key FROM benchmark")
