@@ -10,6 +10,8 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import partial
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -23,6 +25,8 @@ MIN_SCORE = 0.5
 BUDGET = 3000
 TOP = {"SIMPLE": 5, "STANDARD": 10, "COMPLEX": 20}
 RERANK_TOP = 5
+#: Fixed values of rank by places: the last place and the number of places that an index keeps, and the sum of all 1 / n^2.
+LAST_PLACE, PLACES, BASEL = 16383, 256, 1.64493406685
 #: Bytes of question vectors that are broadcast at a time; a larger batch goes in several blocks, each of which reads the stored
 #: vectors once. 64 MB are 250 000 questions of 64 numbers.
 BLOCK_BYTES = 64 << 20
@@ -63,15 +67,49 @@ def vector_topk(questions: DataFrame, chunks: DataFrame, k: int = VECTOR_TOP, bl
     return found.withColumn("kb_rank", F.row_number().over(order).cast("int")).filter(F.col("kb_rank") <= k)
 
 
-def postings(chunks: DataFrame, text: str = "content") -> DataFrame:
-    """(chunk_id, kb_id, term, tf): the term index. Store it, partitioned by kb_id and bucketed by term to search often; stored_postings() does for one batch."""
-    words = chunks.select("chunk_id", "kb_id", F.explode(T.lexemes(F.col(text))).alias("term"))
-    return words.groupBy("chunk_id", "kb_id", "term").agg(F.count("*").cast("int").alias("tf"))
+def postings(chunks: DataFrame, text: str = "content", positions: bool = False) -> DataFrame:
+    """(chunk_id, kb_id, term, tf): the term index. Store it, partitioned by kb_id and bucketed by term to search often; stored_postings()
+    does for one batch. With positions also the places of a term among the words, from 1, as far as a text index keeps them."""
+    words = chunks.select("chunk_id", "kb_id", F.posexplode(T.lexemes(F.col(text))).alias("at", "term"))
+    counted = [F.count("*").cast("int").alias("tf")]
+    if positions:
+        counted.append(F.slice(F.array_sort(F.collect_list(F.least(F.col("at") + 1, F.lit(LAST_PLACE)))), 1, PLACES).alias("places"))
+    return words.groupBy("chunk_id", "kb_id", "term").agg(*counted)
 
 
-def stored_postings(chunks: DataFrame, text: str = "content") -> DataFrame:
+def stored_postings(chunks: DataFrame, text: str = "content", positions: bool = False) -> DataFrame:
     """The term index as a table in the session's shared folder, as a search reads it more than once."""
-    return materialize(postings(chunks, text), "postings")
+    return materialize(postings(chunks, text, positions), "postings")
+
+
+def nearness(places: list[np.ndarray]) -> float:
+    """Rank of a text that has all terms of a question, by how near to each other they stand: each pair of places of two terms is
+    evidence of its own, worth a tenth of the root of a weight that falls with their distance. One term alone is ranked by its count."""
+    if len(places) == 1:
+        return float((0.1 / np.arange(1, len(places[0]) + 1) ** 2).sum() / BASEL)
+    doubt = 0.0
+    for k, own in enumerate(places):
+        for other in places[:k]:
+            gap = np.abs(np.subtract.outer(np.asarray(own, float), np.asarray(other, float))).ravel()
+            gap = gap[gap > 0]
+            weight = np.where(gap > 100, 1e-30, 1.0 / (1.005 + 0.05 * np.exp(np.minimum(gap, 100) / 1.5 - 2.0)))
+            doubt += np.log1p(-0.1 * np.sqrt(weight)).sum()
+    return float(-np.expm1(doubt))
+
+
+def term_ranked(questions: DataFrame, index: DataFrame, k: int = TERM_TOP) -> DataFrame:
+    """term_topk() for all terms, ranked by nearness() instead of frequencies; index: stored_postings(positions=True)."""
+
+    @F.pandas_udf("double")
+    def rank(places: pd.Series) -> pd.Series:
+        return places.map(lambda p: round(nearness(list(p)), 6))
+
+    found = term_topk(questions, index, k=1 << 30)
+    rows = index.join(found.join(question_terms(questions).select("query_id", "term"), "query_id"), ["chunk_id", "kb_id", "term"])
+    scored = rows.groupBy("query_id", "kb_id", "kb_pos", "chunk_id").agg(F.collect_list("places").alias("places"))
+    order = Window.partitionBy("query_id", "kb_pos").orderBy(F.desc("score"), "chunk_id")
+    ranked = scored.select("query_id", "kb_id", "kb_pos", "chunk_id", rank("places").alias("score"))
+    return ranked.withColumn("kb_rank", F.row_number().over(order).cast("int")).filter(F.col("kb_rank") <= k)
 
 
 def question_terms(questions: DataFrame) -> DataFrame:

@@ -100,6 +100,19 @@ def fulltext_any_term(spark, sf_dir):
     return retrieve.term_topk(_asked(spark, sf_dir), _index(spark, sf_dir), any_term=True).select("query_id", "kb_id", "chunk_id", "tf", "kb_rank")
 
 
+@query(f"""WITH {_POST}, u AS (SELECT doc_id AS chunk_id, unnest(ls) AS term, generate_subscripts(ls, 1) AS at FROM (SELECT doc_id, {_WORDS.format("text")} AS ls FROM documents)),
+h AS (SELECT query_id, kb_id, chunk_id, n FROM o JOIN n USING (query_id) WHERE matched = n),
+x AS (SELECT h.query_id, h.kb_id, h.chunk_id, h.n, u.term, least(u.at, 16383) AS at, row_number() OVER (PARTITION BY h.query_id, h.chunk_id, u.term ORDER BY u.at) AS nth FROM h JOIN a USING (query_id) JOIN u ON u.chunk_id = h.chunk_id AND u.term = a.term QUALIFY nth <= 256),
+y AS (SELECT l.query_id, l.kb_id, l.chunk_id, 1 - exp(sum(ln(1 - 0.1 * sqrt(CASE WHEN abs(l.at - r.at) > 100 THEN 1e-30 ELSE 1 / (1.005 + 0.05 * exp(abs(l.at - r.at) / 1.5 - 2)) END)))) AS score
+ FROM x l JOIN x r ON l.query_id = r.query_id AND l.chunk_id = r.chunk_id AND l.term < r.term AND l.at <> r.at GROUP BY ALL),
+z AS (SELECT query_id, kb_id, chunk_id, sum(0.1 / (nth * nth)) / 1.64493406685 AS score FROM x WHERE n = 1 GROUP BY ALL), s AS (SELECT * FROM y UNION ALL SELECT * FROM z)
+SELECT query_id, kb_id, chunk_id, round(score, 6) AS score, CAST(row_number() OVER (PARTITION BY query_id, kb_id ORDER BY round(score, 6) DESC, chunk_id) AS INTEGER) AS kb_rank FROM s QUALIFY kb_rank <= 20""")
+def fulltext_ranked(spark, sf_dir):
+    """Documents that have all words of a passage, ranked by how near to each other they stand."""
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), (F.col("doc_id") % 4).alias("kb_id"), F.col("text").alias("content"))
+    return retrieve.term_ranked(_asked(spark, sf_dir), retrieve.stored_postings(docs, positions=True)).select("query_id", "kb_id", "chunk_id", "score", "kb_rank")
+
+
 # --- hybrid retrieval: vectors and, as a question, the whole text of the asking vector's document, against all vectors and documents ---
 
 _HYBRID = "WITH " + _DIST + f""", k AS (SELECT d.doc_id AS chunk_id, coalesce(e.label, d.doc_id % 10) AS kb_id, d.text FROM documents d LEFT JOIN embeddings e ON e.vec_id = d.doc_id),

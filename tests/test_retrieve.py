@@ -170,3 +170,42 @@ def test_each_route_has_its_plan(spark):
     q = spark.createDataFrame([(k, r, "word", [1.0, 0.0], [0.0, 1.0], [1, 2]) for k, r in rows], "query_id long, route string, question string, embedding array<float>, hyde_embedding array<float>, kb_ids array<bigint>")
     got = retrieve.by_route(q, chunks, retrieve.postings(chunks)).groupBy("query_id").count().collect()
     assert {r["query_id"]: r["count"] for r in got} == {1: 5, 2: 8, 3: 5}
+
+
+def test_rank_by_places(spark):
+    near = lambda *p: retrieve.nearness(list(p))
+    assert near([1]) == pytest.approx(0.1 / 1.64493406685) and near([1, 9]) == pytest.approx(0.125 / 1.64493406685)
+    assert near([1], [2]) == pytest.approx(0.0991, abs=2e-4) and near([1], [2]) > near([1], [8]) > near([1], [60]) > 0
+    assert near([1, 5], [2]) > near([1], [2]) and near([1], [2], [3]) > near([1], [2])
+    chunks = spark.createDataFrame([(1, 1, "red one two three fox"), (2, 1, "a red fox"), (3, 1, "red hen")], "chunk_id long, kb_id long, content string")
+    q = spark.createDataFrame([(1, "red fox", [1])], "query_id long, question string, kb_ids array<bigint>")
+    assert [r["chunk_id"] for r in retrieve.term_ranked(q, retrieve.stored_postings(chunks, positions=True)).orderBy("kb_rank").collect()] == [2, 1]
+    assert [r["chunk_id"] for r in retrieve.term_ranked(q, retrieve.stored_postings(chunks, positions=True), 1).collect()] == [2]
+
+
+def test_vectors_that_cannot_be_compared(spark):
+    rows = [(1, 1, [1.0, 0.0]), (2, 1, [0.0, 0.0]), (3, 1, None), (4, 1, [1.0]), (5, 1, [1.0, 0.0, 0.0]), (6, 1, [0.9, 0.1])]
+    chunks = spark.createDataFrame(rows, "chunk_id long, kb_id long, embedding array<float>")
+    q = spark.createDataFrame([("a", [1.0, 0.0], [1]), ("b", [0.0, 0.0], [1]), ("c", None, [1])], "query_id string, embedding array<float>, kb_ids array<bigint>")
+    assert [(r["query_id"], r["chunk_id"]) for r in retrieve.vector_topk(q, chunks).orderBy("kb_rank").collect()] == [("a", 1), ("a", 6)]
+    assert retrieve.vector_topk(q.limit(0), chunks).count() == 0 and retrieve.vector_topk(q, chunks.limit(0)).count() == 0
+
+
+def test_nearest_equals_brute_force(spark):
+    """Ties, repeated knowledge bases and many questions against plain sorting."""
+    import random
+
+    rng = random.Random(4)
+    stored = [(k, k % 3, [float(rng.randrange(-2, 3)) for _ in range(4)]) for k in range(300)]
+    asked = [(k, [float(rng.randrange(-2, 3)) for _ in range(4)], [2, 0, 2]) for k in range(25)]
+    found = retrieve.vector_topk(
+        spark.createDataFrame(asked, "query_id long, embedding array<float>, kb_ids array<bigint>"), spark.createDataFrame(stored, "chunk_id long, kb_id long, embedding array<float>").repartition(5), 7
+    )
+    got = sorted((r["query_id"], r["kb_pos"], r["kb_rank"], r["chunk_id"], r["distance"]) for r in found.collect())
+    norm = lambda v: sum(x * x for x in v) ** 0.5
+    want = []
+    for i, v, kbs in asked:
+        for pos, kb in enumerate(kbs):
+            rows = sorted((round(1 - sum(a * b for a, b in zip(v, w, strict=True)) / norm(v) / norm(w), 6), j) for j, home, w in stored if home == kb and norm(w) and norm(v))
+            want += [(i, pos, n, j, d) for n, (d, j) in enumerate(rows[:7], 1)]
+    assert [g[:4] for g in got] == [w[:4] for w in sorted(want)] and all(abs(g[4] - w[4]) < 2e-6 for g, w in zip(got, sorted(want), strict=True))
