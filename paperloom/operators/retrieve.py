@@ -50,8 +50,13 @@ def vector_topk(questions: DataFrame, chunks: DataFrame, k: int = VECTOR_TOP, bl
     partition; a window over these picks the k best. So a knowledge base with a third of all chunks is no hot spot.
     Vectors that are null, zero or of another length than the questions' find nothing and are not found.
     """
-    spark = chunks.sparkSession
     asked = fan_out(questions).select("query_id", "kb_pos", F.col("kb_id").cast("long").alias("kb_id"), "embedding").filter(F.size("embedding") > 0)
+    return nearest_rows(asked, chunks, k, block)
+
+
+def nearest_rows(asked: DataFrame, chunks: DataFrame, k: int, block: int | None = None) -> DataFrame:
+    """vector_topk() of rows (query_id, kb_pos, kb_id, embedding); several of one query_id and kb_pos share their k."""
+    spark = chunks.sparkSession
     about = asked.agg(F.count("*").alias("n"), F.max(F.size("embedding")).alias("size")).first()
     size = about["size"] or 0
     blocks = max(1, -(-about["n"] // (block or max(1, BLOCK_BYTES // (8 * max(1, size))))))
