@@ -1,7 +1,8 @@
 """An inverted file over vectors: cells around centres, of which a search looks into the nearest few.
 
 Centres are fitted on a bounded sample; every vector is put into the cell of its nearest centre. A search is exact inside the cells it looks
-into, so with `probe` as large as the number of cells it gives what vector_topk() gives. Store the indexed chunks partitioned by cell.
+into, so where it looks into all, as by default, it gives what vector_topk() gives. How many cells are enough hangs on the vectors: tuned() finds
+the number by measuring recall against exact search. Store the indexed chunks partitioned by cell.
 """
 
 from __future__ import annotations
@@ -18,7 +19,9 @@ from pyspark.sql.types import IntegerType, StructField, StructType
 from paperloom.functions.nearest import unit_rows
 from paperloom.operators import retrieve
 
-CELLS, PROBE = 64, 8
+CELLS = 64
+RECALL = 0.9
+ASKED = 200  # questions that recall is measured with, those least by a hash of their id
 SAMPLE = 20_000  # vectors that centres are fitted on, those least by a hash of their id; this many at most reach the driver
 ROUNDS = 12
 
@@ -67,11 +70,29 @@ def indexed(chunks: DataFrame, centres: np.ndarray) -> DataFrame:
     return _with_cells(chunks, centres, 1)
 
 
-def search(questions: DataFrame, stored: DataFrame, centres: np.ndarray, k: int = retrieve.VECTOR_TOP, probe: int = PROBE) -> DataFrame:
-    """As vector_topk() over indexed chunks, looking into `probe` cells for each question."""
+def search(questions: DataFrame, stored: DataFrame, centres: np.ndarray, k: int = retrieve.VECTOR_TOP, probe: int | None = None) -> DataFrame:
+    """As vector_topk() over indexed chunks, looking into `probe` cells for each question, or into all."""
     asked = retrieve.fan_out(questions).select("query_id", "kb_pos", F.col("kb_id").cast("long").alias("kb_id"), "embedding").filter(F.size("embedding") > 0)
     n = max(1, len(centres))
     home = (F.col("kb_id") * n + F.col("cell")).alias("kb_id")
-    looked = _with_cells(asked, centres, min(probe, n)).select("query_id", "kb_pos", home, "embedding")
+    looked = _with_cells(asked, centres, min(probe or n, n)).select("query_id", "kb_pos", home, "embedding")
     found = retrieve.nearest_rows(looked, stored.select("chunk_id", home, "embedding"), k)
     return found.withColumn("kb_id", F.floor(F.col("kb_id") / n).cast("long"))
+
+
+def recall(questions: DataFrame, stored: DataFrame, centres: np.ndarray, probe: int, k: int = retrieve.VECTOR_TOP) -> float:
+    """Share of the exact top k that a search with `probe` cells finds; 1 where there is nothing to find."""
+    keys = ["query_id", "kb_pos", "chunk_id"]
+    exact = retrieve.vector_topk(questions, stored, k).select(keys)
+    found = search(questions, stored, centres, k, probe).select(*keys, F.lit(1).alias("hit"))
+    row = exact.join(found, keys, "left").agg(F.count("*").alias("n"), F.count("hit").alias("hits")).first()
+    return row["hits"] / row["n"] if row["n"] else 1.0
+
+
+def tuned(questions: DataFrame, stored: DataFrame, centres: np.ndarray, k: int = retrieve.VECTOR_TOP, target: float = RECALL, asked: int = ASKED) -> int:
+    """The least number of cells, a power of two or all, whose measured recall reaches the target."""
+    some = questions.orderBy(F.xxhash64("query_id"), "query_id").limit(asked)
+    probe = 1
+    while probe < len(centres) and recall(some, stored, centres, probe, k) < target:
+        probe *= 2
+    return max(1, min(probe, len(centres)))

@@ -227,8 +227,10 @@ def test_inverted_file(spark):
     assert stored.count() == 3000 and stored.select("cell").distinct().count() > 20
     rows = lambda df: {tuple(r) for r in df.select("query_id", "kb_id", "kb_pos", "kb_rank", "chunk_id").collect()}
     exact = rows(retrieve.vector_topk(asked, chunks, 10))
-    assert rows(ivf.search(asked, stored, centres, 10, probe=32)) == exact and len(exact) == 800
-    near = {(r[0], r[1], r[4]) for r in rows(ivf.search(asked, stored, centres, 10, probe=4))}
+    assert rows(ivf.search(asked, stored, centres, 10)) == exact and len(exact) == 800
+    probe = ivf.tuned(asked, stored, centres, 10)
+    assert 1 <= probe <= 8
+    near = {(r[0], r[1], r[4]) for r in rows(ivf.search(asked, stored, centres, 10, probe))}
     assert len(near & {(r[0], r[1], r[4]) for r in exact}) >= 0.9 * len(exact)
     none = ivf.fit(chunks.limit(0))
     assert ivf.search(asked, ivf.indexed(chunks.limit(0), none), none).count() == 0
