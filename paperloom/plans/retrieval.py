@@ -308,7 +308,7 @@ chosen AS (SELECT query_id, chunk_id, score, lang, source, CASE WHEN used <= 300
  WHERE used <= 3000 OR (place = 1 AND NOT {S.blank("part")})),
 told AS (SELECT query_id, {S.strip("string_agg('[ref' || ref || '] ' || lang || chr(10) || content, chr(10) || chr(10) ORDER BY ref)")} AS context, count(*) AS n FROM chosen GROUP BY query_id),
 said AS (SELECT query_id, {_said(answer.PREAMBLE, "n", "n", "context")} || {S.lit(answer.RULES)} AS answer FROM told),
-refs AS (SELECT query_id, list_filter(list_transform(regexp_extract_all(answer, '\[ref(\d+)\]', 1), lambda x: TRY_CAST(x AS INTEGER)), lambda x: x IS NOT NULL) AS refs FROM said),
+refs AS (SELECT query_id, list_filter(list_transform(regexp_extract_all(answer, '\\[ref(\\d+)\\]', 1), lambda x: TRY_CAST(x AS INTEGER)), lambda x: x IS NOT NULL) AS refs FROM said),
 each AS (SELECT query_id, unnest(list_filter(refs, lambda x, i: list_position(refs, x) = i)) AS ref, generate_subscripts(list_filter(refs, lambda x, i: list_position(refs, x) = i), 1) AS no FROM refs),
 src AS (SELECT query_id, to_json(list(struct_pack(chunk_id := chunk_id, doc_id := chunk_id, doc_name := source, page_num := 1, section_title := lang, excerpt := substr(content, 1, 200), score := score) ORDER BY no)) AS sources FROM each JOIN chosen USING (query_id, ref) GROUP BY query_id)
 SELECT q.query_id, text AS question, {S.collapse(f"regexp_replace({S.strip('text')}, '^[{T.QUOTES.replace(chr(39), chr(39) * 2)}]+|[{T.QUOTES.replace(chr(39), chr(39) * 2)}]+$', '', 'g')")} AS cache_question, route, coalesce(answer, {S.lit(answer.NOT_FOUND)}) AS answer, answer IS NULL AS not_found, FALSE AS cached, CAST(coalesce(sources, '[]') AS VARCHAR) AS sources
