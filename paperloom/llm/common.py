@@ -4,11 +4,19 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from paperloom.sources.scratch import Scratch, drop_scratch, materialize, scratch_path  # noqa: F401  the operators take them from here
 
+def small(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
+    """Arrow batches in slices of a few rows, so that a worker unpacks only those texts at a time. Slices are views, not copies."""
+    for batch in batches:
+        for low in range(0, batch.num_rows, rows):
+            yield batch.slice(low, rows)
+
+
 def with_ids(df: DataFrame, id_column: str) -> DataFrame:
     """The rows that have an id. A row without one can't be named in a result keyed by id, so it has none."""
     return df.filter(F.col(id_column).isNotNull())

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from paperloom.llm.common import ordered_ranges, with_ids
+from paperloom.llm.common import ordered_ranges, small, with_ids
 from paperloom.llm.shingles import shingle_hashes
 
 #: Share of the hash space that is kept. It is a choice for each corpus: a fingerprint has six bytes for each kept shingle,
@@ -125,7 +125,7 @@ def _describe(rows: list[tuple[int, str, str]], fraction: float) -> pa.RecordBat
 def _walk(batches: Iterator[pa.RecordBatch], fraction: float) -> Iterator[pa.RecordBatch]:
     """Rows come in order of range, copy mark, id and text; each is described once the one after it is known."""
     held, size, last = [], 0, None
-    for batch in batches:
+    for batch in small(batches):
         columns = [batch.column(k).to_pylist() for k in range(4)]
         for doc_id, text, range_id, is_copy in zip(*columns, strict=True):
             if last is not None and last[2] == range_id:

@@ -30,6 +30,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from paperloom.llm.common import small
+
 WINDOW = 3
 SURGE = 80  # weight in a window that makes a surge
 MARK = 4
@@ -293,7 +295,7 @@ def extract(page: str | None, window: int = WINDOW, surge: int = SURGE) -> str:
 
 
 def _extract(batches: Iterator[pa.RecordBatch], window: int, surge: int) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in small(batches):
         texts = [extract(page, window, surge) for page in batch.column(2).to_pylist()]
         yield pa.RecordBatch.from_arrays(
             [batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())],

@@ -28,6 +28,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from paperloom.llm.common import small
+
 #: Phrase -> label, fixed by the contract of the query.
 BASE_PHRASES = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
 
@@ -319,7 +321,7 @@ def _scan(batches: Iterator[pa.RecordBatch], index: dict, coverage: float) -> It
     fields = [c.split(" ")[0] for c in SCHEMA.split(", spans")[0].split(", ")] + ["spans"]
     span = pa.list_(pa.struct([("label", pa.string()), ("first_word", pa.int64()), ("last_word", pa.int64()), ("coverage", pa.float64())]))
     kinds = [*[pa.int64()] * 5, pa.string(), pa.string(), pa.float64(), span]
-    for batch in batches:
+    for batch in small(batches):
         rows = []
         for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
             words = words_of(text.as_buffer().to_pybytes())

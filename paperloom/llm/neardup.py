@@ -42,7 +42,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from paperloom.llm.common import Scratch, batches_of, components, materialize, with_ids
+from paperloom.llm.common import Scratch, batches_of, components, materialize, small, with_ids
 from paperloom.llm.shingles import bags, mix, weighted_jaccard
 
 REGISTERS = 128
@@ -112,7 +112,7 @@ def band_keys(registers: np.ndarray, rows: int) -> np.ndarray:
 
 def _band(batches: Iterator[pa.RecordBatch], registers: int, rows: int) -> Iterator[pa.RecordBatch]:
     bands = registers // rows
-    for batch in batches:
+    for batch in small(batches):
         ids = batch.column(0).to_pylist()
         texts = batch.column(1)
         source = ((texts[k].as_buffer().to_pybytes(), ids[k]) for k in range(len(ids)))
@@ -126,10 +126,11 @@ def _band(batches: Iterator[pa.RecordBatch], registers: int, rows: int) -> Itera
             )
 
 
-def _similar(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for frame in frames:
-        out, size = np.zeros(len(frame)), np.zeros(len(frame), np.int64)
-        one, two = [t.encode() for t in frame["text_a"]], [t.encode() for t in frame["text_b"]]
+def _similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in small(batches):
+        n = batch.num_rows
+        out, size = np.zeros(n), np.zeros(n, np.int64)
+        one, two = ([t.as_buffer().to_pybytes() for t in batch.column(c)] for c in (2, 3))
         rows = batches_of(((a + b" " + b, k) for k, (a, b) in enumerate(zip(one, two, strict=True))), CHUNK)
         for part in rows:
             at = [k for _, k in part]
@@ -139,14 +140,14 @@ def _similar(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             bag = [(shingle[i:j], weight[i:j]) for i, j in zip(cut[:-1], cut[1:], strict=True)]
             out[at] = [weighted_jaccard(bag[2 * k], bag[2 * k + 1]) for k in range(len(at))]
             size[at] = [bag[2 * k + 1][1].sum() for k in range(len(at))]
-        yield pd.DataFrame({"a": frame["a"], "b": frame["b"], "similarity": out, "size_b": size})
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out), pa.array(size)], names=["a", "b", "similarity", "size_b"])
 
 
 def verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """Weighted Jaccard of the whole texts of distinct pairs (a, b), and the number of b's shingles."""
     left = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b"))
     right = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a"))
-    return pairs.join(left.hint("merge"), "b").join(right.hint("merge"), "a").select("a", "b", "text_a", "text_b").mapInPandas(_similar, "a long, b long, similarity double, size_b long")
+    return pairs.join(left.hint("merge"), "b").join(right.hint("merge"), "a").select("a", "b", "text_a", "text_b").mapInArrow(_similar, "a long, b long, similarity double, size_b long")
 
 
 def digest_of(text: Column) -> Column:

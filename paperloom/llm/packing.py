@@ -24,11 +24,12 @@ from hashlib import blake2b
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from paperloom.llm.common import materialize, with_ids
+from paperloom.llm.common import materialize, small, with_ids
 
 #: The tokens that the JSON file adds to the ranks.
 SPECIAL = {"<|endoftext|>": 50256}
@@ -55,21 +56,20 @@ def encoder(path: str):
     return lambda texts: [e.ids for e in other.encode_batch(texts, add_special_tokens=False)]
 
 
-def _pieces(frames: Iterator[pd.DataFrame], path: str, length: int, end_id: int) -> Iterator[pd.DataFrame]:
+def _pieces(batches: Iterator[pa.RecordBatch], path: str, length: int, end_id: int) -> Iterator[pa.RecordBatch]:
     encode = encoder(path)
     task = TaskContext.get()
     seen = (task.partitionId() if task else 0) << 40
-    for frame in frames:
+    for batch in small(batches):
         rows = []
-        for lo in range(0, len(frame), 256):
-            part = frame.iloc[lo : lo + 256]
-            for doc_id, ids in zip(part["doc_id"], encode(list(part["text"])), strict=True):
-                data = np.array([*ids, end_id], dtype="<u4").tobytes()
-                n = len(data) // 4
-                seen += 1
-                draw = int.from_bytes(blake2b(struct.pack("<qqI", doc_id, seen, zlib.crc32(data)), digest_size=7).digest(), "little")
-                rows += [(doc_id, s, min(length, n - s), zlib.crc32(data[4 * s : 4 * (s + length)]), n, draw) for s in range(0, n, length)]
-        yield pd.DataFrame(rows, columns=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "draw"], dtype="int64")
+        for doc_id, ids in zip(batch.column(0).to_pylist(), encode(batch.column(1).to_pylist()), strict=True):
+            data = np.array([*ids, end_id], dtype="<u4").tobytes()
+            n = len(data) // 4
+            seen += 1
+            draw = int.from_bytes(blake2b(struct.pack("<qqI", doc_id, seen, zlib.crc32(data)), digest_size=7).digest(), "little")
+            rows += [(doc_id, s, min(length, n - s), zlib.crc32(data[4 * s : 4 * (s + length)]), n, draw) for s in range(0, n, length)]
+        columns = np.array(rows, dtype=np.int64).reshape(-1, 6).T
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "draw"])
 
 
 def tokenize_pieces(docs: DataFrame, tokenizer: str, length: int = 1024, end_id: int = 0, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -78,7 +78,7 @@ def tokenize_pieces(docs: DataFrame, tokenizer: str, length: int = 1024, end_id:
     The number hangs on the place in the read, so store the pieces before they are used twice.
     """
     texts = with_ids(docs, id_column).select(F.col(id_column).cast("long").alias("doc_id"), F.coalesce(F.col(text_column), F.lit("")).alias("text"))
-    return texts.mapInPandas(partial(_pieces, path=tokenizer, length=length, end_id=end_id), f"{PIECES}, draw long")
+    return texts.mapInArrow(partial(_pieces, path=tokenizer, length=length, end_id=end_id), f"{PIECES}, draw long")
 
 
 def first_fit_decreasing(sizes: np.ndarray, room: int) -> tuple[np.ndarray, np.ndarray]:

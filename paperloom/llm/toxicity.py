@@ -28,7 +28,7 @@ import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from paperloom.llm.common import Scratch
+from paperloom.llm.common import Scratch, small
 
 SAMPLE_ROWS = 20_000
 FEATURES = 2_000
@@ -70,7 +70,7 @@ def _tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _rows(batches: Iterator[pa.RecordBatch], vocabulary: dict[str, int]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in small(batches):
         ids, counts, words = [], [], []
         for text in batch.column(0).to_pylist():
             found, n = features_of(text)
@@ -168,7 +168,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, feat
 def _score(batches: Iterator[pa.RecordBatch], model: Model, cutoff: float) -> Iterator[pa.RecordBatch]:
     theta = np.array(model.thresholds)
     weights, evidence = model.weights, model.evidence
-    for batch in batches:
+    for batch in small(batches):
         rows = []
         for text in batch.column(1).to_pylist():
             found, n = features_of(text)
@@ -195,7 +195,7 @@ def score(docs: DataFrame, model: Model, cutoff: float = CUTOFF, id_column: str
 
 
 def _clean(batches: Iterator[pa.RecordBatch], model: Model, cutoff: float, at: int) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in small(batches):
         pair = pa.RecordBatch.from_arrays([pa.nulls(len(batch), pa.int64()), pa.compute.fill_null(batch.column(at), "")], names=["doc_id", "text"])
         toxic = next(_score(iter([pair]), model, cutoff)).column(6)
         yield batch.filter(pa.compute.invert(toxic))

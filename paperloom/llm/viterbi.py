@@ -26,6 +26,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from paperloom.llm.common import small
+
 SPACE = "▁"
 OWN_MARK = "\ud800"  # stands for a space mark that the text itself holds; no valid text has a lone surrogate
 UNKNOWN_PENALTY = 10.0
@@ -125,7 +127,7 @@ def codec(path: str, scores: str = "zipf") -> Codec:
 
 def _encode(batches: Iterator[pa.RecordBatch], path: str, scores: str) -> Iterator[pa.RecordBatch]:
     own = codec(path, scores)
-    for batch in batches:
+    for batch in small(batches):
         texts = batch.column(1).to_pylist()
         coded = [own.encode(t) for t in texts]
         sizes = np.array([len(i) for _, i in coded], np.int64)
@@ -148,7 +150,7 @@ def encode_documents(docs: DataFrame, path: str, scores: str = "zipf", id_column
 
 def _decode(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
     own = codec(path)
-    for batch in batches:
+    for batch in small(batches):
         texts = [None if i is None else own.decode(i) for i in batch.column(1).to_pylist()]
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], names=["doc_id", "text"])
 
