@@ -180,8 +180,8 @@ def near_groups(
     ids = materialize(named.select("id", "key", digest_of(F.col("text"))), "ids")
     members = key_groups(named.select("key", "text"), ids, threshold, registers, rows)
     pairs = scratch.table(members.join(ids.select("key", "id").dropDuplicates(), "key"), "pairs")
-    copies = pairs.groupBy("copy").agg(F.min("id").alias("copy_id"))
-    groups = pairs.groupBy("group").agg(F.min("id").alias("group_id"))
+    copies = scratch.table(pairs.groupBy("copy").agg(F.min("id").alias("copy_id")), "least_copies")
+    groups = scratch.table(pairs.groupBy("group").agg(F.min("id").alias("group_id")), "least_groups")
     least = materialize(pairs.join(copies, "copy").join(groups, "group").select("key", "copy_id", "group_id").dropDuplicates(), "least")
     scratch.drop()
     return ids.join(least, "key").select(F.col("id").alias("doc_id"), "copy_id", "group_id")
