@@ -46,7 +46,9 @@ def vector_only(spark, sf_dir):
 
 @query("SELECT vec_id, '[' || array_to_string(list_transform(embedding, lambda x: CAST(round(x * 1000) AS INTEGER)), ',') || ']' AS literal, array_to_string(list_transform(embedding, lambda x: CAST(round(x * 1000) AS INTEGER)), ',') AS back FROM embeddings")
 def vector_codec(spark, sf_dir):
-    whole = F.transform("embedding", lambda x: F.round(x * 1000).cast("int"))
+    # SQL multiplies a float by an integer as floats and rounds halves away from zero
+    thousands = F.transform("embedding", lambda x: x * F.lit(1000).cast("float"))
+    whole = F.transform(thousands, lambda x: (F.signum(x) * F.floor(F.abs(x) + F.lit(0.5).cast("double"))).cast("int"))
     rows = table(spark, sf_dir, "embeddings").select("vec_id", V.to_literal(whole).alias("literal"))
     return rows.withColumn("back", V.to_csv(V.from_text(F.col("literal")).cast("array<int>")))
 

@@ -37,3 +37,10 @@ def test_ask_batch_asks_whole_texts_by_every_route(spark, tmp_path):
     rows = {r["query_id"]: r for r in entry.queries()["ask_batch"](spark, str(tmp_path)).collect()}
     assert {k: r["question"] for k, r in rows.items()} == {100 * k + t: text for k, t, _, text in turns}
     assert [rows[k]["route"] for k in (0, 1, 2)] == ["SIMPLE", "STANDARD", "COMPLEX"]
+
+
+def test_codec_multiplies_as_floats_and_rounds_halves_away_from_zero(spark, tmp_path):
+    # 0.1335 as a float is less than 0.1335, but a thousand times it as a float is 133.5
+    write(spark, tmp_path, embeddings=([(1, [-0.1335, 0.1335, 0.0005, -0.0025, 0.0])], "vec_id long, embedding array<float>"))
+    found = entry.queries()["vector_codec"](spark, str(tmp_path)).first()
+    assert (found["literal"], found["back"]) == ("[-134,134,1,-3,0]", "-134,134,1,-3,0")
