@@ -1,5 +1,7 @@
 """Steps whose rows or bytes must not outgrow their input."""
 
+import random
+
 from pyspark.sql import functions as F
 
 from paperloom.functions import nearest
@@ -46,3 +48,49 @@ def test_pages_of_one_large_document_are_cleaned_in_many_tasks(spark):
     finally:
         for k, v in kept.items():
             spark.conf.set(k, v)
+
+
+def indexed(spark, texts):
+    return retrieve.postings(spark.createDataFrame([(k, k % 2, x) for k, x in enumerate(texts)], "chunk_id long, kb_id long, content string"))
+
+
+def asked(spark, texts):
+    return spark.createDataFrame([(k, x, [1, 0]) for k, x in enumerate(texts)], "query_id long, question string, kb_ids array<long>")
+
+
+def test_questions_of_the_same_terms_are_sought_once(spark, monkeypatch):
+    sizes, kept = {}, retrieve.materialize
+
+    def noted(df, name):
+        out = kept(df, name)
+        sizes[name] = max(sizes.get(name, 0), out.count())
+        return out
+
+    monkeypatch.setattr(retrieve, "materialize", noted)
+    found = retrieve.term_topk(asked(spark, ["red fox", "Fox, red!"] * 20), indexed(spark, ["a red fox", "red fox red"] * 30), 3)
+    rows = {(r["query_id"], r["kb_pos"], r["kb_rank"]): (r["chunk_id"], r["tf"]) for r in found.collect()}
+    assert rows == {(q, pos, rank + 1): (2 * rank + 1 - pos, 3 - pos) for q in range(40) for pos in (0, 1) for rank in range(3)}
+    assert sizes["named"] == 60
+
+
+def test_candidates_meet_their_postings_in_tasks_of_bounded_rows(spark, monkeypatch):
+    monkeypatch.setattr(retrieve, "TASK_ROWS", 20, raising=False)
+    found = retrieve.term_topk(asked(spark, ["red fox", "red hen", "red"]), indexed(spark, ["a red fox", "a red hen"] * 30))
+    # 30 candidates of 2 terms and twice 60 of 1 or 2 against 60 chunks of 2 asked terms
+    assert found.count() == 2 * 20 + 2 * 20 and "REPARTITION_BY_NUM" in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_term_search_equals_a_plain_one(spark, monkeypatch):
+    monkeypatch.setattr(retrieve, "TASK_ROWS", 50, raising=False)
+    monkeypatch.setattr(retrieve, "BROADCAST_ROWS", 10, raising=False)
+    draw, words = random.Random(7), [f"w{k}" for k in range(12)]
+    texts = [" ".join(draw.choices(words, range(12, 0, -1), k=draw.randrange(0, 30))) for _ in range(150)]
+    questions = [" ".join(draw.sample(words, draw.randrange(0, 8))) for _ in range(40)] + ["w0 nowhere", "w3", "w3 w3", "w1 w0", "w0 w1"]
+    want = set()
+    for q, question in enumerate(questions):
+        terms = set(question.split())
+        for pos, kb in enumerate((1, 0)):
+            hits = [(-sum(x.split().count(t) for t in terms), k) for k, x in enumerate(texts) if k % 2 == kb and terms and terms <= set(x.split())]
+            want |= {(q, kb, pos, k, -tf, rank + 1) for rank, (tf, k) in enumerate(sorted(hits)[:5])}
+    found = retrieve.term_topk(asked(spark, questions), indexed(spark, texts), 5).select("query_id", "kb_id", "kb_pos", "chunk_id", "tf", "kb_rank").collect()
+    assert set(map(tuple, found)) == want and len(found) == len(want)
